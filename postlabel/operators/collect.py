@@ -77,7 +77,8 @@ def newest_per_window(
 ) -> DataFrame:
     """The newest k rows of each time window; ``rank`` is their order."""
     order = [F.col(ts).desc(), F.col(id_col)]
-    return top_per_group(assign_windows(df, bounds, ts), ["window_no", "window"], order, k)
+    windows = assign_windows(df, bounds, ts)
+    return top_per_group(windows, ["window_no", "window"], order, k, spread_by=[id_col])
 
 
 def dedupe_id(df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -153,7 +154,7 @@ def pick_threads(
 def newest_per_thread(df: DataFrame, max_k: int) -> DataFrame:
     """The newest comments of each thread: as many as the row's ``k``, ``max_k`` at most."""
     order = [F.col("created_utc").desc(), F.col("id")]
-    ranked = top_per_group(df, ["source", "post_id"], order, max_k)
+    ranked = top_per_group(df, ["source", "post_id"], order, max_k, spread_by=["id"])
     return ranked.where(F.col("rank") <= F.col("k"))
 
 

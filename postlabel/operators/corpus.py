@@ -44,7 +44,8 @@ def cap_random(
 ) -> DataFrame:
     """At most ``cap`` rows per label, chosen at random by seed."""
     order = [shuffle_key(F.col(id_col), seed), F.col(id_col)]
-    return top_per_group(df, ["label"], order, cap, rank="_rank").drop("_rank")
+    top = top_per_group(df, ["label"], order, cap, rank="_rank", spread_by=[id_col])
+    return top.drop("_rank")
 
 
 def cap_preferring(
@@ -56,7 +57,7 @@ def cap_preferring(
     """At most ``cap`` rows per label: the longest of some labels, the first of the others."""
     length = F.when(F.col("label").isin(*longest_first), -F.length("text")).otherwise(F.lit(0))
     keys = [length, *[F.col(c) for c in order]]
-    return top_per_group(df, ["label"], keys, cap, rank="_rank").drop("_rank")
+    return top_per_group(df, ["label"], keys, cap, rank="_rank", spread_by=order).drop("_rank")
 
 
 def shuffle(df: DataFrame, seed: int = fixed.SEED, id_col: str = "ex_id") -> DataFrame:

@@ -14,19 +14,36 @@ from postlabel.session import cut_lineage
 # Up to this k, Spark prunes a row_number() <= k window before its shuffle
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 PRUNED_K = 1000
+# Parts a group is cut into where there are only a few groups.
+SALTS = 64
 HASH_DIGITS = 4
 
 
 def top_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    k: int,
+    rank: str = "rank",
+    spread_by: Sequence[str] = (),
 ) -> DataFrame:
-    """The first k rows of each group, with their rank.
+    """The first k rows of each group, with their rank; ``order`` must be total.
 
-    For a small k every task keeps only k rows per group before the shuffle, so a hot
-    group costs no more than k rows per task. For a larger k the exact rank is used.
+    For a small k every task keeps only k rows per group before the shuffle. With few
+    groups and many tasks that is still tasks x k rows for one reducer: given ``spread_by``
+    (the columns of a unique key), each group is first cut into ``SALTS`` parts by their
+    hash, the parts are reduced to k rows in parallel, and the last round sees SALTS x k
+    rows. For a larger k the exact rank is used.
     """
     if k > PRUNED_K:
         return exact_rank(df, keys, order, rank).where(F.col(rank) <= k)
+    if spread_by:
+        cut = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
+        df = _first_k(cut, [*keys, "_salt"], order, k, "_place").drop("_salt", "_place")
+    return _first_k(df, keys, order, k, rank)
+
+
+def _first_k(df, keys, order, k, rank):
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -225,13 +226,24 @@ def _first_match(rules: Sequence[Rule], post: Post) -> Column:
     return folded
 
 
-def _fire(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Adds ``_rule``, the index of the first rule that fires.
+def _fire(df: DataFrame, **rulesets: Sequence[Rule]) -> DataFrame:
+    """Adds, per name, the index of the first rule of that set that fires.
 
-    It comes out of a generator, because a filter on the label would otherwise be pushed
-    below the projection with a copy of the whole cascade, which would then run twice.
+    The indexes come out of a generator, because a filter on the label would otherwise be
+    pushed below the projection with a copy of the whole cascade, which would then run
+    twice.
     """
-    return df.select("*", F.explode(F.array(_first_match(rules, _post()))).alias("_rule"))
+    application = df.sparkSession.sparkContext.applicationId
+    fired = F.struct(
+        *[_folded(tuple(rules), application).alias(name) for name, rules in rulesets.items()]
+    )
+    return df.select("*", F.inline(F.array(fired)))
+
+
+@lru_cache(maxsize=32)
+def _folded(rules: tuple[Rule, ...], application: str) -> Column:
+    """The cascade over ``_post()``; made once per application, as it has many parts."""
+    return _first_match(rules, _post())
 
 
 def _pick(names: Sequence[str], index: Column) -> Column:
@@ -246,7 +258,7 @@ def label_posts(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFra
     index = F.col("_rule")
     nothing = F.col("text").isNull()
     return (
-        _fire(text_features(_with_source(df)), rules)
+        _fire(text_features(_with_source(df)), _rule=rules)
         .withColumn(
             "label",
             F.when(nothing, F.lit(fixed.SKIP)).otherwise(_pick([r.label for r in rules], index)),
@@ -272,7 +284,7 @@ def skip_reason(df: DataFrame, rules: Sequence[Rule] = AUDIT_RULES) -> DataFrame
     """Adds ``skip_reason``, null for posts that are kept."""
     reason = _pick([r.note for r in rules], F.col("_rule"))
     return (
-        _fire(text_features(_with_source(df)), rules)
+        _fire(text_features(_with_source(df)), _rule=rules)
         .withColumn("skip_reason", reason)
         .drop("t", "tl", "n", "_rule")
     )
@@ -280,9 +292,7 @@ def skip_reason(df: DataFrame, rules: Sequence[Rule] = AUDIT_RULES) -> DataFrame
 
 def ruleset_diff(df: DataFrame, a: Sequence[Rule], b: Sequence[Rule]) -> DataFrame:
     """Rows on which two rule sets disagree, counted per pair of notes."""
-    notes = text_features(_with_source(df)).select(
-        _first_match(a, _post()).alias("_a"), _first_match(b, _post()).alias("_b")
-    )
+    notes = _fire(text_features(_with_source(df)), _a=a, _b=b)
     pair = notes.select(
         _pick([r.note for r in a], F.col("_a")).alias("note_a"),
         _pick([r.note for r in b], F.col("_b")).alias("note_b"),

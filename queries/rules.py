@@ -1,5 +1,7 @@
 """The rule cascade and its audits."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from postlabel.operators import report, rules
@@ -7,6 +9,7 @@ from postlabel.plans import weak_label_job as weak_labels
 
 from .base import (
     EXAMPLES_SQL,
+    NOTE_SQL,
     TURNS_SQL,
     cascade_sql,
     examples,
@@ -80,7 +83,18 @@ def label_all_matches(spark, sf):
     return matched.select("ex_id", F.array_join("matches", ">").alias("matches"))
 
 
-@query()
+# Each WHEN of the cascade on its own.
+_EVERY = ",\n  ".join(
+    f"CASE WHEN {condition} THEN '{note}' END"
+    for condition, note in re.findall(r"WHEN (.*?) THEN '(\w+)'", NOTE_SQL, re.DOTALL)
+)
+
+
+@query(
+    f"""WITH {EXAMPLES_SQL},
+{features_sql("examples")}
+SELECT ex_id, concat_ws('>', {_EVERY}, 'long_default') AS matches FROM feats"""
+)
 def every_matching_rule(spark, sf):
     matched = rules.label_all_matches(examples(spark, sf))
     return matched.select("ex_id", F.array_join("matches", ">").alias("matches"))

@@ -298,15 +298,14 @@ def matches_any(spark, sf):
 
 
 @query(
-    f"""WITH {TURNS_SQL}
-SELECT ex_id FROM turns WHERE ends_with(trim(text, '<TRIM>'), '?')
-UNION ALL SELECT doc_id FROM documents WHERE ends_with(trim(text, '<TRIM>'), '?')"""
+    f"""WITH {EXAMPLES_SQL},
+{TURNS_SQL}
+SELECT source, ex_id FROM (SELECT * FROM turns UNION ALL SELECT * FROM examples)
+WHERE ends_with(trim(text, '<TRIM>'), '?')"""
 )
 def ends_with_question(spark, sf):
-    both = turns(spark, sf).select("ex_id", "text").unionByName(
-        documents(spark, sf).select(F.col("doc_id").alias("ex_id"), "text")
-    )
-    return both.where(tx.ends_with_question(F.col("text"))).select("ex_id")
+    both = turns(spark, sf).unionByName(examples(spark, sf))
+    return both.where(tx.ends_with_question(F.col("text"))).select("source", "ex_id")
 
 
 @query(
