@@ -100,21 +100,23 @@ def _rank_by_bucket(
     them only when they turn out small. Upstream work is done in both passes, so
     expensive inputs should be a written table.
     """
-    cells = [*keys, *buckets]
+    cell = F.struct(*keys, *buckets)
     before = (
         Window.partitionBy(*keys)
         .orderBy(*buckets)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    counts = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = df.groupBy(*keys, *buckets).agg(F.count(F.lit(1)).alias("_rows"))
+    # As a struct, a null key equals a null key, so null groups are ranked as well.
     offsets = counts.select(
-        *cells,
+        cell.alias("_cell"),
         (F.sum("_rows").over(before) - F.col("_rows")).alias("_before"),
         F.sum("_rows").over(Window.partitionBy(*keys)).alias("group_rows"),
     )
-    inside = Window.partitionBy(*cells).orderBy(*order)
+    inside = Window.partitionBy("_cell").orderBy(*order)
     return (
-        df.join(offsets, cells)
+        df.withColumn("_cell", cell)
+        .join(offsets, "_cell")
         .withColumn(rank, F.col("_before") + F.row_number().over(inside))
-        .drop("_before")
+        .drop("_cell", "_before")
     )
