@@ -302,7 +302,7 @@ def error_slices(
 ) -> DataFrame:
     """Named patterns with at least ``minimum`` wrong rows.
 
-    All patterns are counted in one pass; each row is sent nowhere, only the counts are.
+    All patterns are counted in one pass, and only their counts are shuffled.
     """
     wrong = F.col("predicted") != F.col("label")
     counts = []
@@ -328,6 +328,22 @@ def error_slices(
     )
 
 
+def error_patterns(
+    errors: DataFrame,
+    slices: Mapping[str, Column],
+    minimum: int = fixed.MIN_PATTERN_ERRORS,
+) -> DataFrame:
+    """Each confused pair with at least ``minimum`` errors, and how many are in each slice."""
+    return (
+        errors.groupBy("label", "predicted")
+        .agg(
+            F.count(F.lit(1)).alias("errors"),
+            *[F.count_if(condition).alias(name) for name, condition in slices.items()],
+        )
+        .where(F.col("errors") >= minimum)
+    )
+
+
 # --- gates and baselines ------------------------------------------------------
 
 

@@ -198,14 +198,13 @@ AUDIT_RULES = (
 def text_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds stripped text ``t``, its lower case ``tl`` and its length ``n``.
 
-    Each is a projection of its own. They are used many times below, so Spark keeps
-    them apart and computes each once per row.
+    Each is computed once per row, however often it is used. ``tl`` and ``n`` come out of a
+    generator: a filter on many keywords would otherwise be pushed below the projection
+    with a copy of ``lower(trim(text))`` for every keyword.
     """
-    return (
-        df.withColumn("t", strip_ws(F.col(text)))
-        .withColumn("tl", F.lower("t"))
-        .withColumn("n", F.length("t"))
-    )
+    stripped = df.withColumn("t", strip_ws(F.col(text)))
+    derived = F.struct(F.lower("t").alias("tl"), F.length("t").alias("n"))
+    return stripped.select("*", F.inline(F.array(derived)))
 
 
 def _post() -> Post:

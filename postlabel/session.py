@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# 8 GB at Spark's default split size.
+SMALL_SPLITS = 64
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -55,13 +57,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle a scan of few splits over all cores before per-row work.
+    """Shuffle a small scan over all cores before costly per-row work.
 
-    A table with at least as many splits as cores is returned as it is, so large inputs
-    are never shuffled here. Call it on a plain scan, whose splits are known unexecuted.
+    Only a scan of fewer than ``SMALL_SPLITS`` splits is shuffled, which bounds what is
+    moved; a larger table is returned as it is. Call it on a plain scan, whose splits are
+    known unexecuted.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    # A split may hold no row group of its own, hence the factor.
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    # Twice the cores, because a split of a small file may hold no row group of its own.
+    if df.rdd.getNumPartitions() >= min(2 * cores, SMALL_SPLITS):
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(min(cores, SMALL_SPLITS), *keys)

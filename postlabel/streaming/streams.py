@@ -13,14 +13,23 @@ from postlabel.session import scratch_path
 COPY_PARTS = 16
 
 
-def read_stream(spark: SparkSession, folder: str, schema: str, pattern: str) -> DataFrame:
-    """A stream of the Parquet files of a folder whose names fit the pattern."""
-    return (
+def read_stream(
+    spark: SparkSession, folder: str, schema: str, pattern: str, spread_by: str | None = None
+) -> DataFrame:
+    """A stream of the Parquet files of a folder whose names fit the pattern.
+
+    ``spread_by`` shuffles each batch over all cores by a unique key, for batches of few
+    files and costly rows.
+    """
+    stream = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", 1000)
         .parquet(folder)
     )
+    if spread_by is None:
+        return stream
+    return stream.repartition(spark.sparkContext.defaultParallelism, spread_by)
 
 
 def label_stream(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:

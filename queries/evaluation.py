@@ -198,29 +198,20 @@ def error_slices(spark, sf):
     return metrics.error_slices(_pairs(spark, sf).join(texts, "ex_id"), _slices())
 
 
-# Which slices the errors of each pair fall into: both error views in one table.
 @query(
     PREDICTED
     + r"""
-SELECT label || ' as ' || predicted AS pattern, CAST(count(*) AS BIGINT) AS errors,
-  CAST(count(*) FILTER (WHERE regexp_matches(text, '\p{Nd}')) AS BIGINT) AS with_digits,
-  CAST(count(*) FILTER (WHERE length(text) > 1000) AS BIGINT) AS long_texts
-FROM predicted WHERE predicted <> label GROUP BY 1 HAVING count(*) >= 3"""
+SELECT label, predicted, CAST(count(*) AS BIGINT) AS errors,
+  CAST(count(*) FILTER (WHERE length(text) < 50) AS BIGINT) AS "under 50 characters",
+  CAST(count(*) FILTER (WHERE length(text) > 1000) AS BIGINT) AS "over 1000 characters",
+  CAST(count(*) FILTER (WHERE regexp_matches(text, '\p{Nd}')) AS BIGINT) AS "has digits",
+  CAST(count(*) FILTER (WHERE contains(text, '?')) AS BIGINT) AS "has question mark"
+FROM predicted WHERE predicted <> label GROUP BY label, predicted HAVING count(*) >= 3"""
 )
 def error_patterns(spark, sf):
     wrong = metrics.wrong_predictions(_pairs(spark, sf))
     texts = gold(spark, sf).select("ex_id", "text")
-    slices = _slices()
-    return (
-        metrics.attach_text(wrong, texts)
-        .groupBy(F.concat_ws(" as ", "label", "predicted").alias("pattern"))
-        .agg(
-            F.count(F.lit(1)).alias("errors"),
-            F.count_if(slices["has digits"]).alias("with_digits"),
-            F.count_if(slices["over 1000 characters"]).alias("long_texts"),
-        )
-        .where(F.col("errors") >= fixed.MIN_PATTERN_ERRORS)
-    )
+    return metrics.error_patterns(metrics.attach_text(wrong, texts), _slices())
 
 
 @query(

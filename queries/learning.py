@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from postlabel import fixed
 from postlabel.operators import model as ml
-from postlabel.session import scratch_path
+from postlabel.session import cut_lineage, scratch_path
 
 from .base import documents, query, table
 from .corpora import SPLIT_SQL, split_gold
@@ -61,7 +61,8 @@ def naive_bayes(spark, sf):
 
 
 def _fitted(spark, sf):
-    split = split_gold(spark, sf)
+    # Read by several fits, so it is computed once.
+    split = cut_lineage(split_gold(spark, sf))
     model, scores = ml.fit_classifier(
         split.where("split = 'train'"), split.where("split = 'val'"), max_iter=15
     )

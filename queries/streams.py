@@ -21,7 +21,7 @@ _ARRIVING_SQL = "SELECT doc_id AS ex_id, doc_id AS ordinal, text, 'post' AS sour
 def _arriving(spark, sf):
     start = F.unix_timestamp(F.lit("2024-01-01 00:00:00"))
     ts = F.timestamp_seconds(start + F.col("doc_id") * 60)
-    return read_stream(spark, sf, _DOCUMENTS, "documents.parquet").select(
+    return read_stream(spark, sf, _DOCUMENTS, "documents.parquet", "doc_id").select(
         F.col("doc_id").alias("ex_id"), ts.alias("ts"), "text", F.lit(fixed.POST).alias("source")
     )
 

@@ -117,3 +117,26 @@ def test_calibration(spark):
     df = spark.createDataFrame(rows, "label STRING, predicted STRING, confidence DOUBLE")
     got = {r["bin"]: tuple(r)[1:] for r in metrics.calibration(df).collect()}
     assert got == {9: (2, 0.5, 0.975), 3: (1, 1.0, 0.31)}
+
+
+def test_listings(spark):
+    from postlabel.operators import report
+
+    rows = [(i, "x" * (190 + i), "analysis", "hot_take" if i % 2 else "analysis", 0.12345) for i in range(40)]
+    df = spark.createDataFrame(
+        rows, "ordinal BIGINT, text STRING, label STRING, predicted STRING, confidence DOUBLE"
+    )
+    errors = report.first_errors(metrics.wrong_predictions(df.repartition(5))).collect()
+    assert [r["ordinal"] for r in errors] == list(range(1, 31, 2))
+    assert errors[-1]["text"] == "x" * 200 + "..." and errors[0]["text"] == "x" * 191
+    sample = report.sample_report(df, "ordinal").collect()
+    assert sum(r["correct"] for r in sample) == 20
+    assert {len(r["text"]) for r in sample} == {80} and sample[0]["confidence"] == 0.1235
+
+
+def test_error_patterns(published):
+    from pyspark.sql import functions as F
+
+    errors = metrics.wrong_predictions(published)
+    got = {(r["label"], r["predicted"]): r["late"] for r in metrics.error_patterns(errors, {"late": F.col("ex_id") >= 26}).collect()}
+    assert got == {("reaction", "hot_take"): 5, ("hot_take", "analysis"): 0}
