@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Where a local session without that setting keeps its own.
+LOCAL_CONF = "spark.postlabel.localDir"
 # 8 GB at Spark's default split size.
 SMALL_SPLITS = 64
 
@@ -32,14 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session without the setting gets a temporary folder of its own.
     """
-    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
-        CHECKPOINT_CONF
+    named = (
+        spark.conf.get(CHECKPOINT_CONF, None)
+        or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+        or spark.conf.get(LOCAL_CONF, None)
     )
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="postlabel-")
-        spark.conf.set(CHECKPOINT_CONF, named)
+        spark.conf.set(LOCAL_CONF, named)
     return named
 
 

@@ -175,7 +175,8 @@ EXAMPLES_SQL = f"""examples AS (
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """All conversation turns; an assistant's turn plays the match thread comment."""
-    return table(spark, sf, "conversations").select(
+    spread = read_table(spark, f"{sf}/conversations.parquet", "conv_id", "turn")
+    return spread.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("ex_id"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"),
         "text",

@@ -99,3 +99,31 @@ def test_own_rules(spark):
     df = spark.createDataFrame([(1, "abcd"), (2, "B"), (3, "c")], "ex_id INT, text STRING")
     got = rules.label_posts(df, mine).orderBy("ex_id").select("label", "note").collect()
     assert [tuple(r) for r in got] == [("analysis", "long"), ("reaction", "has b"), (None, None)]
+
+
+def test_guards_let_every_match_through(spark):
+    """Texts made of the patterns' own words, so that most patterns match some of them."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from postlabel import fixed
+
+    patterns = [*fixed.OPINION_MARKERS, *fixed.JUDGMENTS, fixed.HEDGES]
+    guards = [*rules.OPINION_GUARDS, *rules.JUDGMENT_GUARDS, rules.HEDGE_GUARD]
+    rng = random.Random(3)
+    pieces = [w for p in patterns for w in re.findall(r"[a-z' ]+", p.replace(r"\b", "|").replace(r"\s+", " "))]
+    pieces += ["deserves to", "proves", "can't", "can’t", "doesn't", "x", ".", "\n", "i stop", "we can't", "why is", "how can"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 7))) for _ in range(3000)]
+    df = rules.text_features(spark.createDataFrame([(t,) for t in texts], "text STRING"))
+    df = df.withColumn("source", F.lit("post"))
+    post = rules._post()
+    guarded = [rules._finds(p, g)(post).alias(f"c{i}") for i, (p, g) in enumerate(zip(patterns, guards, strict=True))]
+    found = [0] * len(patterns)
+    for row in df.select("tl", *guarded).collect():
+        for i, pattern in enumerate(patterns):
+            want = re.search(pattern, row["tl"]) is not None
+            found[i] += want
+            assert row[f"c{i}"] == want, (pattern, row["tl"])
+    assert min(found) > 0, found

@@ -76,10 +76,14 @@ def test_spread_shuffles_few_splits_only(spark, sf, capsys):
 
 def test_shared_folder_is_read_from_the_session(spark):
     named = session.shared_dir(spark)
-    assert spark.conf.get(session.CHECKPOINT_CONF) == named
     assert session.shared_dir(spark) == named
     assert scratch_path(spark, "x").startswith(named)
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+    spark.conf.set(session.CHECKPOINT_CONF, "/shared/by/cluster")
+    try:
+        assert scratch_path(spark, "x").startswith("/shared/by/cluster/postlabel/x-")
+    finally:
+        spark.conf.unset(session.CHECKPOINT_CONF)
 
 
 @pytest.mark.parametrize("column", ["n_chars"])

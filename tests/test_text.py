@@ -14,7 +14,7 @@ PATTERNS = {
     for name, value in vars(fixed).items()
     if name
     in {
-        "NEWS_SOURCE", "SCORE_UPDATE", "RESULT_LINE", "HISTORIC_MOMENT", "EXCLAMATION", "YEAR",
+        "NEWS_SOURCE", "SCORE_UPDATE", "RESULT_LINE", "YEAR",
         "OPINIONATED_QUESTION", "QUOTE_OPENER", "BOLD_CLAIM", "HEDGES",
     }
 }
