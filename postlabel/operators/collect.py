@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postlabel import fixed
 from postlabel.functions.text import is_discussion, is_match_thread
-from postlabel.operators.ranking import top_per_group
+from postlabel.operators.ranking import first_rows, top_per_group
 
 Bounds = Sequence[tuple[str, datetime, datetime]]
 
@@ -102,12 +102,10 @@ def newest_threads(
 ) -> DataFrame:
     """The newest k posts of a period, k rows at most."""
     created = F.col("created_utc")
-    return (
-        posts.where(_within(created, after, before))
-        .select("id", "created_utc", "title", "num_comments")
-        .orderBy(created.desc(), "id")
-        .limit(k)
+    period = posts.where(_within(created, after, before)).select(
+        "id", "created_utc", "title", "num_comments"
     )
+    return first_rows(period, [created.desc(), F.col("id")], k, ["id"])
 
 
 def pick_threads(

@@ -43,6 +43,21 @@ def top_per_group(
     return _first_k(df, keys, order, k, rank)
 
 
+def first_rows(
+    df: DataFrame, order: Sequence[Column], k: int, spread_by: Sequence[str]
+) -> DataFrame:
+    """The first k rows of the whole table, in order.
+
+    A plain ordered limit sends k rows of every task to one reducer or to the driver; here
+    ``SALTS`` tasks cut them first, and the last one sees SALTS x k rows.
+    """
+    if k > PRUNED_K:
+        return df.orderBy(*order).limit(k)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
+    cut = _first_k(salted, ["_salt"], order, k, "_place").drop("_salt", "_place")
+    return cut.orderBy(*order).limit(k)
+
+
 def _first_k(df, keys, order, k, rank):
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postlabel import fixed
 from postlabel.functions.text import preview
+from postlabel.operators.ranking import first_rows
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
@@ -119,18 +120,18 @@ def balance_check(
 def first_errors(
     errors: DataFrame, n: int = fixed.FIRST_ERRORS, order: Sequence[str] = ("ordinal",)
 ) -> DataFrame:
-    """The first n wrong rows with text, truth, prediction and confidence."""
-    return (
-        errors.orderBy(*order)
-        .limit(n)
-        .select(
-            *order,
-            preview(F.col("text"), 200, ellipsis=True).alias("text"),
-            "label",
-            "predicted",
-            F.round("confidence", 2).alias("confidence"),
-        )
+    """The first n wrong rows with text, truth, prediction and confidence.
+
+    The texts are cut to what is shown before any row moves.
+    """
+    shown = errors.select(
+        *order,
+        preview(F.col("text"), 200, ellipsis=True).alias("text"),
+        "label",
+        "predicted",
+        F.round("confidence", 2).alias("confidence"),
     )
+    return first_rows(shown, [F.col(c) for c in order], n, order)
 
 
 def sample_report(scored: DataFrame, *keep: str, n: int = 80) -> DataFrame:

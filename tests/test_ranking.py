@@ -55,3 +55,10 @@ def test_small_k_is_pruned_before_the_shuffle(skewed, capsys):
     ranking.top_per_group(skewed, ["g"], [F.col("id")], 5).explain()
     plan = capsys.readouterr().out
     assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+@pytest.mark.parametrize("k", [7, 1500])
+def test_first_rows(skewed, k):
+    order = [F.col("v").desc(), F.col("id")]
+    want = [r["id"] for r in skewed.orderBy(*order).limit(k).collect()]
+    assert [r["id"] for r in ranking.first_rows(skewed, order, k, ["id"]).collect()] == want
