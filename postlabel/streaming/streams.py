@@ -14,7 +14,12 @@ COPY_PARTS = 16
 
 
 def read_stream(
-    spark: SparkSession, folder: str, schema: str, pattern: str, spread_by: str | None = None
+    spark: SparkSession,
+    folder: str,
+    schema: str,
+    pattern: str,
+    spread_by: str | None = None,
+    files_per_batch: int = 1000,
 ) -> DataFrame:
     """A stream of the Parquet files of a folder whose names fit the pattern.
 
@@ -24,7 +29,7 @@ def read_stream(
     stream = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", 1000)
+        .option("maxFilesPerTrigger", files_per_batch)
         .parquet(folder)
     )
     if spread_by is None:

@@ -43,3 +43,47 @@ def test_stream_counts(spark, tmp_path):
     got = run_once(label_counts_stream(stream), "counts", "update")
     counts = {(r["start"].hour, r["label"]): r["rows"] for r in got.collect()}
     assert counts == {(0, "skip"): 1, (0, "hot_take"): 1, (1, "hot_take"): 1, (1, "reaction"): 1}
+
+
+def _batches(spark, folder, *batches):
+    """One file per batch, with rising modification times."""
+    import os
+
+    for i, rows in enumerate(batches):
+        before = set(folder.glob("*.parquet")) if folder.exists() else set()
+        _write(spark, folder, rows)
+        for new in set(folder.glob("*.parquet")) - before:
+            os.utime(new, (1_700_000_000 + i * 60,) * 2)
+    return read_stream(spark, str(folder), SCHEMA, "*.parquet", files_per_batch=1)
+
+
+def test_late_rows_are_dropped_past_the_watermark(spark, tmp_path):
+    stream = _batches(
+        spark,
+        tmp_path / "in",
+        [(1, "2024-01-01 00:10:00", "Midfield depth wins titles", "post")],
+        [(2, "2024-01-01 05:00:00", "Midfield depth wins titles", "post")],
+        # Spark drops late rows by the watermark of the batch before.
+        [(5, "2024-01-01 05:00:30", "Midfield depth wins titles", "post")],
+        [
+            (3, "2024-01-01 00:20:00", "Midfield depth wins titles", "post"),  # too late
+            (4, "2024-01-01 04:30:00", "Midfield depth wins titles", "post"),  # late, in time
+        ],
+    )
+    got = run_once(label_counts_stream(label_stream(stream)), "late", "update").collect()
+    latest = {}
+    for r in sorted(got, key=lambda r: r["batch"]):
+        latest[r["start"].hour] = r["rows"]
+    assert latest == {0: 1, 5: 2, 4: 1}
+
+
+def test_copies_in_later_batches_are_dropped_within_the_delay(spark, tmp_path):
+    stream = _batches(
+        spark,
+        tmp_path / "in",
+        [(1, "2024-01-01 00:00:00", "same", "post"), (2, "2024-01-01 00:01:00", "other", "post")],
+        [(3, "2024-01-01 00:30:00", "same", "post")],
+        [(4, "2024-01-01 00:40:00", "new", "post"), (5, "2024-01-01 00:41:00", "other", "post")],
+    )
+    got = run_once(dedupe_stream(stream).select("ex_id"), "copies").collect()
+    assert sorted(r["ex_id"] for r in got) == [1, 2, 4]
