@@ -21,8 +21,9 @@ from postlabel.operators.rules import label_posts
 from postlabel.session import cut_lineage
 
 TOKEN = r"[\p{L}\p{N}_]+"
-# A model row is a token and a few numbers, so this many stay far below a broadcast's limit.
+# A vocabulary is broadcast up to this many tokens and this many bytes of tokens.
 BROADCAST_TOKENS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 TOKEN_SALTS = 32
 
 
@@ -45,6 +46,7 @@ class NaiveBayesModel:
 
     tokens: DataFrame  # token, counts ARRAY<BIGINT>
     vocabulary: int
+    token_bytes: int
     token_totals: tuple[int, ...]
     doc_totals: tuple[int, ...]
     labels: tuple[str, ...]
@@ -73,12 +75,14 @@ def fit_naive_bayes(
     is_token = F.col("token") != ""
     totals = table.agg(
         F.count_if(is_token).alias("vocabulary"),
+        F.sum(F.octet_length("token").cast("bigint")).alias("bytes"),
         *[F.sum(F.when(is_token, F.col(c))).alias(f"t{c}") for c in counts],
         *[F.sum(F.when(~is_token, F.col(c))).alias(f"d{c}") for c in counts],
     ).first()
     return NaiveBayesModel(
         table.where(is_token).select("token", F.array(*counts).alias("counts")),
         totals["vocabulary"],
+        totals["bytes"] or 0,
         tuple(totals[f"t{c}"] or 0 for c in counts),
         tuple(totals[f"d{c}"] or 0 for c in counts),
         tuple(labels),
@@ -89,11 +93,11 @@ def fit_naive_bayes(
 def join_by_token(words: DataFrame, model: NaiveBayesModel, id_col: str) -> DataFrame:
     """Left join of words with the model; a frequent word must not become one task.
 
-    A vocabulary below ``BROADCAST_TOKENS`` (its size is known) is broadcast and the words
-    stay where they are. A larger one is copied ``TOKEN_SALTS`` times and the words of
-    one token are spread over the copies by their document.
+    The vocabulary's size was counted when it was fitted. A small one is broadcast and the
+    words stay where they are. A larger one is copied ``TOKEN_SALTS`` times and the words
+    of one token are spread over the copies by their document.
     """
-    if model.vocabulary <= BROADCAST_TOKENS:
+    if model.vocabulary <= BROADCAST_TOKENS and model.token_bytes <= BROADCAST_BYTES:
         return words.join(F.broadcast(model.tokens), "token", "left")
     salts = F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1)))
     copies = model.tokens.withColumn("_salt", salts)
