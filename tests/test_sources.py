@@ -74,16 +74,15 @@ def test_spread_shuffles_few_splits_only(spark, sf, capsys):
     assert session.spread(many, "id") is many
 
 
-def test_shared_folder_is_read_from_the_session(spark):
+def test_shared_folder_is_read_from_the_session(spark, monkeypatch):
     named = session.shared_dir(spark)
     assert session.shared_dir(spark) == named
     assert scratch_path(spark, "x").startswith(named)
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
-    spark.conf.set(session.CHECKPOINT_CONF, "/shared/by/cluster")
-    try:
-        assert scratch_path(spark, "x").startswith("/shared/by/cluster/postlabel/x-")
-    finally:
-        spark.conf.unset(session.CHECKPOINT_CONF)
+    # The real setting cannot be changed in a running session, so another name stands for it.
+    monkeypatch.setattr(session, "CHECKPOINT_CONF", "spark.postlabel.testDir")
+    spark.conf.set("spark.postlabel.testDir", "/shared/by/cluster")
+    assert scratch_path(spark, "x").startswith("/shared/by/cluster/postlabel/x-")
 
 
 @pytest.mark.parametrize("column", ["n_chars"])
