@@ -3,6 +3,7 @@
 from .decontaminate import op7_decontaminate
 from .line_templates import op8_line_templates
 from .minhash_dedup import op4_minhash_dedup
+from .ngram_lm import op9_ngram_lm
 from .packing import op10_packing
 from .suffix_dedup import op1_suffix_dedup
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_templates": op8_line_templates,
+    "op9_ngram_lm": op9_ngram_lm,
     "op10_packing": op10_packing,
 }
 
