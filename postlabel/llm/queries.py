@@ -1,6 +1,7 @@
 """Registered queries of the operators in this folder, and SQL where it can express them."""
 
 from .decontaminate import op7_decontaminate
+from .language_id import op3_language_id
 from .line_templates import op8_line_templates
 from .minhash_dedup import op4_minhash_dedup
 from .ngram_lm import op9_ngram_lm
@@ -9,6 +10,7 @@ from .suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_language_id": op3_language_id,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_templates": op8_line_templates,

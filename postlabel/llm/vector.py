@@ -96,14 +96,19 @@ def word_bounds(data: np.ndarray, offs: np.ndarray, word: np.ndarray = WORD):
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums from which ``span_hash`` takes the polynomial hash of any span."""
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(_TABLE[data] * power[:-1], out=sums[1:])
+def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums from which ``span_hash`` takes the polynomial hash of any span of values."""
+    power, inverse = _power_tables(len(values) + 1)
+    sums = np.zeros(len(values) + 1, U)
+    np.cumsum(values * power[:-1], out=sums[1:])
     return sums, inverse
 
 
+def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``prefix_sums`` of bytes."""
+    return prefix_sums(_TABLE[data])
+
+
 def span_hash(sums: np.ndarray, inverse: np.ndarray, starts, ends) -> np.ndarray:
     """Hashes of the bytes between starts and ends, wherever they stand."""
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
