@@ -6,10 +6,12 @@ from .line_templates import op8_line_templates
 from .minhash_dedup import op4_minhash_dedup
 from .ngram_lm import op9_ngram_lm
 from .packing import op10_packing
+from .quality_rules import op2_quality_rules
 from .suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op7_decontaminate": op7_decontaminate,
