@@ -8,12 +8,14 @@ from .ngram_lm import op9_ngram_lm
 from .packing import op10_packing
 from .quality_rules import op2_quality_rules
 from .suffix_dedup import op1_suffix_dedup
+from .warc_zip import op5_warc_zip
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_warc_zip": op5_warc_zip,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_templates": op8_line_templates,
     "op9_ngram_lm": op9_ngram_lm,
