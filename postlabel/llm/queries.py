@@ -1,5 +1,6 @@
 """Registered queries of the operators in this folder, and SQL where it can express them."""
 
+from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import op7_decontaminate
 from .language_id import op3_language_id
 from .line_templates import op8_line_templates
@@ -16,10 +17,13 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_warc_zip": op5_warc_zip,
+    "op6_chat_format": op6_chat_format,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_templates": op8_line_templates,
     "op9_ngram_lm": op9_ngram_lm,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_chat_format": OP6_SQL,
+}
