@@ -1,5 +1,7 @@
 """Registered queries of the operators in this folder, and SQL where it can express them."""
 
+import corpus_pipeline
+
 from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import op7_decontaminate
 from .language_id import op3_language_id
@@ -22,6 +24,7 @@ QUERIES = {
     "op8_line_templates": op8_line_templates,
     "op9_ngram_lm": op9_ngram_lm,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
