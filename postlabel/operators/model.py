@@ -21,10 +21,10 @@ from postlabel.operators.rules import label_posts
 from postlabel.session import cut_lineage
 
 TOKEN = r"[\p{L}\p{N}_]+"
-# A vocabulary is broadcast up to this many tokens and this many bytes of tokens.
-BROADCAST_TOKENS = 1_000_000
-BROADCAST_BYTES = 64 << 20
-TOKEN_SALTS = 32
+# A token is frequent from this share of all tokens on, so there are at most 1 / share of them.
+FREQUENT_SHARE = 0.001
+# Buckets that words are hashed into for the linear model.
+FEATURES = 1 << 18
 
 
 def tokens_of(text: Column, limit: int | None = fixed.MAX_TOKENS) -> Column:
@@ -46,7 +46,6 @@ class NaiveBayesModel:
 
     tokens: DataFrame  # token, counts ARRAY<BIGINT>
     vocabulary: int
-    token_bytes: int
     token_totals: tuple[int, ...]
     doc_totals: tuple[int, ...]
     labels: tuple[str, ...]
@@ -75,14 +74,12 @@ def fit_naive_bayes(
     is_token = F.col("token") != ""
     totals = table.agg(
         F.count_if(is_token).alias("vocabulary"),
-        F.sum(F.octet_length("token").cast("bigint")).alias("bytes"),
         *[F.sum(F.when(is_token, F.col(c))).alias(f"t{c}") for c in counts],
         *[F.sum(F.when(~is_token, F.col(c))).alias(f"d{c}") for c in counts],
     ).first()
     return NaiveBayesModel(
         table.where(is_token).select("token", F.array(*counts).alias("counts")),
         totals["vocabulary"],
-        totals["bytes"] or 0,
         tuple(totals[f"t{c}"] or 0 for c in counts),
         tuple(totals[f"d{c}"] or 0 for c in counts),
         tuple(labels),
@@ -90,19 +87,18 @@ def fit_naive_bayes(
     )
 
 
-def join_by_token(words: DataFrame, model: NaiveBayesModel, id_col: str) -> DataFrame:
+def join_by_token(words: DataFrame, model: NaiveBayesModel) -> DataFrame:
     """Left join of words with the model; a frequent word must not become one task.
 
-    The vocabulary's size was counted when it was fitted. A small one is broadcast and the
-    words stay where they are. A larger one is copied ``TOKEN_SALTS`` times and the words
-    of one token are spread over the copies by their document.
+    Tokens that make up ``FREQUENT_SHARE`` of all in training, 1,000 at most, are broadcast
+    and their words stay where they are; the rest is an ordinary join on the token.
     """
-    if model.vocabulary <= BROADCAST_TOKENS and model.token_bytes <= BROADCAST_BYTES:
-        return words.join(F.broadcast(model.tokens), "token", "left")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1)))
-    copies = model.tokens.withColumn("_salt", salts)
-    spread = words.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(TOKEN_SALTS)).cast("int"))
-    return spread.join(copies, ["token", "_salt"], "left").drop("_salt")
+    seen = F.aggregate("counts", F.lit(0).cast("bigint"), lambda total, n: total + n)
+    often = seen >= FREQUENT_SHARE * sum(model.token_totals)
+    frequent = model.tokens.where(often)
+    first = words.join(F.broadcast(frequent), "token", "left")
+    rest = first.where("counts IS NULL").drop("counts").join(model.tokens.where(~often), "token", "left")
+    return first.where("counts IS NOT NULL").unionByName(rest)
 
 
 def score_naive_bayes(df: DataFrame, model: NaiveBayesModel, id_col: str = "ex_id") -> DataFrame:
@@ -115,12 +111,14 @@ def score_naive_bayes(df: DataFrame, model: NaiveBayesModel, id_col: str = "ex_i
     words = (
         df.select(id_col, tokens.alias("_tokens"))
         .select(id_col, F.size("_tokens").alias("_size"), F.explode_outer("_tokens").alias("token"))
+        .groupBy(id_col, "_size", "token")
+        .agg(F.count(F.lit(1)).alias("_tf"))
     )
     size, all_docs = len(model.labels), sum(model.doc_totals)
-    seen = join_by_token(words, model, id_col)
+    seen = join_by_token(words, model)
     sums = seen.groupBy(id_col, "_size").agg(
         *[
-            F.sum(F.log(F.coalesce(F.get("counts", F.lit(i)), F.lit(0)) + 1)).alias(f"_s{i}")
+            F.sum(F.col("_tf") * F.log(F.coalesce(F.get("counts", F.lit(i)), F.lit(0)) + 1)).alias(f"_s{i}")
             for i in range(size)
         ]
     )
@@ -152,8 +150,8 @@ def _log_ratio(a: int, b: int) -> float:
 # --- linear model -------------------------------------------------------------
 
 
-def text_pipeline(features: int = 1 << 12, limit: int | None = fixed.MAX_TOKENS) -> Pipeline:
-    """Tokens, hashed counts and inverse document frequency: the stages before the model."""
+def text_pipeline(features: int = FEATURES, limit: int | None = None) -> Pipeline:
+    """Tokens (of whole texts unless limited), hashed counts and inverse document frequency."""
     words = f"regexp_extract_all(lower(text), '{TOKEN}', 0)".replace("\\", "\\\\")
     cut = words if limit is None else f"slice({words}, 1, {limit})"
     return Pipeline(
@@ -169,9 +167,10 @@ def fit_classifier(
     train: DataFrame,
     val: DataFrame,
     grid: Iterable[Mapping[str, float]] = ({"regParam": 0.01}, {"regParam": 0.1}),
-    features: int = 1 << 12,
+    features: int = FEATURES,
     max_iter: int = 30,
     labels: Sequence[str] = fixed.LABELS,
+    limit: int | None = None,
 ) -> tuple[PipelineModel, list[tuple[Mapping[str, float], float]]]:
     """Multinomial logistic regression; the grid point best on validation is kept.
 
@@ -185,7 +184,7 @@ def fit_classifier(
             "label_id IS NOT NULL"
         )
 
-    text_model = text_pipeline(features).fit(encoded(train))
+    text_model = text_pipeline(features, limit).fit(encoded(train))
     ready = text_model.transform(encoded(train)).select("label_id", "features").persist()
     val_ready = text_model.transform(encoded(val)).select("label_id", "features").persist()
     try:

@@ -11,10 +11,9 @@ from postlabel import fixed
 from postlabel.functions.text import shuffle_key
 from postlabel.session import cut_lineage
 
-# Up to this k, Spark prunes a row_number() <= k window before its shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-PRUNED_K = 1000
-# Parts a group is cut into where there are only a few groups.
+# Up to the k of this setting, Spark prunes a row_number() <= k window before its shuffle.
+PRUNING = "spark.sql.optimizer.windowGroupLimitThreshold"
+# Reducers that the tasks' rows of one group are dealt to where there are only a few groups.
 SALTS = 64
 HASH_DIGITS = 4
 
@@ -29,16 +28,18 @@ def top_per_group(
 ) -> DataFrame:
     """The first k rows of each group, with their rank; ``order`` must be total.
 
-    For a small k every task keeps only k rows per group before the shuffle. With few
-    groups and many tasks that is still tasks x k rows for one reducer: given ``spread_by``
-    (the columns of a unique key), each group is first cut into ``SALTS`` parts by their
-    hash, the parts are reduced to k rows in parallel, and the last round sees SALTS x k
-    rows. For a larger k the exact rank is used.
+    Every task keeps only k rows per group before the shuffle, as far as the session lets
+    Spark prune so. With few groups and many tasks that is still tasks x k rows for one
+    reducer: given ``spread_by`` (the columns of a unique key), the rows of each task go to
+    one of ``SALTS`` reducers, which cut them to k rows each, and the last round sees
+    SALTS x k rows. A task has one salt, so it still sends k rows per group and no more; the
+    order is total, so the rows do not depend on the salt. A k beyond the pruning is ranked
+    exactly.
     """
-    if k > PRUNED_K:
-        return exact_rank(df, keys, order, rank).where(F.col(rank) <= k)
+    if k > _pruned(df):
+        return exact_rank(df, keys, order, rank, k)
     if spread_by:
-        cut = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
+        cut = df.withColumn("_salt", _task_salt())
         df = _first_k(cut, [*keys, "_salt"], order, k, "_place").drop("_salt", "_place")
     return _first_k(df, keys, order, k, rank)
 
@@ -49,24 +50,39 @@ def first_rows(
     """The first k rows of the whole table, in order.
 
     A plain ordered limit sends k rows of every task to one reducer or to the driver; here
-    ``SALTS`` tasks cut them first, and the last one sees SALTS x k rows.
+    ``SALTS`` tasks cut them first, and the last one sees SALTS x k rows. A k beyond Spark's
+    pruning is ranked exactly, and only the rows it keeps are sorted.
     """
-    if k > PRUNED_K:
-        return df.orderBy(*order).limit(k)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
+    if k > _pruned(df):
+        one = df.withColumn("_all", F.lit(0))
+        top = exact_rank(one, ["_all"], order, "_place", k)
+        return top.orderBy("_place").drop("_all", "_place")
+    salted = df.withColumn("_salt", _task_salt())
     cut = _first_k(salted, ["_salt"], order, k, "_place").drop("_salt", "_place")
     return cut.orderBy(*order).limit(k)
 
 
+def _pruned(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(PRUNING))
+
+
+def _task_salt() -> Column:
+    return F.pmod(F.spark_partition_id(), F.lit(SALTS))
+
+
 def _first_k(df, keys, order, k, rank):
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
 def exact_rank(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    rank: str = "rank",
+    first: int | None = None,
 ) -> DataFrame:
-    """row_number() over (keys, order) for groups of any size.
+    """row_number() over (keys, order) for groups of any size; the ``first`` ranks if given.
 
     Rows are range partitioned by (keys, order), so a large group is spread over many
     partitions; each row's rank is its place in its partition plus the group's rows in
@@ -78,7 +94,7 @@ def exact_rank(
     ranged = cut_lineage(
         df.repartitionByRange(*sort_keys, *order).withColumn(part, F.spark_partition_id())
     )
-    return _rank_by_bucket(ranged, keys, [part], order, rank).drop(part, "group_rows")
+    return _rank_by_bucket(ranged, keys, [part], order, rank, first).drop(part, "group_rows")
 
 
 def hash_rank(
@@ -107,6 +123,7 @@ def _rank_by_bucket(
     buckets: Sequence[str],
     order: Sequence[Column],
     rank: str,
+    first: int | None = None,
 ) -> DataFrame:
     """Rank from buckets whose order agrees with ``order``.
 
@@ -128,10 +145,14 @@ def _rank_by_bucket(
         (F.sum("_rows").over(before) - F.col("_rows")).alias("_before"),
         F.sum("_rows").over(Window.partitionBy(*keys)).alias("group_rows"),
     )
+    if first is not None:
+        # Buckets that lie behind the last wanted row are not ranked.
+        offsets = offsets.where(F.col("_before") < first)
     inside = Window.partitionBy("_cell").orderBy(*order)
-    return (
+    ranked = (
         df.withColumn("_cell", cell)
         .join(offsets, "_cell")
         .withColumn(rank, F.col("_before") + F.row_number().over(inside))
         .drop("_cell", "_before")
     )
+    return ranked if first is None else ranked.where(F.col(rank) <= first)

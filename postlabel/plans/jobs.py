@@ -25,8 +25,8 @@ from postlabel.operators.collect import (
 from postlabel.operators.metrics import align, class_report, compare_models, model_comparison
 from postlabel.operators.rules import DEFAULT_RULES, Rule, label_posts, labelable
 
-COLLECTED = ("part", "group_no", "rank", "id", "text", "source")
-COLLECTED_ORDER = ("part", "group_no", "rank", "id")
+COLLECTED_ORDER = ("part", "kind", "group_no", "thread_no", "rank", "id")
+COLLECTED = (*COLLECTED_ORDER, "text", "source")
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,14 @@ def windowed_posts(posts: DataFrame, anchor: datetime, what: Pass = FIRST_PASS)
 def collect_posts(posts: DataFrame, anchor: datetime, what: Pass = FIRST_PASS) -> DataFrame:
     rows = windowed_posts(posts, anchor, what)
     return rows.where(min_length(F.col("text"), what.min_post, what.strict)).select(
-        F.lit(0).alias("part"), F.col("window_no").alias("group_no"), "rank", "id", "text", "source"
+        F.lit(0).alias("part"),
+        F.lit(0).alias("kind"),
+        F.col("window_no").alias("group_no"),
+        F.lit(0).alias("thread_no"),
+        "rank",
+        "id",
+        "text",
+        "source",
     )
 
 
@@ -114,8 +121,10 @@ def fetched_comments(
     posts: DataFrame, comments: DataFrame, anchor: datetime, what: Pass = FIRST_PASS
 ) -> DataFrame:
     """The newest comments of the chosen threads, before cleaning and filters."""
+    # The most that any row's ``k`` can be, as ``pick_threads`` sets it.
     most = max(
-        fixed.MATCH_THREAD_COMMENTS, what.threads.get("discussion_comments", 0)
+        what.threads.get("match_comments", fixed.MATCH_THREAD_COMMENTS),
+        what.threads.get("discussion_comments", fixed.DISCUSSION_COMMENTS),
     )
     tagged = comments_for_threads(comments, threads_of(posts, anchor, what))
     return newest_per_thread(tagged, most).withColumn("text", what.clean(F.coalesce("body", F.lit(""))))
@@ -129,8 +138,16 @@ def collect_comments(
     )
     # Match threads come before discussions, periods and threads in their order.
     kind = F.when(F.col("source") == fixed.MATCH_THREAD_COMMENT, 0).otherwise(1)
-    group = (kind * 10_000 + F.col("period") * 100 + F.col("thread_no")).alias("group_no")
-    return rows.select(F.lit(1).alias("part"), group, "rank", "id", "text", "source")
+    return rows.select(
+        F.lit(1).alias("part"),
+        kind.alias("kind"),
+        F.col("period").alias("group_no"),
+        "thread_no",
+        "rank",
+        "id",
+        "text",
+        "source",
+    )
 
 
 def collect_corpus(

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from postlabel.operators.rules import DEFAULT_RULES, Rule, label_posts
 from postlabel.session import scratch_path
 
-COPY_PARTS = 16
-
 
 def read_stream(
     spark: SparkSession,
@@ -43,22 +41,17 @@ def label_stream(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFr
 
 
 def dedupe_stream(
-    df: DataFrame, id_col: str = "ex_id", ts: str = "ts", delay: str = "1 hour"
+    df: DataFrame, ts: str = "ts", delay: str = "1 hour"
 ) -> DataFrame:
     """Drops texts seen within the watermark.
 
-    The first to arrive stays, not the one of lowest ordinal as in ``dedupe_text``. State
-    holds a SHA-256 per text and not the text. Copies are first dropped within parts of
-    their text, by id, so that a text that floods the stream is met by many tasks and
-    only one row per part reaches the task of that text.
+    The first to arrive stays, not the one of lowest ordinal as in ``dedupe_text``. There is
+    one state per text, a SHA-256 and not the text; a dropped copy does not renew it.
     """
     return (
         df.withColumn("text_hash", F.sha2("text", 256))
-        .withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(COPY_PARTS)))
         .withWatermark(ts, delay)
-        .dropDuplicatesWithinWatermark(["text_hash", "_part"])
         .dropDuplicatesWithinWatermark(["text_hash"])
-        .drop("_part")
     )
 
 

@@ -312,13 +312,21 @@ def answer_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
-    """Three scores per vector: its first elements, spread by ten."""
+    """Three scores per vector: the whole of it projected on three fixed vectors of weight.
+
+    Weights are 10 at every third place, from the first, second or third on, and 0 elsewhere.
+    """
+
+    def project(start: int):
+        part = F.filter("embedding", lambda x, i: i % 3 == start)
+        return F.aggregate(part, F.lit(0.0), lambda total, x: total + x.cast("double") * 10)
+
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("ex_id"),
         F.element_at(
             F.array(*[F.lit(name) for name in fixed.LABELS]), (F.col("label") % 3 + 1).cast("int")
         ).alias("label"),
-        F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 10).alias("scores"),
+        F.array(*[project(i) for i in range(3)]).alias("scores"),
     )
 
 
@@ -329,8 +337,9 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 LOGITS_SQL = """logits AS (
   SELECT vec_id AS ex_id,
          CASE label % 3 WHEN 0 THEN 'analysis' WHEN 1 THEN 'hot_take' ELSE 'reaction' END AS label,
-         CAST(embedding[1] AS DOUBLE) * 10 AS a, CAST(embedding[2] AS DOUBLE) * 10 AS h,
-         CAST(embedding[3] AS DOUBLE) * 10 AS r
+         list_sum([CAST(x AS DOUBLE) * 10 FOR x, i IN embedding IF i % 3 = 1]) AS a,
+         list_sum([CAST(x AS DOUBLE) * 10 FOR x, i IN embedding IF i % 3 = 2]) AS h,
+         list_sum([CAST(x AS DOUBLE) * 10 FOR x, i IN embedding IF i % 3 = 0]) AS r
   FROM embeddings),
 scored AS (
   SELECT ex_id, label, exp(a - m) / s AS pa, exp(h - m) / s AS ph, exp(r - m) / s AS pr,

@@ -231,14 +231,14 @@ def _corpus_sql(collapse):
 {THREADS_SQL if first else EXTRA_THREADS_SQL},
 {_fetched(first)},
 rows_all AS (
-  SELECT 0 AS part, window_no AS group_no, rank, id, text, '{source}' AS source FROM windowed
+  SELECT 0 AS part, 0 AS kind, window_no AS group_no, 0 AS thread_no, rank, id, text, '{source}' AS source FROM windowed
   WHERE {limit}
   UNION ALL
-  SELECT 1, CASE source WHEN 'match_thread_comment' THEN 0 ELSE 10000 END + period * 100 + thread_no,
+  SELECT 1, CASE source WHEN 'match_thread_comment' THEN 0 ELSE 1 END, period, thread_no,
     rank, id, text, source FROM fetched
   WHERE {comment_limit} AND text NOT IN ('[deleted]', '[removed]'))
 SELECT id, text, source FROM (
-  SELECT *, row_number() OVER (PARTITION BY text ORDER BY part, group_no, rank, id) AS copy
+  SELECT *, row_number() OVER (PARTITION BY text ORDER BY part, kind, group_no, thread_no, rank, id) AS copy
   FROM rows_all) WHERE copy = 1"""
 
 

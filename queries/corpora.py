@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from postlabel.operators import corpus, ranking, report, rules
+from postlabel.session import cut_lineage
 
 from .base import (
     EXAMPLES_SQL,
@@ -127,7 +128,10 @@ split AS (
 
 
 def split_gold(spark, sf):
-    return corpus.stratified_split(gold(spark, sf))
+    """Gold rows with their split, which is ranked once, on ids and labels, and kept."""
+    rows = gold(spark, sf)
+    split = corpus.stratified_split(rows.select("ex_id", "label")).select("ex_id", "split")
+    return rows.join(cut_lineage(split), "ex_id")
 
 
 @query(f"WITH {SPLIT_SQL}\nSELECT ex_id, label, split FROM split")
@@ -157,7 +161,9 @@ SELECT 'text', count(*), count(*) FILTER (WHERE n > 1)
 FROM (SELECT text, count(DISTINCT split) AS n FROM split GROUP BY text)"""
 )
 def split_overlap(spark, sf):
-    return corpus.split_overlap(split_gold(spark, sf))
+    # Texts stand for themselves by their digest, so none is shuffled.
+    rows = gold(spark, sf).select("ex_id", "label", F.sha2("text", 256).alias("text"))
+    return corpus.split_overlap(corpus.stratified_split(rows))
 
 
 @query(
@@ -166,7 +172,7 @@ SELECT coalesce(split, 'ALL') AS split, coalesce(label, 'ALL') AS label,
   CAST(count(*) AS BIGINT) AS rows FROM split GROUP BY CUBE (split, label)"""
 )
 def split_sizes(spark, sf):
-    return report.split_sizes(split_gold(spark, sf))
+    return report.split_sizes(corpus.stratified_split(gold(spark, sf).select("ex_id", "label")))
 
 
 @query(

@@ -40,18 +40,21 @@ overall AS (SELECT sum(hit) AS hits, sum(support) AS rows, sum(hit) / sum(suppor
 
 
 def _pairs(spark, sf):
-    return metrics.align(rule_predictions(spark, sf), gold(spark, sf))
+    """Predictions beside the truth and the text, made on the gold rows in place."""
+    predicted = rules_as_model(gold(spark, sf).withColumnRenamed("label", "truth"))
+    return predicted.select("ex_id", F.col("truth").alias("label"), F.col("label").alias("predicted"), "text")
 
 
 def _both(spark, sf):
-    return metrics.compare_models(
-        answer_predictions(spark, sf), rule_predictions(spark, sf), gold(spark, sf)
-    )
+    """Both models' predictions on the gold rows: the rules' in place, the answers joined."""
+    answers = answer_predictions(spark, sf).withColumnRenamed("label", "predicted_a")
+    rules = _pairs(spark, sf).select("ex_id", "label", F.col("predicted").alias("predicted_b"))
+    return rules.join(answers, "ex_id", "left").select("ex_id", "label", "predicted_a", "predicted_b")
 
 
 @query(PREDICTED + "\nSELECT ex_id, label, predicted FROM predicted")
 def align(spark, sf):
-    return _pairs(spark, sf)
+    return metrics.align(rule_predictions(spark, sf), gold(spark, sf))
 
 
 @query(PREDICTED + "\nSELECT ex_id, predicted AS label, note FROM predicted")
@@ -61,7 +64,7 @@ def rule_baseline(spark, sf):
 
 @query(PREDICTED + "\nSELECT ex_id, label, predicted, text FROM predicted WHERE predicted <> label")
 def attach_text(spark, sf):
-    errors = metrics.wrong_predictions(_pairs(spark, sf))
+    errors = metrics.wrong_predictions(_pairs(spark, sf).drop("text"))
     texts = documents(spark, sf).select(F.col("doc_id").alias("ex_id"), "text")
     return metrics.attach_text(errors, texts)
 
@@ -71,7 +74,9 @@ def attach_text(spark, sf):
     + "\nSELECT ex_id, label, answered AS predicted_a, predicted AS predicted_b FROM predicted"
 )
 def compare_models(spark, sf):
-    return _both(spark, sf)
+    return metrics.compare_models(
+        answer_predictions(spark, sf), rule_predictions(spark, sf), gold(spark, sf)
+    )
 
 
 @query(
@@ -194,8 +199,7 @@ def _slices():
 
 @query(PREDICTED + _SLICES_SQL)
 def error_slices(spark, sf):
-    texts = gold(spark, sf).select("ex_id", "text")
-    return metrics.error_slices(_pairs(spark, sf).join(texts, "ex_id"), _slices())
+    return metrics.error_slices(_pairs(spark, sf), _slices())
 
 
 @query(
@@ -209,9 +213,7 @@ SELECT label, predicted, CAST(count(*) AS BIGINT) AS errors,
 FROM predicted WHERE predicted <> label GROUP BY label, predicted HAVING count(*) >= 3"""
 )
 def error_patterns(spark, sf):
-    wrong = metrics.wrong_predictions(_pairs(spark, sf))
-    texts = gold(spark, sf).select("ex_id", "text")
-    return metrics.error_patterns(metrics.attach_text(wrong, texts), _slices())
+    return metrics.error_patterns(metrics.wrong_predictions(_pairs(spark, sf)), _slices())
 
 
 @query(

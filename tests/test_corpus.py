@@ -78,12 +78,16 @@ def test_caps(labelled):
     assert corpus.cap_preferring(labelled, 10**6).count() == 239
 
 
-def test_large_cap_equals_small_cap_rule(labelled, monkeypatch):
+def test_a_cap_beyond_the_pruning_equals_one_below(spark, labelled):
     from postlabel.operators import ranking
 
     small = {r["ex_id"] for r in corpus.cap_preferring(labelled, 50).collect()}
-    monkeypatch.setattr(ranking, "PRUNED_K", 1)
-    assert {r["ex_id"] for r in corpus.cap_preferring(labelled, 50).collect()} == small
+    before = spark.conf.get(ranking.PRUNING)
+    spark.conf.set(ranking.PRUNING, "1")
+    try:
+        assert {r["ex_id"] for r in corpus.cap_preferring(labelled, 50).collect()} == small
+    finally:
+        spark.conf.set(ranking.PRUNING, before)
 
 
 def test_reviews(spark, labelled):

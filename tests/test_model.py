@@ -42,10 +42,10 @@ def _brute_force():
     return out
 
 
-@pytest.mark.parametrize("limit", [ml.BROADCAST_TOKENS, 0])
-def test_naive_bayes_equals_brute_force(frames, limit, monkeypatch):
-    """With a limit of 0 the vocabulary is not broadcast but copied and salted."""
-    monkeypatch.setattr(ml, "BROADCAST_TOKENS", limit)
+@pytest.mark.parametrize("share", [ml.FREQUENT_SHARE, 0.1, 2.0])
+def test_naive_bayes_equals_brute_force(frames, share, monkeypatch):
+    """All tokens frequent, some, or none."""
+    monkeypatch.setattr(ml, "FREQUENT_SHARE", share)
     train, test = frames
     model = ml.fit_naive_bayes(train)
     assert model.doc_totals == (2, 2, 1)
@@ -57,11 +57,23 @@ def test_naive_bayes_equals_brute_force(frames, limit, monkeypatch):
         assert got[i][1] == pytest.approx(want[i][1], abs=2e-4)
 
 
-def test_large_vocabulary_is_not_broadcast(frames, monkeypatch, capsys):
-    monkeypatch.setattr(ml, "BROADCAST_TOKENS", 0)
-    model = ml.fit_naive_bayes(frames[0])
-    ml.score_naive_bayes(frames[1], model).explain()
-    assert "_salt" in capsys.readouterr().out
+def test_a_word_in_every_document_is_joined_where_it_is(spark):
+    rows = [(i, "analysis" if i % 2 else "reaction", f"everywhere only{i} own{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "ex_id BIGINT, label STRING, text STRING")
+    model = ml.fit_naive_bayes(df)
+    words = df.select("ex_id", F.explode(ml.tokens_of(F.col("text"), None)).alias("token"))
+    often = ml.FREQUENT_SHARE * sum(model.token_totals)
+    assert model.tokens.where(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n) >= often).count() == 1
+    joined = ml.join_by_token(words, model)
+    assert joined.count() == 1200 and joined.where("counts IS NULL").count() == 0
+    assert ml.score_naive_bayes(df, model).where("label IN ('analysis', 'reaction')").count() == 400
+
+
+def test_the_classifier_sees_whole_texts(spark):
+    rows = [(i, "analysis" if i % 2 else "reaction", "same " * 400 + ("data" if i % 2 else "goal")) for i in range(40)]
+    df = spark.createDataFrame(rows, "ex_id BIGINT, label STRING, text STRING")
+    model, scores = ml.fit_classifier(df, df, grid=({"regParam": 0.01},), features=1 << 10, max_iter=10)
+    assert scores[0][1] == 1.0 and ml.text_pipeline().getStages()[1].getNumFeatures() == 1 << 18
 
 
 def test_tokens_are_cut_at_the_limit(spark):

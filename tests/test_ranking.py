@@ -62,3 +62,26 @@ def test_first_rows(skewed, k):
     order = [F.col("v").desc(), F.col("id")]
     want = [r["id"] for r in skewed.orderBy(*order).limit(k).collect()]
     assert [r["id"] for r in ranking.first_rows(skewed, order, k, ["id"]).collect()] == want
+
+
+def test_each_task_sends_k_rows_of_a_group_at_most(spark):
+    """The shuffled rows of a salted top-k: tasks x k x groups."""
+    df = spark.range(0, 40_000, 1, 4).select("id", (F.col("id") % 3).alias("g"))
+    top = ranking.top_per_group(df, ["g"], [F.col("id").desc()], 80, spread_by=["id"])
+    top.collect()
+    plan = top._jdf.queryExecution().executedPlan()
+    written = []
+
+    def walk(node):
+        if node.nodeName().startswith("Exchange"):
+            written.append(node.metrics().apply("shuffleRecordsWritten").value())
+        for child in (node.children().apply(i) for i in range(node.children().size())):
+            walk(child)
+        if node.nodeName() == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            walk(node.plan())
+
+    walk(plan)
+    assert written and max(written) <= 4 * 80 * 3
+    assert top.count() == 240

@@ -87,3 +87,19 @@ def test_copies_in_later_batches_are_dropped_within_the_delay(spark, tmp_path):
     )
     got = run_once(dedupe_stream(stream).select("ex_id"), "copies").collect()
     assert sorted(r["ex_id"] for r in got) == [1, 2, 4]
+
+
+def test_a_dropped_copy_does_not_renew_the_memory_of_a_text(spark, tmp_path):
+    """Whatever the ids: a text comes again once its first row is older than the delay."""
+    for name, ids in (("a", (1, 2, 3)), ("b", (1, 2, 17)), ("c", (40, 9, 5))):
+        stream = _batches(
+            spark,
+            tmp_path / name,
+            [(ids[0], "2024-01-01 00:00:00", "same", "post")],
+            [(ids[1], "2024-01-01 00:50:00", "same", "post")],
+            [(90, "2024-01-01 02:10:00", "later", "post")],
+            [(91, "2024-01-01 02:11:00", "latest", "post")],
+            [(ids[2], "2024-01-01 02:12:00", "same", "post")],
+        )
+        got = run_once(dedupe_stream(stream).select("ex_id"), f"renew-{name}").collect()
+        assert sorted(r["ex_id"] for r in got) == sorted([ids[0], 90, 91, ids[2]])
