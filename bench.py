@@ -22,7 +22,8 @@ HEADLINE = (
     "rule_firing label_posts label_comments skip_report ruleset_diff weak_label_job "
     "dedupe_text cap_random cap_preferring stratified_split split_overlap collect_corpus "
     "newest_per_window class_report model_comparison success_gates error_slices tokenize "
-    "naive_bayes top_per_group_large text_features examples_csv"
+    "naive_bayes top_per_group_large text_features examples_csv error_patterns select_best predict "
+    "label_stream dedupe_stream label_counts_stream"
 ).split()
 
 

@@ -1,3 +1,4 @@
+import dataclasses
 from datetime import datetime, timedelta
 
 import pytest
@@ -75,6 +76,15 @@ def test_comments_of_chosen_threads(archive):
     assert sorted(by["discussion_comment"]) == [f"d0c{i:02}" for i in range(15)]
 
 
+def test_a_pass_may_ask_for_more_comments(spark):
+    posts = spark.createDataFrame([("m", _ago(1), "Match Thread: Reds v Blues", "", 500)], POSTS)
+    rows = [(f"c{i:03}", "m", ANCHOR - timedelta(minutes=i), f"A comment of forty characters at least, no {i:03}") for i in range(90)]
+    more = dataclasses.replace(jobs.FIRST_PASS, threads={"match_comments": 50})
+    comments = spark.createDataFrame(rows, COMMENTS)
+    assert jobs.collect_comments(posts, comments, ANCHOR, more).count() == 50
+    assert jobs.collect_comments(posts, comments, ANCHOR).count() == fixed.MATCH_THREAD_COMMENTS
+
+
 def test_extra_pass(archive):
     rows = jobs.collect_corpus(*archive, ANCHOR, jobs.EXTRA_PASS).collect()
     sources = {}
