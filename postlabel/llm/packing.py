@@ -28,8 +28,8 @@ from .store import materialise, order_id, own_id, read
 SIZE = 2048
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
-# Distinct words a task remembers the ids of; beyond it starts anew.
-REMEMBERED = 1 << 20
+# Distinct words a worker remembers the ids of; beyond it starts anew.
+REMEMBERED = 3 << 19
 UPDATES = 200
 
 
@@ -71,11 +71,21 @@ class WordEncoder:
         return [b"".join([known[w] for w in x]) for x in parts]
 
 
+_encoders: dict[tuple, WordEncoder] = {}
+
+
+def encoder(path: str | None, pattern: str | None) -> WordEncoder:
+    """The worker's encoder, which keeps its words from task to task."""
+    if (path, pattern) not in _encoders:
+        _encoders[path, pattern] = WordEncoder(path, pattern)
+    return _encoders[path, pattern]
+
+
 def _pieces(size: int, path: str | None, pattern: str | None):
     """Maps (doc, text) to its pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path, pattern)
+        encode = encoder(path, pattern)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             docs, texts = batch.column("doc").to_pylist(), batch.column("text")
