@@ -354,37 +354,42 @@ def success_gates(
     truth: str = "label",
     predicted: str = "predicted",
 ) -> DataFrame:
-    """(gate, threshold, achieved, met) for the stated success thresholds.
+    """(gate, tier, threshold, achieved, met) for the stated success thresholds.
 
-    Comparisons are strict and of unrounded values. The gain is over the accuracy of the
+    Accuracy, F1 and gain have a minimum and a target. Comparisons are strict and of unrounded values. The gain is over the accuracy of the
     column ``baseline``, on the rows it answered. ``suspicious`` is met when raised.
     """
     size, classes = len(labels), F.col("classes")
     macro = _mean(classes, "f1", size)
     lowest = F.array_min(F.transform(classes, lambda c: c["f1"]))
 
-    def gate(name, threshold, achieved, met=None):
+    def gate(name, threshold, achieved, met=None, tier="minimum"):
         return F.struct(
             F.lit(name).alias("gate"),
+            F.lit(tier).alias("tier"),
             F.lit(threshold).alias("threshold"),
             F.round(achieved, 4).alias("achieved"),
             (achieved > F.lit(threshold) if met is None else met).alias("met"),
         )
 
-    gates = [gate("accuracy", fixed.GATE_ACCURACY, F.col("accuracy"))]
+    def tiers(name, minimum, target, achieved):
+        return [gate(name, minimum, achieved), gate(name, target, achieved, tier="target")]
+
+    gates = tiers("accuracy", fixed.GATE_ACCURACY, fixed.TARGET_ACCURACY, F.col("accuracy"))
     for i, name in enumerate(labels):
-        gates.append(gate(f"f1 {name}", fixed.GATE_CLASS_F1, F.get(classes, F.lit(i))["f1"]))
-    gates.append(gate("macro f1", fixed.GATE_MACRO_F1, macro))
+        f1 = F.get(classes, F.lit(i))["f1"]
+        gates += tiers(f"f1 {name}", fixed.GATE_CLASS_F1, fixed.TARGET_CLASS_F1, f1)
+    gates += tiers("macro f1", fixed.GATE_MACRO_F1, fixed.TARGET_MACRO_F1, macro)
     totals = {}
     if baseline is not None:
         made = F.col(baseline).isNotNull()
         totals["base_rows"] = made.cast("bigint")
         totals["base_hits"] = (made & (F.col(baseline) == F.col(truth))).cast("bigint")
         gain = F.col("accuracy") - ratio(F.col("base_hits"), F.col("base_rows"))
-        gates.append(gate("gain", fixed.GATE_GAIN, gain))
+        gates += tiers("gain", fixed.GATE_GAIN, fixed.TARGET_GAIN, gain)
     deployable = (macro >= fixed.DEPLOY_MACRO_F1) & (lowest >= fixed.DEPLOY_CLASS_F1)
-    gates.append(gate("deployable", fixed.DEPLOY_MACRO_F1, macro, deployable))
-    gates.append(gate("suspicious", fixed.SUSPICIOUS_ACCURACY, F.col("accuracy")))
+    gates.append(gate("deployable", fixed.DEPLOY_MACRO_F1, macro, deployable, "verdict"))
+    gates.append(gate("suspicious", fixed.SUSPICIOUS_ACCURACY, F.col("accuracy"), tier="verdict"))
     row = _scores_row(df, labels, totals, truth=truth, predicted=predicted)
     return row.select(F.inline(F.array(*gates)))
 

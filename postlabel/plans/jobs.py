@@ -186,6 +186,7 @@ def weak_label_job(
 @dataclass(frozen=True)
 class Evaluation:
     report: DataFrame
+    baseline_report: DataFrame
     comparison: DataFrame
 
 
@@ -196,8 +197,9 @@ def evaluate(
     name: str,
     labels: Sequence[str] = fixed.LABELS,
 ) -> Evaluation:
-    """The model's class report and its comparison with the baseline on the same rows."""
+    """Class reports of the model and of the baseline, and their comparison on the same rows."""
     return Evaluation(
         class_report(align(model, truth), labels),
+        class_report(align(baseline, truth), labels),
         model_comparison(compare_models(baseline, model, truth), name),
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 # Where a local session without that setting keeps its own.
 LOCAL_CONF = "spark.postlabel.localDir"
-# 8 GB at Spark's default split size.
-SMALL_SPLITS = 64
+# Tasks to deal small scans to before costly work on rows; unset on a cluster.
+SPREAD_CONF = "spark.postlabel.spread"
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -24,6 +27,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config(SPREAD_CONF, str(cores) if str(cores).isdigit() else str(os.cpu_count()))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -32,7 +36,8 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local session without the setting gets a temporary folder of its own.
+    Only a local session without the setting gets a temporary folder of its own, which goes
+    when the process ends.
     """
     named = (
         spark.conf.get(CHECKPOINT_CONF, None)
@@ -43,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="postlabel-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set(LOCAL_CONF, named)
     return named
 
@@ -61,14 +67,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle a small scan over all cores before costly per-row work.
+    """Deals a scan to as many tasks as the session's ``SPREAD_CONF`` says; as it is without.
 
-    Only a scan of fewer than ``SMALL_SPLITS`` splits is shuffled, which bounds what is
-    moved; a larger table is returned as it is. Call it on a plain scan, whose splits are
-    known unexecuted.
+    For costly work on rows of a table that has fewer splits than there are cores. Whoever
+    sets up the session knows its tables and decides.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # Twice the cores, because a split of a small file may hold no row group of its own.
-    if df.rdd.getNumPartitions() >= min(2 * cores, SMALL_SPLITS):
-        return df
-    return df.repartition(min(cores, SMALL_SPLITS), *keys)
+    parts = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(parts), *keys) if parts else df

@@ -15,7 +15,7 @@ RESPONSES = "ex_id BIGINT, raw STRING"
 
 
 def read_table(spark: SparkSession, path: str, *keys: str) -> DataFrame:
-    """A Parquet table, spread over the cores by its unique key when it has few splits."""
+    """A Parquet table; given its unique key, dealt to the tasks the session asks for (``spread``)."""
     df = spark.read.parquet(path)
     return spread(df, *keys) if keys else df
 

@@ -223,13 +223,15 @@ pairs AS (SELECT label, predicted FROM predicted),
 {SCORES_SQL},
 base AS (SELECT count(*) FILTER (WHERE answered = label) / count(answered) AS accuracy FROM predicted),
 flat AS (SELECT (SELECT accuracy FROM overall) AS acc, sum(f1) / 3 AS macro, min(f1) AS lowest,
-  (SELECT accuracy FROM overall) - (SELECT accuracy FROM base) AS gain FROM classes)
-SELECT 'accuracy' AS gate, 0.7::DOUBLE AS threshold, round(acc, 4) AS achieved, acc > 0.7::DOUBLE AS met FROM flat
-UNION ALL SELECT 'f1 ' || label, 0.6::DOUBLE, round(f1, 4), f1 > 0.6::DOUBLE FROM classes
-UNION ALL SELECT 'macro f1', 0.65::DOUBLE, round(macro, 4), macro > 0.65::DOUBLE FROM flat
-UNION ALL SELECT 'gain', 0.05::DOUBLE, round(gain, 4), gain > 0.05::DOUBLE FROM flat
-UNION ALL SELECT 'deployable', 0.7::DOUBLE, round(macro, 4), macro >= 0.7::DOUBLE AND lowest >= 0.6::DOUBLE FROM flat
-UNION ALL SELECT 'suspicious', 0.95::DOUBLE, round(acc, 4), acc > 0.95::DOUBLE FROM flat"""
+  (SELECT accuracy FROM overall) - (SELECT accuracy FROM base) AS gain FROM classes),
+tiers(tier, a, c, m, g) AS (VALUES ('minimum', 0.7::DOUBLE, 0.6::DOUBLE, 0.65::DOUBLE, 0.05::DOUBLE),
+  ('target', 0.8::DOUBLE, 0.7::DOUBLE, 0.75::DOUBLE, 0.1::DOUBLE))
+SELECT 'accuracy' AS gate, t.tier, t.a AS threshold, round(acc, 4) AS achieved, acc > t.a AS met FROM flat, tiers t
+UNION ALL SELECT 'f1 ' || label, t.tier, t.c, round(f1, 4), f1 > t.c FROM classes, tiers t
+UNION ALL SELECT 'macro f1', t.tier, t.m, round(macro, 4), macro > t.m FROM flat, tiers t
+UNION ALL SELECT 'gain', t.tier, t.g, round(gain, 4), gain > t.g FROM flat, tiers t
+UNION ALL SELECT 'deployable', 'verdict', 0.7::DOUBLE, round(macro, 4), macro >= 0.7::DOUBLE AND lowest >= 0.6::DOUBLE FROM flat
+UNION ALL SELECT 'suspicious', 'verdict', 0.95::DOUBLE, round(acc, 4), acc > 0.95::DOUBLE FROM flat"""
 )
 def success_gates(spark, sf):
     both = _both(spark, sf).withColumnRenamed("predicted_b", "predicted")

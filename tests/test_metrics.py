@@ -62,7 +62,13 @@ def test_published_comparison_and_gates(spark, published):
     assert record["label_map"] == fixed.LABEL_MAP
 
     both = metrics.compare_models(base, model, truth).withColumnRenamed("predicted_b", "predicted")
-    gates = {r["gate"]: (r["achieved"], r["met"]) for r in metrics.success_gates(both, "predicted_a").collect()}
+    rows = metrics.success_gates(both, "predicted_a").collect()
+    gates = {r["gate"]: (r["achieved"], r["met"]) for r in rows if r["tier"] != "target"}
+    assert {r["gate"]: r["met"] for r in rows if r["tier"] == "target"} == {
+        "accuracy": False, "f1 analysis": True, "f1 hot_take": False, "f1 reaction": False, "macro f1": False, "gain": True,
+    }
+    report = {r["label"]: r for r in evaluate(base, model, truth, "linear").baseline_report.collect()}
+    assert report["accuracy"]["f1"] == 0.3889 and len(report) == 6
     assert gates == {
         "accuracy": (0.6944, False), "f1 analysis": (0.8276, True), "f1 hot_take": (0.64, True),
         "f1 reaction": (0.5556, False), "macro f1": (0.6744, True), "gain": (0.3056, True),

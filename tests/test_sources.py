@@ -67,11 +67,16 @@ def test_results_are_one_file(spark):
     assert json.loads(files[0].read_text()) == {"accuracy": 0.5, "model": "m"}
 
 
-def test_spread_shuffles_few_splits_only(spark, sf, capsys):
+def test_a_session_decides_on_spreading(spark, sf, capsys):
     sources.read_table(spark, f"{sf}/documents.parquet", "doc_id").explain()
     assert "Exchange" in capsys.readouterr().out
-    many = spark.range(0, 1000, 1, 64)
-    assert session.spread(many, "id") is many
+    before = spark.conf.get(session.SPREAD_CONF)
+    spark.conf.unset(session.SPREAD_CONF)
+    try:
+        many = spark.range(0, 1000, 1, 64)
+        assert session.spread(many, "id") is many
+    finally:
+        spark.conf.set(session.SPREAD_CONF, before)
 
 
 def test_shared_folder_is_read_from_the_session(spark, monkeypatch):
