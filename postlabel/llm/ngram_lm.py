@@ -44,7 +44,8 @@ ADD = 0.1
 # Distinct words a shard of the trie has on average.
 SHARD_WORDS = 200_000
 HELD_OUT_OF = 10
-CHUNK = 6 << 20
+# Distinct n-grams a task gathers before it hands them on.
+GATHERED = 1_500_000
 
 _END = U(0x0E7D0E7D0E7D0E7D)
 _opened: dict[str, dict] = {}
@@ -56,6 +57,15 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, first[1:], _END), first + np.arange(len(first))
 
 
+def sorted_distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and for each value which of them it is (hashed, then sorted)."""
+    codes, distinct = pd.factorize(hashes)
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], rank[codes]
+
+
 def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """8-bit codes and their codebook: 256 equal steps from the least value to the largest."""
     low, high = (values.min(), values.max()) if len(values) else (0.0, 0.0)
@@ -152,7 +162,7 @@ class Model:
         ends with the first order that has no trie yet.
         """
         hashes, first = tokens(data, offs)
-        distinct, inverse = np.unique(hashes, return_inverse=True)
+        distinct, inverse = sorted_distinct(hashes)
         ids, counts = (x[inverse] for x in self.find_words(distinct))
         logs = self.word_logs(counts)
         yield first, counts, logs
@@ -184,7 +194,9 @@ class Model:
             return shard, shard
         wide, high = int(context.max()) + 1, int(word.max()) + 2
         if (int(shard.max()) + 1) * wide * high < 1 << 63:
-            _, one, back = np.unique((shard * wide + context) * high + word + 1, return_index=True, return_inverse=True)
+            back, distinct = pd.factorize((shard * wide + context) * high + word + 1)
+            one = np.empty(len(distinct), np.int64)
+            one[back[::-1]] = np.arange(len(back) - 1, -1, -1)
         else:
             _, one, back = np.unique(np.stack([shard, context, word]), axis=1, return_index=True, return_inverse=True)
         return one, back
@@ -192,34 +204,44 @@ class Model:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [np.unique(tokens(data, offs)[0], return_counts=True) for _, _, data, offs in text_chunks(batch.column("text"), CHUNK)]
+        parts = []
+        for _, _, data, offs in text_chunks(batch.column("text")):
+            codes, distinct = pd.factorize(tokens(data, offs)[0])
+            parts.append((distinct, np.bincount(codes)))
         if parts:
-            distinct, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            inverse, distinct = pd.factorize(np.concatenate([p[0] for p in parts]))
             n = np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
 
 def _level_counts(model: Model, level: int, min_count: int):
-    """Maps texts to the n-grams of one order with their numbers in the batch.
+    """Maps texts to the n-grams of one order with their numbers in what a task gathered.
 
     An n-gram occurs at most as often as each of its words, so those with a rarer word are left out.
     """
 
+    def merged(parts: list) -> pa.RecordBatch:
+        shard, context, word, below, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        one, back = model._distinct(shard, context, word)
+        n = np.bincount(back, n, len(one)).astype(np.int64)
+        columns = [shard[one], context[one], word[one], *([below[one]] if level > 2 else []), n]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_columns(level))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            parts = []
-            for _, _, data, offs in text_chunks(batch.column("text"), CHUNK):
+            for _, _, data, offs in text_chunks(batch.column("text")):
                 (_, counts, _), *_, (at, shard, context, word, logs) = model.walk(data, offs, level)
                 keep = (word >= 0) & (counts[at] >= min_count) & (counts[at - 1] >= min_count)
                 shard, context, word, below = shard[keep], context[keep], word[keep], logs[at[keep]]
                 one, back = model._distinct(shard, context, word)
                 parts.append((shard[one], context[one], word[one], below[one], np.bincount(back, minlength=len(one))))
-            if parts:
-                shard, context, word, below, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                one, back = model._distinct(shard, context, word)
-                n = np.bincount(back, n, len(one)).astype(np.int64)
-                columns = [shard[one], context[one], word[one], *([below[one]] if level > 2 else []), n]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_columns(level))
+                held += len(one)
+                if held >= GATHERED:
+                    yield merged(parts)
+                    parts, held = [], 0
+        if parts:
+            yield merged(parts)
 
     return run
 
@@ -303,7 +325,7 @@ def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, held = batch.column("doc_id"), batch.column("held_out")
-            for row, end, data, offs in text_chunks(batch.column("text"), CHUNK):
+            for row, end, data, offs in text_chunks(batch.column("text")):
                 (first, counts, logs), *_ = steps = list(model.walk(data, offs, model.order))
                 base = model.word_logs(counts)
                 logs = steps[-1][-1]
