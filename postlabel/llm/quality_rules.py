@@ -5,11 +5,14 @@ counted over them: one over all documents, one over the trusted ones. A document
 the mean, over its n-grams, of log(target / corpus); it is kept if it passes the base rules
 and its score reaches a threshold that is the same on every run.
 
-The threshold comes from the trusted documents themselves: the score that all but
-``MISSES`` in a thousand of those that pass the base rules reach, counted in steps of ``STEP``.
+The threshold comes from the trusted documents themselves: half of them, by hash of the id,
+are counted as target, and the threshold is the score that all but ``MISSES`` in a thousand
+of the others reach, of those that pass the base rules, in steps of ``STEP``. So a document
+is held against good ones that the model has not seen either.
 
 Everything is DataFrame expressions over arrays. Nothing grows with the data but the scans:
-the ratio table has ``BUCKETS`` entries and reaches the tasks as a scalar subquery.
+the ratio table has ``BUCKETS`` entries and reaches the tasks as one literal array, which
+expressions index in place (a column of it would be copied with every row).
 """
 
 from __future__ import annotations
@@ -57,23 +60,20 @@ def ngram_buckets() -> Column:
     return F.concat(F.transform("_hashes", _bucket), _pairs("_hashes", lambda a, b: _bucket(F.xxhash64(a, b))))
 
 
-def log_ratios(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row: ``ratios``, the log ratio of each bucket, from documents and trusted doc_ids."""
+def log_ratios(docs: DataFrame, targets: DataFrame) -> Column:
+    """The log ratio of each bucket as a literal array, from documents and trusted doc_ids."""
     trusted = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("_target", F.lit(1))
     marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left")
     grams = hashed(marked).select(F.coalesce("_target", F.lit(0)).alias("_target"), F.explode(ngram_buckets()).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("corpus"), F.sum("_target").alias("target"))
-    counts = materialise(counts, "ngram-buckets")
-    # Sums over the table of buckets, which never has more than BUCKETS rows.
-    sums = counts.agg(F.sum("corpus").alias("c"), F.sum("target").alias("t"), F.collect_list(F.struct("bucket", "corpus", "target")).alias("rows"))
+    counts = materialise(grams.groupBy("bucket").agg(F.count("*").alias("corpus"), F.sum("_target").alias("target")), "ngram-buckets")
+    total = counts.agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target")).first()
     plus = SMOOTHING
-    base = F.log((F.coalesce("c", F.lit(0)) + plus * BUCKETS) / (F.coalesce("t", F.lit(0)) + plus * BUCKETS))
-    seen = F.map_from_entries(
-        F.transform("rows", lambda r: F.struct(r["bucket"], F.log((r["target"] + plus) / (r["corpus"] + plus))))
-    )
-    return sums.select(base.alias("base"), seen.alias("seen")).select(
-        F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.element_at("seen", b), F.lit(0.0)) + F.col("base")).alias("ratios")
-    )
+    base = F.log(F.lit(((total.corpus or 0) + plus * BUCKETS) / ((total.target or 0) + plus * BUCKETS)))
+    ratio = F.log((F.col("target") + plus) / (F.col("corpus") + plus)) + base
+    # As many rows as there are buckets at most; text, so that it is one constant and not thousands.
+    seen = {r.bucket: r.ratio for r in counts.select("bucket", ratio.cast("string").alias("ratio")).collect()}
+    unseen = counts.sparkSession.range(1).select(base.cast("string")).first()[0]
+    return F.split(F.lit(",".join(seen.get(b, unseen) for b in range(BUCKETS))), ",").cast("array<double>")
 
 
 def _repeated_words() -> tuple[Column, Column]:
@@ -111,12 +111,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 def quality_scores(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and score of every document."""
-    ratios = log_ratios(docs, targets).scalar()
-    rows = docs.select("doc_id", "text").withColumn("_ratios", ratios)
-    rows = base_counts(hashed(rows))
+    ratios = log_ratios(docs, targets)
+    rows = base_counts(hashed(docs.select("doc_id", "text")))
     n = 2 * F.size("_hashes") - 1
-    total = F.aggregate("_hashes", F.lit(0.0), lambda s, x: s + F.get("_ratios", _bucket(x)))
-    total += F.aggregate(_pairs("_hashes", lambda a, b: F.get("_ratios", _bucket(F.xxhash64(a, b)))), F.lit(0.0), lambda s, x: s + x)
+    total = F.aggregate("_hashes", F.lit(0.0), lambda s, x: s + F.get(ratios, _bucket(x)))
+    total += F.aggregate(_pairs("_hashes", lambda a, b: F.get(ratios, _bucket(F.xxhash64(a, b)))), F.lit(0.0), lambda s, x: s + x)
     score = F.when(n > 0, total / n).otherwise(F.lit(0.0))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", score.alias("score"))
 
@@ -150,8 +149,9 @@ def judge(docs: DataFrame, targets: DataFrame, misses: int = MISSES) -> DataFram
     no words, fails the base and scores 0. Rows that share an id are judged each by itself, and
     all are trusted if the id is; a row without id is judged but never trusted. No rows give none.
     """
-    scores = materialise(quality_scores(docs, targets), "quality-scores")
-    limit = materialise(threshold(scores, targets, misses), "quality-threshold").scalar()
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    scores = materialise(quality_scores(docs, targets.where(half == 0)), "quality-scores")
+    limit = materialise(threshold(scores, targets.where(half == 1), misses), "quality-threshold").scalar()
     return scores.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= limit))
 
 
