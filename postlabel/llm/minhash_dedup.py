@@ -39,7 +39,7 @@ BANDS = 50
 ROWS = 5
 TRIED = 3
 # Documents of a bucket that one side of a tile has on average.
-TILE = 128
+TILE = 512
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -190,8 +190,8 @@ def agreeing(pairs: DataFrame, signed: DataFrame, percent: int, hashes: int) ->
 
 
 def whole_sets(texts: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(doc, shingles) of the listed documents."""
-    return materialise(texts.join(docs, "doc", "left_semi").select("doc", "text").mapInArrow(_whole_sets(size), "doc long, shingles binary"), "sets")
+    """(doc, shingles) of the listed documents, whose number grows with the data: never a broadcast."""
+    return materialise(texts.join(docs.hint("merge"), "doc", "left_semi").select("doc", "text").mapInArrow(_whole_sets(size), "doc long, shingles binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -316,13 +316,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     best = Window.partitionBy("a").orderBy(F.desc("agree"), "b")
     tried = agreeing(led, signatures, percent, bands * rows).withColumn("place", F.row_number().over(best)).where(F.col("place") <= TRIED)
     tried = materialise(tried.select("a", "b"), "tried")
-    sets = whole_sets(known_texts, tried.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), size)
+    # Every document compared below shares a bucket, so the sets are made once.
+    sets = whole_sets(known_texts, meets.select("doc"), size)
     roots = components(confirmed(tried, sets, percent))
 
     # What is left: buckets that hold more than one component.
     left = materialise(mixed_buckets(rooted(shared.select("band", "doc"), "doc", roots, "root")), "mixed")
     if not left.isEmpty():
-        sets = whole_sets(known_texts, left.select("doc").distinct(), size)
         found = linked_across(able(left, sets, percent), sets, percent)
         links = rooted(rooted(found, "a", roots, "root_a"), "b", roots, "root_b")
         merged = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
