@@ -1,9 +1,9 @@
 """An n-gram language model in memory-mapped Elias-Fano tries, trained and queried by Spark tasks.
 
 Tokens are hashes of lower-cased words and one end token per text. Word counts are exact.
-N-grams of order 2 and up are kept from ``MIN_COUNT`` occurrences on (all are counted, and
-only those whose shorter n-grams are kept can reach it). Probabilities are interpolated with
-absolute discounting,
+N-grams of order 2 and up are kept from ``min_count`` occurrences on (all are counted, and
+only those whose shorter n-grams are kept can reach it); the query keeps all of them, up to
+order 3. Probabilities are interpolated with absolute discounting,
 
     p(w | h) = max(c(hw) - D, 0) / c(h) + g(h) p(w | h'),
 
@@ -11,7 +11,9 @@ over the kept n-grams, g(h) being what they leave, down to the add-0.1 word prob
 they sum to one over the vocabulary and one unknown word. Values are kept as 8-bit codes into
 a codebook of equal steps of the logarithm, per shard and level.
 
-The trie is cut into shards by the hash of the first word, each written by one task. In a
+The trie is cut into shards by the hash of the first word, each written by one task; their
+number follows the tokens, which bound the n-grams of every order. Tasks send a shard its
+n-grams sorted and packed, a block for each shard, and the shard's task adds them up. In a
 level, the successors of a context stand together: Elias-Fano pointers give their range, and
 their ids one monotone Elias-Fano sequence, each range starting where the one before ended.
 From order 3 on, an id is the place of a word among the successors of the context without
@@ -37,12 +39,14 @@ from .files import map_arrays, write_arrays
 from .store import materialise, read
 from .vector import U, text_chunks, word_hashes
 
-ORDER = 2
-MIN_COUNT = 2
+# What the query trains: every n-gram up to this order. ``score`` can prune (``PRUNED``).
+ORDER = 3
+MIN_COUNT = 1
+PRUNED = 2
 DISCOUNT = 0.75
 ADD = 0.1
-# Distinct words a shard of the trie has on average.
-SHARD_WORDS = 200_000
+# Tokens a shard of the trie has on average, and so n-grams of one order at most.
+SHARD_NGRAMS = 2_000_000
 HELD_OUT_OF = 10
 # Distinct n-grams a task gathers before it hands them on.
 GATHERED = 1_500_000
@@ -66,6 +70,14 @@ def sorted_distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct[order], rank[codes]
 
 
+def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard with the places it stands at, in order."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    for own in np.split(order, cuts) if len(order) else ():
+        yield int(shard[own[0]]), own
+
+
 def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """8-bit codes and their codebook: 256 equal steps from the least value to the largest."""
     low, high = (values.min(), values.max()) if len(values) else (0.0, 0.0)
@@ -115,20 +127,18 @@ class Model:
 
     def _by_shard(self, ids: np.ndarray, take, paths: dict[int, str], kind) -> np.ndarray:
         out, own = np.zeros(len(ids), kind), np.searchsorted(self.bases, ids, "right") - 1
-        for shard in np.unique(own).tolist():
+        for shard, mine in _groups(own):
             if shard in paths:
-                mine = own == shard
                 out[mine] = take(self.shard(paths[shard]), ids[mine] - self.bases[shard])
         return out
 
     def find(self, level: int, shard: np.ndarray, context: np.ndarray, word: np.ndarray):
         """Places of n-grams (-1: none), their probabilities and the weights g of their contexts."""
         place, logs, rest = np.full(len(shard), -1), np.zeros(len(shard)), np.zeros(len(shard))
-        for number in np.unique(shard).tolist():
+        for number, mine in _groups(shard):
             if number not in self.levels[level]:
                 continue
             held = self.shard(self.levels[level][number])
-            mine = np.flatnonzero(shard == number)
             lo, hi = held["ptr"].get(context[mine]).astype(np.int64), held["ptr"].get(context[mine] + 1).astype(np.int64)
             some = hi > lo
             mine, lo, hi = mine[some], lo[some], hi[some]
@@ -147,9 +157,8 @@ class Model:
 
     def range_start(self, level: int, shard: np.ndarray, context: np.ndarray) -> np.ndarray:
         out = np.zeros(len(shard), np.int64)
-        for number in np.unique(shard).tolist():
+        for number, mine in _groups(shard):
             if number in self.levels[level]:
-                mine = shard == number
                 out[mine] = self.shard(self.levels[level][number])["ptr"].get(context[mine])
         return out
 
@@ -214,18 +223,39 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
 
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Sorted contexts, words, counts and logs of shorter n-grams as one compressed block."""
+    context, word, n, *below = columns
+    raw = b"".join(x.tobytes() for x in (np.diff(context, prepend=0), word, n, *(x.astype("<f4") for x in below)))
+    return np.array([len(n), len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(block: bytes) -> list[np.ndarray]:
+    n, size = np.frombuffer(block, "<i8", 2).tolist()
+    raw = pa.decompress(block[16:], size, "zstd", asbytes=True)
+    context, word, counts = np.frombuffer(raw, "<i8", 3 * n).reshape(3, n)
+    return [np.cumsum(context), word, counts, *([np.frombuffer(raw, "<f4", n, 24 * n)] if size > 24 * n else [])]
+
+
+def _added(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Contexts and words sorted, each pair once, with its counts added up."""
+    order = np.lexsort((columns[1], columns[0]))
+    context, word, n, *below = (x[order] for x in columns)
+    new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))) if len(n) else np.empty(0, int)
+    return [context[new], word[new], np.add.reduceat(n, new) if len(n) else n, *(x[new] for x in below)]
+
+
 def _level_counts(model: Model, level: int, min_count: int):
-    """Maps texts to the n-grams of one order with their numbers in what a task gathered.
+    """Maps texts to the n-grams of one order with their numbers in what a task gathered, a block for each shard.
 
     An n-gram occurs at most as often as each of its words, so those with a rarer word are left out.
     """
 
     def merged(parts: list) -> pa.RecordBatch:
-        shard, context, word, below, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        one, back = model._distinct(shard, context, word)
-        n = np.bincount(back, n, len(one)).astype(np.int64)
-        columns = [shard[one], context[one], word[one], *([below[one]] if level > 2 else []), n]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_columns(level))
+        shard, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own = [(number, _packed(_added([x[at] for x in columns]))) for number, at in _groups(shard)]
+        arrays = [pa.array([k for k, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["shard", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -235,7 +265,7 @@ def _level_counts(model: Model, level: int, min_count: int):
                 keep = (word >= 0) & (counts[at] >= min_count) & (counts[at - 1] >= min_count)
                 shard, context, word, below = shard[keep], context[keep], word[keep], logs[at[keep]]
                 one, back = model._distinct(shard, context, word)
-                parts.append((shard[one], context[one], word[one], below[one], np.bincount(back, minlength=len(one))))
+                parts.append((shard[one], context[one], word[one], np.bincount(back, minlength=len(one)), *([below[one]] if level > 2 else [])))
                 held += len(one)
                 if held >= GATHERED:
                     yield merged(parts)
@@ -246,10 +276,6 @@ def _level_counts(model: Model, level: int, min_count: int):
     return run
 
 
-def _columns(level: int) -> list[str]:
-    return ["shard", "context", "word", *(["below"] if level > 2 else []), "n"]
-
-
 def _write_words(folder: str):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         hashes, counts = rows["hash"].to_numpy().view(U), rows["n"].to_numpy()
@@ -262,25 +288,27 @@ def _write_words(folder: str):
     return run
 
 
-def _write_level(model: Model, level: int, folder: str):
+def _write_level(model: Model, level: int, min_count: int, folder: str):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
-        context, word, n = (rows[c].to_numpy() for c in ("context", "word", "n"))
-        order = np.lexsort((word, context))
-        context, word, n = context[order], word[order], n[order]
+        found = _added([np.concatenate(x) for x in zip(*map(_unpacked, rows["block"]), strict=True)])
+        enough = found[2] >= min_count
+        context, word, n, *kept = (x[enough] for x in found)
+        if not len(n):
+            return pd.DataFrame({"shard": [], "path": [], "n": []})
         lower = model.shard(model.words[shard] if level == 2 else model.levels[level - 1][shard])
         of_context = lower["count"][:].astype(float)
         size = len(of_context)
         discounted = (n - DISCOUNT) / of_context[context]
         rest = 1 - np.bincount(context, discounted, size)
         # The same n-gram without its first word, for the mass that is left.
-        below = 10 ** (model.word_logs(model.word_counts(word)) if level == 2 else rows["below"].to_numpy()[order])
+        below = 10 ** (model.word_logs(model.word_counts(word)) if level == 2 else kept[0].astype(float))
         log = np.log10(discounted + rest[context] * below)
         ends = np.zeros(size + 1, np.int64)
         np.cumsum(np.bincount(context, minlength=size), out=ends[1:])
         # Each range starts at the value the one before ended with.
-        last = np.flatnonzero(np.append(context[1:] != context[:-1], True)) if len(n) else np.empty(0, int)
-        base = np.concatenate([[0], np.cumsum(word[last] + 1)])[:-1] if len(n) else np.empty(0, int)
+        last = np.flatnonzero(np.append(context[1:] != context[:-1], True))
+        base = np.concatenate([[0], np.cumsum(word[last] + 1)])[:-1]
         values = np.repeat(base, np.diff(np.append(-1, last))) + word + 1
         codes, book = _quantised(log)
         rest_codes, rest_book = _quantised(np.log10(np.maximum(rest, 1e-9)))
@@ -293,15 +321,15 @@ def _write_level(model: Model, level: int, folder: str):
     return run
 
 
-def train(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Model:
+def train(texts: DataFrame, order: int = ORDER, min_count: int = PRUNED) -> Model:
     """Counts all texts (column text, not null) and writes the trie to the shared folder."""
     spark = texts.sparkSession
     folder = scratch_path(spark, "ngrams")
     texts = texts.select("text")
     words = texts.mapInArrow(_word_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     words = materialise(words, "words")
-    distinct = words.count()
-    model = Model(order, max(0, (distinct // SHARD_WORDS)).bit_length())
+    distinct, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    model = Model(order, (total // SHARD_NGRAMS).bit_length())
     shard = F.shiftrightunsigned("hash", 64 - model.bits) if model.bits else F.lit(0).cast("long")
     written = words.groupBy(shard.alias("shard")).applyInPandas(_write_words(folder), "shard long, path string, n long, total long")
     rows = materialise(written, "word-shards").collect()
@@ -312,11 +340,8 @@ def train(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> M
     model.bases = np.cumsum(sizes)
     model.total, model.vocabulary = sum(r.total for r in rows), distinct
     for level in range(2, order + 1):
-        kinds = ", ".join(f"{c} {'double' if c == 'below' else 'long'}" for c in _columns(level))
-        counts = texts.mapInArrow(_level_counts(model, level, min_count), kinds)
-        sums = [F.max("below").alias("below")] if level > 2 else []
-        kept = counts.groupBy("shard", "context", "word").agg(*sums, F.sum("n").alias("n")).where(F.col("n") >= min_count)
-        written = kept.groupBy("shard").applyInPandas(_write_level(model, level, folder), "shard long, path string, n long")
+        blocks = texts.mapInArrow(_level_counts(model, level, min_count), "shard long, block binary")
+        written = blocks.groupBy("shard").applyInPandas(_write_level(model, level, min_count, folder), "shard long, path string, n long")
         model.levels[level] = {r.shard: r.path for r in materialise(written, f"level{level}-shards").collect()}
     return model
 
@@ -339,7 +364,7 @@ def _scored(model: Model):
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, held_out_of: int = HELD_OUT_OF) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, min_count: int = PRUNED, held_out_of: int = HELD_OUT_OF) -> DataFrame:
     """Scores every document by a model of those not held out.
 
     Takes doc_id and text; other columns are ignored. Returns doc_id, held_out (crc32 of the id
@@ -356,4 +381,4 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, held_
 
 
 def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(read(spark, sf_dir, "documents"))
+    return score(read(spark, sf_dir, "documents"), ORDER, MIN_COUNT)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from postlabel.llm.elias_fano import EliasFano, encode
-from postlabel.llm.ngram_lm import DISCOUNT, score
+from postlabel.llm.ngram_lm import DISCOUNT, op9_ngram_lm, score
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -87,3 +87,13 @@ def test_no_rows_and_all_held_out(spark):
     assert score(spark.createDataFrame([], SCHEMA)).count() == 0
     row = score(spark.createDataFrame([(None, "a b", "")], SCHEMA)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
+
+
+def test_query_keeps_every_trigram(spark, sf, monkeypatch):
+    monkeypatch.setattr("postlabel.llm.ngram_lm.SHARD_NGRAMS", 20_000)  # several shards
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    plain = Plain([t for d, t in rows if zlib.crc32(str(d).encode()) % 10], 3, least=1)
+    assert any(c == 1 for c in plain.grams[3].values())
+    got = {r.doc_id: r.score for r in op9_ngram_lm(spark, sf).collect()}
+    for doc, text in rows:
+        assert abs(got[doc] - plain.log(text)) < 0.02 * len(toks(text))
