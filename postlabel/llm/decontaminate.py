@@ -5,7 +5,7 @@ words (an item of fewer words is one shingle). A shingle weighs 1 + the bit leng
 (items / items that hold it), so phrases that many items share count less; weights are whole
 numbers, so results do not depend on the order of sums.
 
-A window of a document has as many words as an item. Its 64-bit SimHash over weighted
+A window of a document has as many words as an item; a document of fewer words is one window. Its 64-bit SimHash over weighted
 shingles is looked up in a multi-index: eight blocks of eight bits, one of which must lie
 within ``radius // 8`` bits of the item's block if the whole lies within ``radius``. Items
 found so and within the radius are confirmed by exact weighted shingle similarity. A window
@@ -139,17 +139,19 @@ def _matches(items: Items, words: np.ndarray, places: dict[int, np.ndarray]) ->
     for n in items.by_words:
         unit = min(items.size, n)
         at = places.get(unit, ())
-        if not len(at) or len(words) < n:
+        if not len(at):
             continue
         shingles = shingle_hashes(words, unit)
         at = at[np.isin(shingles[at], items.seeds[n])]
         if not len(at):
             continue
-        per = n - unit + 1
+        # A document of fewer words than the item is its own one window.
+        width = min(n, len(words))
+        per = width - unit + 1
         edge = np.zeros(len(words) + 2, np.int64)
         np.add.at(edge, np.maximum(at - per + 1, 0), 1)
         np.add.at(edge, at + 1, -1)
-        starts = np.flatnonzero(np.cumsum(edge)[: len(words) - n + 1] > 0)
+        starts = np.flatnonzero(np.cumsum(edge)[: len(words) - width + 1] > 0)
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > per) + 1):
             for run in np.array_split(part, len(part) // 4096 + 1):
                 if not len(run):
