@@ -3,7 +3,9 @@
 Words are lower-cased runs of letters, digits and non-ASCII characters; shingles are five
 words (an item of fewer words is one shingle). A shingle weighs 1 + the bit length of
 (items / items that hold it), so phrases that many items share count less; weights are whole
-numbers, so results do not depend on the order of sums.
+numbers, so results do not depend on the order of sums. Items are counted over the whole
+benchmark; the shingles that this gives less than the largest weight lie in files of the
+shared folder, which tasks memory-map.
 
 A window of a document has as many words as an item; a document of fewer words is one window. Its 64-bit SimHash over weighted
 shingles is looked up in a multi-index: eight blocks of eight bits, one of which must lie
@@ -21,12 +23,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import read
+from postlabel.session import scratch_path
+
+from .files import map_arrays, write_arrays
+from .store import materialise, read
 from .vector import U, lookup, mix, shingle_hashes, text_chunks, word_hashes
 
 SHINGLE = 5
@@ -35,6 +41,8 @@ RADIUS = 23
 BLOCKS = 8
 # Items are sent to the tasks in slices of so many bytes of text; each slice is a pass of its own.
 SLICE_BYTES = 4 << 20
+# Shared shingles a file of weights has on average.
+SHARD_SHINGLES = 1_000_000
 
 _ALNUM = ~lookup([i for i in range(128) if not chr(i).isalnum()])
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -50,11 +58,36 @@ def _packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
+_opened: dict[str, dict] = {}
+
+
+class Weights:
+    """Weights of shingles by their number of items in the whole benchmark."""
+
+    def __init__(self, items: int, bits: int, paths: dict[int, str]):
+        self.bits, self.paths = bits, paths
+        self.rare = 1 + items.bit_length()
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.full(len(shingles), self.rare)
+        own = (shingles >> U(64 - self.bits) if self.bits else shingles * U(0)).astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(own) else ():
+            path = self.paths.get(int(own[mine[0]]))
+            if path is not None:
+                if path not in _opened:
+                    _opened[path] = map_arrays(path)
+                held, weights = _opened[path]["shingle"], _opened[path]["weight"]
+                at = np.minimum(np.searchsorted(held, shingles[mine]), len(held) - 1)
+                out[mine] = np.where(held[at] == shingles[mine], weights[at], self.rare)
+        return out
+
+
 class Items:
-    """A slice of the benchmark: shingles, weights, fingerprints and their block index."""
+    """A slice of the benchmark: shingles, fingerprints and their block index."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], size: int, percent: int, radius: int):
-        self.size, self.percent, self.radius = size, percent, radius
+    def __init__(self, ids: list[int], texts: list[str | None], weights: Weights, size: int, percent: int, radius: int):
+        self.size, self.percent, self.radius, self.weigh = size, percent, radius, weights.of
         self.shingles: list[np.ndarray] = []
         self.ids, self.words = [], []
         for item, text in zip(ids, texts, strict=True):
@@ -63,10 +96,6 @@ class Items:
                 self.ids.append(item)
                 self.words.append(len(hashes))
                 self.shingles.append(shingle_hashes(hashes, min(size, len(hashes))))
-        held = Counter(int(x) for s in self.shingles for x in np.unique(s))
-        self.rare = 1 + len(self.ids).bit_length()
-        self.known = np.array(sorted(held), U)
-        self.weights = np.array([1 + (len(self.ids) // held[int(x)]).bit_length() for x in self.known], np.int64)
         self.by_words: dict[int, list[int]] = {}
         for i, n in enumerate(self.words):
             self.by_words.setdefault(n, []).append(i)
@@ -75,12 +104,6 @@ class Items:
         self.counts = [Counter(s.tolist()) for s in self.shingles]
         self.prints = np.concatenate([np.empty((0, 8), np.uint8), *(_packed(self.sums(s)[None]) for s in self.shingles)])
 
-    def weigh(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(shingles), self.rare)
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weights[at], self.rare)
-
     def sums(self, shingles: np.ndarray) -> np.ndarray:
         return (fingerprint_bits(shingles) * self.weigh(shingles)[:, None]).sum(axis=0)
 
@@ -113,6 +136,47 @@ def _words(column: pa.Array):
     return np.empty(0, U), np.zeros(1, int)
 
 
+def _item_shingles(size: int):
+    """Maps items to their distinct shingles with numbers of items; null counts the items with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offs in text_chunks(batch.column("text")):
+                words, first = word_hashes(data, offs, word=_ALNUM)
+                own = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True) if b > a]
+                found = [np.unique(shingle_hashes(x, min(size, len(x)))) for x in own]
+                shingles, n = np.unique(np.concatenate([np.empty(0, U), *found]), return_counts=True)
+                arrays = [pa.array([None, *shingles.view(np.int64).tolist()], pa.int64()), pa.array([len(own), *n.tolist()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["shingle", "n"])
+
+    return run
+
+
+def _write_weights(items: int, folder: str):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(shingle=rows["shingle"].to_numpy().view(U)).sort_values("shingle")
+        weights = [1 + (items // n).bit_length() for n in rows["n"].tolist()]
+        path = f"{folder}/weights-{key[0]}-{np.random.bytes(8).hex()}"
+        write_arrays(path, {"shingle": rows["shingle"].to_numpy(), "weight": np.array(weights, np.uint8)})
+        return pd.DataFrame({"shard": [key[0]], "path": [path]})
+
+    return run
+
+
+def shingle_weights(items: DataFrame, size: int) -> Weights:
+    """Counts all items (distinct, columns item_id and text) and writes the weights of shared shingles."""
+    counts = items.mapInArrow(_item_shingles(size), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "item-shingles")
+    total = counts.where("shingle is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # One item's own shingles have the largest weight, as unknown ones do.
+    shared = counts.where("shingle is not null and n > 1")
+    bits = (shared.count() // SHARD_SHINGLES).bit_length()
+    shard = F.shiftrightunsigned("shingle", 64 - bits) if bits else F.lit(0).cast("long")
+    folder = scratch_path(items.sparkSession, "weights")
+    written = shared.groupBy(shard.alias("shard")).applyInPandas(_write_weights(total, folder), "shard long, path string")
+    return Weights(total, bits, {r.shard: r.path for r in materialise(written, "weight-shards").collect()})
+
+
 class _Table:
     """Membership of 64-bit hashes: a bitmap by low bits, then a sorted search."""
 
@@ -211,12 +275,13 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
     known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = total // SLICE_BYTES + 1
+    weights = shingle_weights(known.distinct(), size)
     found = docs.select(F.struct("*").alias("row"), F.col("text"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("similarity"))
     for part in range(slices):
         own = known.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == part) if slices > 1 else known
         rows = sorted(own.distinct().collect())
         if rows:
-            items = Items([r.item_id for r in rows], [r.text for r in rows], size, percent, radius)
+            items = Items([r.item_id for r in rows], [r.text for r in rows], weights, size, percent, radius)
             schema = T.StructType([T.StructField(f.name, f.dataType) for f in found.schema])
             found = found.mapInArrow(_flag(items), schema)
     return found.drop("text")

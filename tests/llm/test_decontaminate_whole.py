@@ -1,9 +1,11 @@
-"""Documents shorter than an item, against exact weighted similarity of the whole document."""
+"""Documents shorter than an item against exact weighted similarity, and a benchmark in many slices."""
 
 import random
 from collections import Counter
 
-from test_decontaminate import grams, ours, words
+from test_decontaminate import DOCS, grams, ours, words
+
+from postlabel.llm import decontaminate
 
 
 def brute(docs, items):
@@ -46,3 +48,24 @@ def test_truncated_items(spark):
     expected = brute(docs, items)
     assert expected[0] == [1000] and 10 < sum(map(bool, expected.values())) < 60
     assert ours(spark, docs, items) == expected
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    rng = random.Random(6)
+    items = benchmark(rng, 40)
+    docs = []
+    for i in range(60):
+        copy = rng.choice(items)[1].split()
+        edits = rng.randint(0, 3)
+        copy[len(copy) - edits :] = ["zz"] * edits
+        docs.append((i, " ".join(copy), None))
+
+    def found():
+        got = decontaminate.match_benchmark(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+        return {r.row.doc_id: (r.item_ids, r.similarity) for r in got.collect()}
+
+    whole = found()
+    assert {d: x for d, (x, _) in whole.items()} == brute(docs, items) and len({s for _, s in whole.values()}) > 5
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(decontaminate, "SHARD_SHINGLES", 1)
+    assert found() == whole
