@@ -7,10 +7,11 @@ numbers, so results do not depend on the order of sums. Items are counted over t
 benchmark; the shingles that this gives less than the largest weight lie in files of the
 shared folder, which tasks memory-map.
 
-A window of a document has as many words as an item; a document of fewer words is one window. Its 64-bit SimHash over weighted
-shingles is looked up in a multi-index: eight blocks of eight bits, one of which must lie
-within ``radius // 8`` bits of the item's block if the whole lies within ``radius``. Items
-found so and within the radius are confirmed by exact weighted shingle similarity. A window
+A window of a document has as many words as an item; a document of fewer words is one window.
+Its 64-bit SimHash over weighted shingles is compared block by block with all items of its
+size (a scan; there is no table by block): of eight blocks of eight bits, one must lie within
+``radius // 8`` bits of the item's if the whole lies within ``radius``. Items found so and
+within the radius are confirmed by exact weighted shingle similarity. A window
 without a shingle of an item of its size has similarity 0 with all of them and is not hashed.
 
 At similarity 0.75 a fingerprint is 11 bits away on average, with a standard deviation of 3;
