@@ -6,8 +6,11 @@ templates. In a leaf, lines are taken from the most frequent to the least; a lin
 template with which it shares most tokens, if these are at least ``percent`` of all, and the
 fields in which it differs become variable. Otherwise it starts a template.
 
-A template found in ``min_docs`` documents or more is recurring. Its lines are dropped from
-all documents but the one with the smallest id, so that one copy of each wording stays.
+A template found in ``min_docs`` documents or more is recurring. One with ``LONG_TOKENS``
+fixed tokens or more does not repeat by chance and is recurring from ``LONG_DOCS`` documents
+on, if their texts differ (whole copies are left to dedup of documents). Lines of recurring
+templates are dropped from all documents but the one with the smallest id, so that one copy
+of each wording stays.
 
 A leaf seen in fewer documents cannot hold a recurring template, so only lines of common
 leaves are gathered, each distinct wording once.
@@ -28,6 +31,8 @@ from .vector import U, lookup, mix, prefix_hash, span_hash, text_chunks, word_bo
 DEPTH = 3
 PERCENT = 80
 MIN_DOCS = 10
+LONG_TOKENS = 20
+LONG_DOCS = 2
 
 _DIGIT = lookup(range(48, 58))
 _VARIABLE = U(0x2A)
@@ -58,20 +63,22 @@ def parsed_lines(data: np.ndarray, offs: np.ndarray, depth: int):
 
 
 def _leaves(depth: int):
-    """Maps texts to leaves, each with its number of documents in the batch."""
+    """Maps texts to leaves, each with its number of documents in the batch and whether its lines are long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.empty(0, U)]
+            found, sizes = [np.empty(0, U)], [np.empty(0, int)]
             for _, _, data, offs in text_chunks(batch.column("text")):
-                doc, _, leaf, *_ = parsed_lines(data, offs, depth)
+                doc, _, leaf, head, tail, _ = parsed_lines(data, offs, depth)
                 order = np.lexsort((doc, leaf))
-                doc, leaf = doc[order], leaf[order]
+                doc, leaf, size = doc[order], leaf[order], (tail - head)[order]
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (leaf[1:] != leaf[:-1])
                 found.append(leaf[new])
-            leaf, count = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.view(np.int64)), pa.array(count, pa.int64())], names=["leaf", "n"])
+                sizes.append(size[new])
+            leaf, at, count = np.unique(np.concatenate(found), return_index=True, return_counts=True)
+            long = np.concatenate(sizes)[at] >= LONG_TOKENS
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.view(np.int64)), pa.array(count, pa.int64()), pa.array(long)], names=["leaf", "n", "long"])
 
     return run
 
@@ -122,19 +129,24 @@ class Leaf:
 
 
 def _templates(percent: int):
-    """Maps (leaf, tokens), sorted by leaf, to template numbers; holds one leaf's templates at a time."""
+    """Maps (leaf, tokens), sorted by leaf, to template numbers; holds one leaf's templates at a time.
+
+    ``fixed`` is the number of the template's fixed tokens with this line in it; its last line's is the least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leaf = None, None
         for batch in batches:
-            numbers = []
+            numbers, fixed = [], []
             for key, packed in zip(batch.column("leaf").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                 tokens = np.frombuffer(packed, "<u4")
                 if key != now or leaf.templates.shape[1] != len(tokens):
                     now, leaf = key, Leaf(len(tokens), percent)
                 numbers.append(leaf.place(tokens))
+                fixed.append(int((leaf.fixed[numbers[-1]] & (tokens != 0)).sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("leaf"), batch.column("tokens"), pa.array(numbers, pa.int64())], names=["leaf", "tokens", "template"]
+                [batch.column("leaf"), batch.column("tokens"), pa.array(numbers, pa.int64()), pa.array(fixed, pa.int64())],
+                names=["leaf", "tokens", "template", "fixed"],
             )
 
     return run
@@ -142,16 +154,21 @@ def _templates(percent: int):
 
 def recurring_lines(texts: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, percent: int = PERCENT) -> DataFrame:
     """(doc, fp, line) of all lines to drop, from texts (doc, fp, text)."""
-    common = texts.mapInArrow(_leaves(depth), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
+    leaves = texts.mapInArrow(_leaves(depth), "leaf long, n long, long boolean").groupBy("leaf").agg(F.sum("n").alias("n"), F.max("long").alias("long"))
+    common = leaves.where((F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= LONG_DOCS)))
     lines = texts.mapInArrow(_lines(depth), "leaf long, tokens binary, doc long, fp long, line long")
     lines = materialise(lines.join(common.select("leaf"), "leaf"), "lines")
     wordings = lines.groupBy("leaf", "tokens").agg(F.count("*").alias("n"))
     sorted_ = wordings.repartition("leaf").sortWithinPartitions("leaf", F.length("tokens"), F.desc("n"), "tokens").select("leaf", "tokens")
-    placed = materialise(sorted_.mapInArrow(_templates(percent), "leaf long, tokens binary, template long"), "templates")
-    held = lines.join(placed, ["leaf", "tokens"]).select("leaf", F.length("tokens").alias("size"), "template", "doc", "fp", "line")
+    placed = materialise(sorted_.mapInArrow(_templates(percent), "leaf long, tokens binary, template long, fixed long"), "templates")
+    held = lines.join(placed, ["leaf", "tokens"]).select("leaf", F.length("tokens").alias("size"), "template", "fixed", "doc", "fp", "line")
     key = ["leaf", "size", "template"]
-    each = held.groupBy(*key, "doc", "fp").agg(F.lit(1).alias("one"))
-    recurring = each.groupBy(*key).agg(F.count("*").alias("n"), F.min("doc").alias("first")).where(F.col("n") >= min_docs)
+    each = held.groupBy(*key, "doc", "fp").agg(F.min("fixed").alias("fixed"))
+    found = each.groupBy(*key).agg(
+        F.count("*").alias("n"), F.min("doc").alias("first"), F.min("fixed").alias("fixed"), (F.min("fp") < F.max("fp")).alias("differ")
+    )
+    long = (F.col("fixed") >= LONG_TOKENS) & (F.col("n") >= LONG_DOCS) & F.col("differ")
+    recurring = found.where((F.col("n") >= min_docs) | long).select(*key, "first")
     return held.join(recurring, key).where(F.col("doc") > F.col("first")).select("doc", "fp", "line")
 
 

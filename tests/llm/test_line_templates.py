@@ -60,6 +60,28 @@ def test_exact_wordings_against_counts(spark):
     assert got == expected
 
 
+def test_long_lines_recur_in_few_documents(spark):
+    rng = random.Random(4)
+
+    def line(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+    planted, short, numbers = {k: line(55) for k in (2, 3, 9)}, line(8), " ".join("1" * 30)
+    docs, at = [], 0
+    for k, passage in planted.items():
+        for _ in range(k):
+            docs.append((at, "\n".join([line(12), passage, short if at < 9 else line(8), line(30)] + [numbers] * (at < 2)), None))
+            at += 1
+    copy = line(60)
+    docs += [(100, copy, None), (101, copy, None)]  # whole copies are not this operator's
+    got = {r.row.doc_id: (r.kept_text, r.n_dropped) for r in drop_recurring_lines(spark.createDataFrame(docs, SCHEMA)).collect()}
+    firsts = {0, 2, 5, 100, 101}
+    for doc, text, _ in docs:
+        lines = text.split("\n")
+        expected = text if doc in firsts else "\n".join(x for x in lines if x not in planted.values())
+        assert got[doc] == (expected, int(doc not in firsts)), doc
+
+
 def test_nulls_and_no_rows(spark):
     docs = [(1, None, None), (2, "", None), (None, "a b", None), (3, "a b", None), (3, "a b", None), (4, "\n \n", None)]
     got = sorted((r.row.doc_id or 0, r.kept_text, r.n_lines, r.n_dropped) for r in drop_recurring_lines(spark.createDataFrame(docs, SCHEMA), 2).collect() if r.row.doc_id != 1)
