@@ -53,7 +53,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences, one row per piece."""
-    return pack_documents(docs)
+    return pack_documents(docs, added=True)
 
 
 STAGES = [

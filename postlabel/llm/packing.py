@@ -37,10 +37,11 @@ class WordEncoder:
     """Ids of whole texts from a byte-level BPE tokenizer, each distinct word encoded once.
 
     The tokenizer splits a text by a pattern before any merge, so the ids of a text are those
-    of its parts in a row.
+    of its parts in a row. With ``added``, a text that holds one of the tokenizer's added tokens is
+    encoded by the tokenizer as a whole, which cuts it at them first; without, they are plain text.
     """
 
-    def __init__(self, path: str | None, pattern: str | None):
+    def __init__(self, path: str | None, pattern: str | None, added: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -50,13 +51,16 @@ class WordEncoder:
 
             path, pattern = path or public_tokenizers.path(TOKENIZER), pattern or public_tokenizers.PATTERN
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added = regex.compile("|".join(map(regex.escape, tokens))).search if tokens else lambda text: None
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        parts = [self.split(x) for x in texts]
+        whole = {i for i, x in enumerate(texts) if self.added(x)}
+        parts = [[] if i in whole else self.split(x) for i, x in enumerate(texts)]
         new: set[str] = set()
         for x in parts:
             new.update(x)
@@ -68,24 +72,27 @@ class WordEncoder:
             for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
                 self.known[word] = np.array(found.ids, "<u4").tobytes()
         known = self.known
-        return [b"".join([known[w] for w in x]) for x in parts]
+        return [self._whole(texts[i]) if i in whole else b"".join([known[w] for w in x]) for i, x in enumerate(parts)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str | None, pattern: str | None) -> WordEncoder:
+def encoder(*how) -> WordEncoder:
     """The worker's encoder, which keeps its words from task to task."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = WordEncoder(path, pattern)
-    return _encoders[path, pattern]
+    if how not in _encoders:
+        _encoders[how] = WordEncoder(*how)
+    return _encoders[how]
 
 
-def _pieces(size: int, path: str | None, pattern: str | None):
+def _pieces(size: int, path: str | None, pattern: str | None, added: bool):
     """Maps (doc, text) to its pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern)
+        encode = encoder(path, pattern, added)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             docs, texts = batch.column("doc").to_pylist(), batch.column("text")
@@ -230,7 +237,7 @@ def _placed(slots: Slots):
     return run
 
 
-def pack_documents(docs: DataFrame, size: int = SIZE, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SIZE, path: str | None = None, pattern: str | None = None, added: bool = False) -> DataFrame:
     """Packs the tokens of each text and an end token into sequences of at most ``size`` tokens.
 
     Takes doc_id and text; other columns are ignored. Returns one row per piece: doc_id, piece,
@@ -238,9 +245,11 @@ def pack_documents(docs: DataFrame, size: int = SIZE, path: str | None = None, p
     first piece is the short one. Null and empty texts are one end token. A null id stays null;
     rows that share an id are packed each by itself. No rows give none. ``path`` and ``pattern``
     name the tokenizer's file and its splitting pattern; the public 50k vocabulary by default.
+    ``added`` gives the tokenizer's added tokens in a text their own ids, as the tokenizer's file
+    does and the query and the pipeline do; else they are plain text.
     """
     schema = "doc long, piece int, start long, length long, ids_crc32 long"
-    pieces = materialise(docs.select(order_id().alias("doc"), "text").mapInArrow(_pieces(size, path, pattern), schema), "pieces")
+    pieces = materialise(docs.select(order_id().alias("doc"), "text").mapInArrow(_pieces(size, path, pattern, added), schema), "pieces")
     histogram = np.zeros(size + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():
         histogram[row["length"]] = row["count"]
@@ -260,4 +269,4 @@ def pack_documents(docs: DataFrame, size: int = SIZE, path: str | None = None, p
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"))
+    return pack_documents(read(spark, sf_dir, "documents"), added=True)

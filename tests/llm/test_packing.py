@@ -55,6 +55,17 @@ def test_small_sizes_nulls_special_and_repeated(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_added_tokens_as_the_file_has_them(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> x", "<|endoftext|>", "  <|endoftext|><|endoftext|>\n b's", "<|endoftext| > é", None, "plain words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op10_packing(spark, str(tmp_path)).collect()
+    expected = sorted(x for d, t in enumerate(texts) for x in expected_pieces(tokenizer, d, t, 2048))
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 2124]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == expected
+
+
 def test_plan_uses_each_length_exactly():
     rng = random.Random(4)
     for size, n in ((16, 500), (64, 3000), (257, 40), (100, 1)):
