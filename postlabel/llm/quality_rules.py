@@ -10,6 +10,12 @@ are counted as target, and the threshold is the score that all but ``MISSES`` in
 of the others reach, of those that pass the base rules, in steps of ``STEP``. So a document
 is held against good ones that the model has not seen either.
 
+A few toxic words hardly move that mean. Where untrusted labels are given, half of both are
+also counted by document over ``WIDE`` buckets of words, and a document's ``_lowest`` is its
+least log ratio of trusted to untrusted documents, in tenths. Its threshold is the one that
+parts the other halves best: the share of untrusted dropped less ``TRUST`` times the share of
+trusted dropped.
+
 Everything is DataFrame expressions over arrays. Nothing grows with the data but the scans:
 the ratio table has ``BUCKETS`` entries and reaches the tasks as one literal array, which
 expressions index in place (a column of it would be copied with every row).
@@ -23,6 +29,8 @@ from pyspark.sql import functions as F
 from .store import materialise, read
 
 BUCKETS = 1 << 14
+WIDE = 1 << 17
+TRUST = 5
 SMOOTHING = 1.0
 WINDOW = 5
 MISSES = 2
@@ -76,6 +84,43 @@ def log_ratios(docs: DataFrame, targets: DataFrame) -> Column:
     return F.split(F.lit(",".join(seen.get(b, unseen) for b in range(BUCKETS))), ",").cast("array<double>")
 
 
+def telling_ratios(docs: DataFrame, targets: DataFrame, untrusted: DataFrame) -> Column:
+    """Tenths of the log ratio of each bucket of words, 0 if not negative, from trusted and untrusted doc_ids."""
+    labels = targets.select("doc_id", F.lit(1).alias("_good")).union(untrusted.select("doc_id", F.lit(0)))
+    labels = labels.groupBy("doc_id").agg(F.min("_good").alias("_good"))
+    marked = hashed(docs.select("doc_id", "text").join(labels, "doc_id"))
+    buckets = F.array_distinct(F.transform("_hashes", lambda w: F.pmod(w, F.lit(WIDE)).cast("int")))
+    # One more entry for each document (-1) gives the numbers of documents.
+    seen = marked.select("_good", F.explode(F.concat(F.array(F.lit(-1)), buckets)).alias("bucket"))
+    counts = materialise(seen.groupBy("bucket").agg(F.sum("_good").alias("good"), F.count("*").alias("n")), "telling-buckets")
+    every = counts.where("bucket = -1").first()
+    share = every.good / every.n if every else 0
+    if not 0 < share < 1:
+        return F.split(F.lit(",".join(["0"] * WIDE)), ",").cast("array<int>")
+    # The prior is one document, so that a bucket of no documents has ratio 0.
+    ratio = F.log((F.col("good") + share) / (F.col("n") - F.col("good") + (1 - share))) - F.log(F.lit(share / (1 - share)))
+    low = {r.bucket: r.low for r in counts.where("bucket >= 0").select("bucket", F.round(10 * ratio).cast("int").alias("low")).where("low < 0").collect()}
+    return F.split(F.lit(",".join(str(low.get(b, 0)) for b in range(WIDE))), ",").cast("array<int>")
+
+
+def parting(scores: DataFrame, targets: DataFrame, untrusted: DataFrame) -> int | None:
+    """The least ``_lowest`` to keep, which parts trusted from untrusted documents best; None without both."""
+    labels = targets.select("doc_id", F.lit(1).alias("_good")).union(untrusted.select("doc_id", F.lit(0)))
+    labels = labels.groupBy("doc_id").agg(F.min("_good").alias("_good"))
+    # Whole tenths of a logarithm are a bounded few hundred.
+    steps = scores.join(labels, "doc_id").groupBy("_lowest").agg(F.sum("_good").alias("good"), F.count("*").alias("n")).orderBy("_lowest").collect()
+    good, bad = sum(r.good for r in steps), sum(r.n - r.good for r in steps)
+    if not good or not bad:
+        return None
+    best, limit, lost, gone = 0.0, None, 0, 0
+    for r, after in zip(steps, steps[1:], strict=False):
+        lost, gone = lost + r.good, gone + r.n - r.good
+        gain = gone / bad - TRUST * lost / good
+        if gain > best:
+            best, limit = gain, after["_lowest"]
+    return limit
+
+
 def _repeated_words() -> tuple[Column, Column]:
     """Windows by hash, and in text order the places of those that occur twice or more."""
     pairs = F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -109,15 +154,20 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base_failed", failed)
 
 
-def quality_scores(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed and score of every document."""
+def quality_scores(docs: DataFrame, targets: DataFrame, untrusted: DataFrame | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, score and _lowest of every document."""
     ratios = log_ratios(docs, targets)
     rows = base_counts(hashed(docs.select("doc_id", "text")))
     n = 2 * F.size("_hashes") - 1
     total = F.aggregate("_hashes", F.lit(0.0), lambda s, x: s + F.get(ratios, _bucket(x)))
     total += F.aggregate(_pairs("_hashes", lambda a, b: F.get(ratios, _bucket(F.xxhash64(a, b)))), F.lit(0.0), lambda s, x: s + x)
     score = F.when(n > 0, total / n).otherwise(F.lit(0.0))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", score.alias("score"))
+    lowest = F.lit(0)
+    if untrusted is not None:
+        telling = telling_ratios(docs, targets, untrusted)
+        lowest = F.aggregate("_hashes", F.lit(0), lambda s, x: F.least(s, F.get(telling, F.pmod(x, F.lit(WIDE)).cast("int"))))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return rows.select(*names, score.alias("score"), lowest.alias("_lowest"))
 
 
 def threshold(scores: DataFrame, targets: DataFrame, misses: int = MISSES) -> DataFrame:
@@ -141,8 +191,8 @@ def threshold(scores: DataFrame, targets: DataFrame, misses: int = MISSES) -> Da
     return steps.agg(rows.alias("rows"), allowed.alias("allowed")).select(F.coalesce(gone["step"] * STEP, F.lit(float("-inf"))).alias("threshold"))
 
 
-def judge(docs: DataFrame, targets: DataFrame, misses: int = MISSES) -> DataFrame:
-    """Base counts, score and verdict of every document, from trusted doc_ids (``targets``).
+def judge(docs: DataFrame, targets: DataFrame, misses: int = MISSES, untrusted: DataFrame | None = None) -> DataFrame:
+    """Base counts, score and verdict of every document, from trusted doc_ids (``targets``) and untrusted ones.
 
     Takes doc_id and text; other columns are ignored. Returns doc_id, n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept. A null or empty text has
@@ -150,11 +200,18 @@ def judge(docs: DataFrame, targets: DataFrame, misses: int = MISSES) -> DataFram
     all are trusted if the id is; a row without id is judged but never trusted. No rows give none.
     """
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    scores = materialise(quality_scores(docs, targets.where(half == 0)), "quality-scores")
+    untold = None if untrusted is None else untrusted.where(half == 0)
+    scores = materialise(quality_scores(docs, targets.where(half == 0), untold), "quality-scores")
     limit = materialise(threshold(scores, targets.where(half == 1), misses), "quality-threshold").scalar()
-    return scores.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= limit))
+    kept = ~F.col("base_failed") & (F.col("score") >= limit)
+    if untrusted is not None:
+        least = parting(scores.where(kept), targets.where(half == 1), untrusted.where(half == 1))
+        if least is not None:
+            kept &= F.col("_lowest") >= least
+    return scores.withColumn("kept", kept).drop("_lowest")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return judge(read(spark, sf_dir, "documents"), trusted)
+    labels = read(spark, sf_dir, "labels")
+    trusted, untrusted = labels.where("quality = 1 and toxic = 0"), labels.where("quality = 0 or toxic = 1")
+    return judge(read(spark, sf_dir, "documents"), trusted, untrusted=untrusted)

@@ -47,3 +47,20 @@ def test_no_rows_and_no_targets(spark):
     assert judge(spark.createDataFrame([], SCHEMA), none).count() == 0
     row = judge(spark.createDataFrame([(1, " ".join(map(str, range(20))), "", "")], SCHEMA), none).first()
     assert row.kept
+
+
+def test_few_toxic_words_in_good_prose(spark, tmp_path):
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(600):
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(80, 200))]
+        toxic = i % 6 == 0
+        if toxic:
+            text[rng.randrange(len(text))] = rng.choice(["vile", "nasty"])
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in op2_quality_rules(spark, str(tmp_path)).where("kept").collect()}
+    assert len([i for i in kept if i % 6]) >= 0.95 * 500 and len([i for i in kept if i % 6 == 0]) <= 5
