@@ -9,6 +9,7 @@ from .line_templates import op8_line_templates
 from .minhash_dedup import op4_minhash_dedup
 from .ngram_lm import op9_ngram_lm
 from .packing import op10_packing
+from .periodic_runs import OP12_SQL, op12_periodic_runs
 from .quality_rules import op2_quality_rules
 from .suffix_dedup import op1_suffix_dedup
 from .warc_zip import op5_warc_zip
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_line_templates": op8_line_templates,
     "op9_ngram_lm": op9_ngram_lm,
     "op10_packing": op10_packing,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op6_chat_format": OP6_SQL,
+    "op12_periodic_runs": OP12_SQL,
 }
