@@ -10,7 +10,9 @@ from .minhash_dedup import op4_minhash_dedup
 from .ngram_lm import op9_ngram_lm
 from .packing import op10_packing
 from .periodic_runs import OP12_SQL, op12_periodic_runs
+from .private_data import op11_private_data
 from .quality_rules import op2_quality_rules
+from .spelling_variants import OP13_SQL, op13_spelling_variants
 from .suffix_dedup import op1_suffix_dedup
 from .warc_zip import op5_warc_zip
 
@@ -25,11 +27,14 @@ QUERIES = {
     "op8_line_templates": op8_line_templates,
     "op9_ngram_lm": op9_ngram_lm,
     "op10_packing": op10_packing,
+    "op11_private_data": op11_private_data,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op6_chat_format": OP6_SQL,
     "op12_periodic_runs": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
