@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postlabel import fixed
 from postlabel.functions.text import preview
 from postlabel.operators.ranking import first_rows
+from postlabel.operators.rules import DEFAULT_RULES, Rule
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
@@ -47,6 +48,70 @@ def rule_firing(labelled: DataFrame) -> DataFrame:
     )
 
 
+def _masks(matched: DataFrame) -> DataFrame:
+    """Rows by set of matching rules, from ``match_bits``; far fewer than texts."""
+    return matched.groupBy("bits").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def shadowing(matched: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
+    """Which rule hides which: rows by deciding and hidden rule, from ``match_bits``.
+
+    Texts are counted by their set of rules in one pass; only the sets are taken apart. Rules
+    are numbered from 1 in their order, as notes repeat. ``other_label`` tells that the hidden
+    rule would have given another label.
+    """
+    fired = F.filter(F.sequence(F.lit(0), F.lit(len(rules) - 1)), lambda i: F.getbit("bits", i) == 1)
+    notes = F.array(*[F.lit(r.note) for r in rules])
+    labels = F.array(*[F.lit(r.label) for r in rules])
+    pairs = (
+        _masks(matched)
+        .select("rows", fired.alias("fired"))
+        .select("rows", F.get("fired", F.lit(0)).alias("d"), F.explode(F.slice("fired", 2, len(rules))).alias("h"))
+        .groupBy("d", "h")
+        .agg(F.sum("rows").alias("rows"))
+    )
+    return pairs.select(
+        (F.col("d") + 1).alias("rule_no"),
+        F.get(notes, F.col("d")).alias("rule"),
+        (F.col("h") + 1).alias("hidden_no"),
+        F.get(notes, F.col("h")).alias("hidden"),
+        "rows",
+        (F.get(labels, F.col("d")) != F.get(labels, F.col("h"))).alias("other_label"),
+    )
+
+
+def rule_use(matched: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
+    """How often each rule matches, decides and is hidden by a rule of another label.
+
+    From ``match_bits``. Rules that match nothing are listed too; ``never_decides`` names those
+    that could go without any label changing.
+    """
+    lowest = F.col("bits").bitwiseAND(-F.col("bits"))
+    counters, entries = [], []
+    for i, rule in enumerate(rules):
+        # Sets in which the lowest rule is one that gives another label.
+        other = sum(1 << j for j, r in enumerate(rules[:i]) if r.label != rule.label)
+        matches = F.getbit("bits", F.lit(i)) == 1
+        decides = lowest == F.lit(1 << i).cast("bigint")
+        relabels = matches & (lowest.bitwiseAND(F.lit(other).cast("bigint")) != 0)
+        for name, condition in (("m", matches), ("d", decides), ("o", relabels)):
+            counters.append(F.sum(F.when(condition, F.col("rows")).otherwise(0)).alias(f"{name}{i}"))
+        m, d, o = (F.coalesce(F.col(f"{name}{i}"), F.lit(0).cast("bigint")) for name in "mdo")
+        entries.append(
+            F.struct(
+                F.lit(i + 1).alias("rule_no"),
+                F.lit(rule.note).alias("rule"),
+                F.lit(rule.label).alias("label"),
+                m.alias("matches"),
+                d.alias("decides"),
+                (m - d).alias("hidden"),
+                o.alias("relabelled"),
+                (d == 0).alias("never_decides"),
+            )
+        )
+    return _masks(matched).agg(*counters).select(F.inline(F.array(*entries)))
+
+
 def skip_report(reasons: DataFrame) -> DataFrame:
     """Rows per skip reason, with all skipped and all kept; from ``skip_reason``."""
     reason = F.col("skip_reason")

@@ -325,6 +325,22 @@ def label_all_matches(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> D
     return text_features(_with_source(df)).withColumn("matches", fired).drop("t", "tl", "n")
 
 
+def match_bits(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
+    """Adds ``bits``: bit i is set where rule i fires, whichever rule decides; 0 for a null text.
+
+    At most 63 rules. The lowest bit is the deciding rule, all others are hidden by it.
+    """
+    if len(rules) > 63:
+        raise ValueError("a bit set holds 63 rules")
+    post = _post()
+    zero = F.lit(0).cast("bigint")
+    bits = zero
+    for i, rule in enumerate(rules):
+        bits = bits.bitwiseOR(F.when(rule.condition(post), F.lit(1 << i).cast("bigint")).otherwise(zero))
+    bits = F.when(F.col("text").isNull(), zero).otherwise(bits)
+    return text_features(_with_source(df)).withColumn("bits", bits).drop("t", "tl", "n")
+
+
 def skip_reason(df: DataFrame, rules: Sequence[Rule] = AUDIT_RULES) -> DataFrame:
     """Adds ``skip_reason``, null for posts that are kept."""
     reason = _pick([r.note for r in rules], F.col("_rule"))

@@ -9,6 +9,7 @@ from postlabel.plans import weak_label_job as weak_labels
 
 from .base import (
     EXAMPLES_SQL,
+    LABEL_SQL,
     NOTE_SQL,
     TURNS_SQL,
     cascade_sql,
@@ -100,6 +101,42 @@ def every_matching_rule(spark, sf):
     return matched.select("ex_id", F.array_join("matches", ">").alias("matches"))
 
 
+# Rules by number, with the conditions of the cascade as a list of flags.
+_CONDITIONS = re.findall(r"WHEN (.*?) THEN '(\w+)'", NOTE_SQL, re.DOTALL)
+_NUMBERED = ", ".join(f"({i}, '{note}')" for i, (_, note) in enumerate([*_CONDITIONS, ("", "long_default")], start=1))
+FIRED_SQL = f"""WITH {EXAMPLES_SQL},
+{features_sql("examples")},
+rules AS (SELECT rule_no, note, {LABEL_SQL} AS label FROM (VALUES {_NUMBERED}) AS r(rule_no, note)),
+flags AS (SELECT ex_id, [{", ".join(f"({condition})" for condition, _ in _CONDITIONS)}, TRUE] AS f FROM feats),
+fired AS (SELECT ex_id, list_filter(range(1, len(f) + 1), lambda i: f[i]) AS r FROM flags)
+"""
+
+
+@query(
+    FIRED_SQL
+    + """SELECT CAST(d.rule_no AS INTEGER) AS rule_no, d.note AS rule, CAST(h.rule_no AS INTEGER) AS hidden_no, h.note AS hidden,
+  CAST(count(*) AS BIGINT) AS rows, d.label <> h.label AS other_label
+FROM (SELECT r[1] AS d, unnest(r[2:]) AS h FROM fired) AS p
+JOIN rules d ON d.rule_no = p.d JOIN rules h ON h.rule_no = p.h GROUP BY ALL"""
+)
+def rule_shadowing(spark, sf):
+    return report.shadowing(rules.match_bits(examples(spark, sf)))
+
+
+@query(
+    FIRED_SQL
+    + """SELECT CAST(q.rule_no AS INTEGER) AS rule_no, q.note AS rule, q.label, CAST(count(p.ex_id) AS BIGINT) AS matches,
+  CAST(count(*) FILTER (WHERE p.d = q.rule_no) AS BIGINT) AS decides,
+  CAST(count(*) FILTER (WHERE p.d < q.rule_no) AS BIGINT) AS hidden,
+  CAST(count(*) FILTER (WHERE p.d < q.rule_no AND d.label <> q.label) AS BIGINT) AS relabelled,
+  count(*) FILTER (WHERE p.d = q.rule_no) = 0 AS never_decides
+FROM rules q LEFT JOIN (SELECT ex_id, r[1] AS d, unnest(r) AS m FROM fired) AS p ON p.m = q.rule_no
+LEFT JOIN rules d ON d.rule_no = p.d GROUP BY ALL"""
+)
+def rule_use(spark, sf):
+    return report.rule_use(rules.match_bits(examples(spark, sf)))
+
+
 @query(AUDITED + "SELECT ex_id, skip_reason FROM audited")
 def skip_reason(spark, sf):
     return rules.skip_reason(examples(spark, sf)).select("ex_id", "skip_reason")

@@ -71,12 +71,54 @@ def test_audit_differs_where_phrases_differ(spark):
 def test_reports(planted):
     firing = {(r["label"], r["note"]): r["rows"] for r in report.rule_firing(rules.label_posts(planted)).collect()}
     assert firing[("ALL", "ALL")] == len(PLANTED)
-    assert firing[("skip", "ALL")] == 8
+    assert firing[("skip", "ALL")] == sum(note in {r.note for r in rules.EXCLUSION_RULES} for _, note in PLANTED)
     lines = {r["line"]: r["rows"] for r in report.skip_report(rules.skip_reason(planted)).collect()}
     assert lines["Total skipped"] + lines["Total kept"] == len(PLANTED)
     assert lines["too_long_article"] == 2
 
 
+def test_shadowing_equals_the_lists_of_matches(spark, planted):
+    """Rules under other names, so that the two of one note are told apart; a null text counts nowhere."""
+    named = [rules.Rule(f"{i}", r.label, r.test, r.over, r.under) for i, r in enumerate(rules.DEFAULT_RULES, start=1)]
+    rows = planted.unionByName(spark.createDataFrame([(-900, -900, None, "post")], SCHEMA))
+    pairs, use = {}, {i: [0, 0, 0] for i in range(1, 31)}
+    for r in rules.label_all_matches(planted, named).collect():
+        first, *rest = (int(x) for x in r["matches"])
+        use[first][0] += 1
+        use[first][1] += 1
+        for i in rest:
+            pairs[first, i] = pairs.get((first, i), 0) + 1
+            use[i][0] += 1
+            use[i][2] += rules.DEFAULT_RULES[first - 1].label != rules.DEFAULT_RULES[i - 1].label
+    matched = rules.match_bits(rows)
+    got = report.shadowing(matched).collect()
+    assert {(r["rule_no"], r["hidden_no"]): r["rows"] for r in got} == pairs
+    for r in got:
+        a, b = rules.DEFAULT_RULES[r["rule_no"] - 1], rules.DEFAULT_RULES[r["hidden_no"] - 1]
+        assert (r["rule"], r["hidden"], r["other_label"]) == (a.note, b.note, a.label != b.label)
+    listed = report.rule_use(matched).collect()
+    assert {r["rule_no"]: [r["matches"], r["decides"], r["relabelled"]] for r in listed} == use
+    assert all(r["hidden"] == r["matches"] - r["decides"] and r["never_decides"] == (r["decides"] == 0) for r in listed)
+
+
+def test_a_rule_that_never_decides_is_named(spark):
+    mine = (rules.Rule("any", "analysis"), rules.Rule("never first", "reaction", over=3), rules.Rule("no match", "skip", over=99))
+    df = spark.createDataFrame([(1, "abcd"), (2, "B")], "ex_id INT, text STRING")
+    got = {r["rule"]: (r["matches"], r["decides"], r["relabelled"], r["never_decides"]) for r in report.rule_use(rules.match_bits(df, mine), mine).collect()}
+    assert got == {"any": (2, 2, 0, False), "never first": (1, 0, 1, True), "no match": (0, 0, 0, True)}
+    assert report.shadowing(rules.match_bits(df.limit(0), mine), mine).count() == 0
+    with pytest.raises(ValueError):
+        rules.match_bits(df, mine * 30)
+
+
+def test_sets_of_rules_are_counted_not_texts(planted, capsys):
+    report.shadowing(rules.match_bits(planted)).explain()
+    plan = capsys.readouterr().out
+    assert "PythonUDF" not in plan and plan.count("Generate explode") == 1
+    # The explode stands above the counts of sets.
+    assert plan.index("Generate explode") < plan.index("keys=[bits")
+
+
 def test_label_does_not_depend_on_partitions(planted):
     want = sorted(map(tuple, rules.label_posts(planted).select("ex_id", "note").collect()))
     for n in (1, 3, 8):
