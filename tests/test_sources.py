@@ -59,6 +59,35 @@ def test_json_archives(spark, tmp_path):
     assert (row["post_id"], row["body"]) == ("p1", "hi")
 
 
+def test_intake_accounts_for_every_line(spark, tmp_path):
+    good = {"id": "p1", "created_utc": 1700000000, "title": "T", "selftext": "s", "num_comments": 3}
+    lines = [
+        json.dumps(good), json.dumps(good | {"id": "p2", "created_utc": "1700000000.25"}), json.dumps(good | {"id": "p3", "created_utc": "2023-11-14T22:13:20Z"}),
+        json.dumps(good)[:30], "not json", json.dumps(good | {"num_comments": "many"}), json.dumps(good | {"id": " "}),
+        json.dumps({k: v for k, v in good.items() if k != "id"}), json.dumps(good | {"created_utc": "yesterday"}), json.dumps(good | {"title": None}), "",
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines) + "\n")
+    taken = sources.take_in_posts(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert taken.counts == {"read": 10, "kept": 3, "broken record": 3, "no id": 2, "no time": 1, "no title": 1}
+    rows = {r["id"]: r for r in taken.kept.collect()}
+    assert {str(r["created_utc"])[:19] for r in rows.values()} == {"2023-11-14 22:13:20"} and set(rows) == {"p1", "p2", "p3"}
+    dead = taken.dead.groupBy("reason").count().collect()
+    assert {r["reason"]: r["count"] for r in dead} == {"broken record": 3, "no id": 2, "no time": 1, "no title": 1}
+    assert {r["_corrupt"] for r in taken.dead.where("reason = 'broken record'").collect()} >= {"not json", json.dumps(good)[:30]}
+
+
+def test_intake_of_nothing_and_of_answers(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("")
+    taken = sources.take_in_responses(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert taken.counts["read"] == 0 and taken.kept.count() == taken.dead.count() == 0
+    (tmp_path / "in" / "b.json").write_text('{"ex_id": 1, "raw": ""}\n{"ex_id": 2}\n{"raw": "x"}\n{"ex_id": "x", "raw": "y"}\n')
+    taken = sources.take_in_responses(spark, str(tmp_path / "in"), str(tmp_path / "two"))
+    assert taken.counts == {"read": 4, "kept": 1, "broken record": 1, "no example": 1, "no answer": 1}
+    assert [tuple(r) for r in taken.kept.collect()] == [(1, "")]
+
+
 def test_results_are_one_file(spark):
     path = scratch_path(spark, "results")
     sources.write_results_json(spark.createDataFrame([(0.5, "m")], "accuracy DOUBLE, model STRING"), path)
