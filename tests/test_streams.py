@@ -1,7 +1,21 @@
 from pyspark.sql import functions as F
 
 from postlabel.operators import rules
-from postlabel.streaming import dedupe_stream, label_counts_stream, label_stream, read_stream, run_once
+from postlabel.operators import model as ml
+from postlabel.session import scratch_path
+from postlabel.streaming import (
+    dedupe_stream,
+    label_counts_stream,
+    label_stream,
+    late_counts,
+    predict_stream,
+    read_stage,
+    read_stream,
+    run_available,
+    run_once,
+    split_late,
+    thin_stream,
+)
 
 SCHEMA = "ex_id BIGINT, ts TIMESTAMP, text STRING, source STRING"
 
@@ -103,3 +117,117 @@ def test_a_dropped_copy_does_not_renew_the_memory_of_a_text(spark, tmp_path):
         )
         got = run_once(dedupe_stream(stream).select("ex_id"), f"renew-{name}").collect()
         assert sorted(r["ex_id"] for r in got) == sorted([ids[0], 90, 91, ids[2]])
+
+
+def _models(spark):
+    words = {"analysis": "data trend formation", "hot_take": "overrated bum worst", "reaction": "goal wow what"}
+    rows = [(i, name, f"{words[name]} {i % 5}") for i, name in enumerate(list(words) * 8)]
+    train = spark.createDataFrame(rows, "ex_id BIGINT, label STRING, text STRING")
+    text_model, candidates = ml.fit_grid(train, ({"regParam": 0.01}, {"regParam": 10.0}), features=256)
+    return [ml.whole_model(text_model, m) for _, m in candidates]
+
+
+def _stream_rows(n, first=0):
+    texts = ["data trend", "a bum", "wow what a goal", "", "none of these"]
+    return [(i, "2024-01-01 00:00:00", texts[i % 5], "post") for i in range(first, first + n)]
+
+
+def test_predict_stream_equals_batch_over_a_restart_with_another_model(spark, tmp_path):
+    models, out, progress = (str(tmp_path / x) for x in ("models", "out", "progress"))
+    expected = {}
+    for version, (model, rows) in enumerate(zip(_models(spark), (_stream_rows(20), _stream_rows(15, 20)), strict=True), start=1):
+        assert ml.publish_model(model, models) == version
+        _write(spark, tmp_path / "in", rows)
+        stream = read_stream(spark, str(tmp_path / "in"), SCHEMA, "*.parquet")
+        got = run_available(predict_stream(stream, models), out, progress)
+        batch = ml.predict(spark.createDataFrame(rows, "ex_id BIGINT, ts STRING, text STRING, source STRING"), model)
+        expected |= {r["ex_id"]: (version, r["predicted_label"], r["confidence"], r["all_scores"]) for r in batch.collect()}
+    found = got.collect()
+    assert len(found) == 35
+    assert {r["ex_id"]: (r["model_version"], r["predicted_label"], r["confidence"], r["all_scores"]) for r in found} == expected
+    # Started again with nothing new, it writes nothing.
+    again = run_available(predict_stream(read_stream(spark, str(tmp_path / "in"), SCHEMA, "*.parquet"), models), out, progress)
+    assert again.count() == 35
+
+
+def test_a_query_that_fails_in_a_batch_scores_each_text_once(spark, tmp_path):
+    """The first start dies while it scores; the second one goes on from the noted progress."""
+    import pytest
+
+    models, out, progress = (str(tmp_path / x) for x in ("models", "out", "progress"))
+    for model in _models(spark)[:1]:
+        ml.publish_model(model, models)
+    _write(spark, tmp_path / "in", _stream_rows(10))
+    run_available(predict_stream(read_stream(spark, str(tmp_path / "in"), SCHEMA, "*.parquet"), models), out, progress)
+    _write(spark, tmp_path / "in", _stream_rows(10, 10))
+    stream = predict_stream(read_stream(spark, str(tmp_path / "in"), SCHEMA, "*.parquet"), models)
+    with pytest.raises(Exception, match="lost"):
+        run_available(stream.withColumn("confidence", F.when(F.col("ex_id") == 15, F.raise_error(F.lit("lost"))).otherwise(F.col("confidence"))), out, progress)
+    got = run_available(stream, out, progress)
+    assert sorted(r["ex_id"] for r in got.collect()) == list(range(20))
+
+
+def test_missing_models_are_named(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(FileNotFoundError, match="no model"):
+        ml.current_model(spark, str(tmp_path / "none"))
+
+
+HASHED = f"{SCHEMA}, text_hash STRING"
+
+
+def _thin(spark, folder, thin, progress):
+    stream = read_stream(spark, str(folder), SCHEMA, "*.parquet").withColumn("text_hash", F.sha2("text", 256))
+    thin_stream(stream, str(thin), str(progress), order=("ts", "ex_id"))
+
+
+def test_a_flood_is_one_row_a_batch_for_the_state(spark, tmp_path):
+    """Three batches of a flooding text and an hour's delay: thinned, forgotten, emitted again."""
+    folder, thin, first, second, out = (tmp_path / x for x in ("in", "thin", "first", "second", "out"))
+    lots = [("00:00:00", 0), ("00:30:00", 1000), ("05:00:00", 2000)]
+    for time, base in lots:
+        _write(spark, folder, [(base + i, f"2024-01-01 {time}", "hot" if i % 3 else f"t{base + i}", "post") for i in range(300)])
+        _thin(spark, folder, thin, first)
+        kept = run_available(dedupe_stream(read_stage(spark, str(thin), HASHED)), str(out), str(second))
+    staged = spark.read.option("basePath", str(thin)).parquet(f"{thin}/batch=*")
+    assert {r["batch"]: r["count"] for r in staged.where("text = 'hot'").groupBy("batch").count().collect()} == {0: 1, 1: 1, 2: 1}
+    assert staged.count() == 3 * 101
+    # Known in the second lot; the state goes when the third has moved the watermark past it.
+    assert [r["ex_id"] for r in kept.where("text = 'hot'").collect()] == [1]
+    _write(spark, folder, [(3000 + i, "2024-01-01 05:10:00", "hot", "post") for i in range(50)])
+    _thin(spark, folder, thin, first)
+    kept = run_available(dedupe_stream(read_stage(spark, str(thin), HASHED)), str(out), str(second))
+    assert sorted(r["ex_id"] for r in kept.where("text = 'hot'").collect()) == [1, 3000]
+
+
+def test_a_batch_written_before_its_progress_is_not_written_again(spark, tmp_path):
+    """Lost progress: the same rows come as batch 0 again, which is there already."""
+    _write(spark, tmp_path / "in", [(1, "2024-01-01 00:00:00", "a", "post"), (2, "2024-01-01 00:00:00", "a", "post")])
+    _thin(spark, tmp_path / "in", tmp_path / "thin", tmp_path / "one")
+    before = sorted(p.name for p in (tmp_path / "thin" / "batch=0").iterdir())
+    _thin(spark, tmp_path / "in", tmp_path / "thin", tmp_path / "another")
+    assert sorted(p.name for p in (tmp_path / "thin" / "batch=0").iterdir()) == before
+    assert [r["ex_id"] for r in spark.read.parquet(str(tmp_path / "thin" / "batch=0")).collect()] == [1]
+
+
+def test_late_rows_are_counted_and_the_others_all_arrive(spark, tmp_path):
+    staged, first, second, out = (str(tmp_path / x) for x in ("staged", "first", "second", "out"))
+    schema = "ex_id BIGINT, ts TIMESTAMP, label STRING"
+    lots = [
+        [(1, "2024-01-01 00:10:00"), (2, "2024-01-01 05:00:00")],
+        [(3, "2024-01-01 00:20:00"), (4, "2024-01-01 03:59:59"), (5, "2024-01-01 02:59:59"), (6, None)],
+        [(7, "2024-01-01 04:00:00"), (8, "2024-01-01 03:00:00")],
+    ]
+    for rows in lots:
+        _write(spark, tmp_path / "in", [(i, t, "Midfield depth wins titles", "post") for i, t in rows])
+        stream = label_stream(read_stream(spark, str(tmp_path / "in"), SCHEMA, "*.parquet")).select("ex_id", "ts", "label")
+        split_late(stream, staged, first)
+        counts = run_available(label_counts_stream(read_stage(spark, staged, schema, late=False)), out, second, "update")
+    latest = {}
+    for r in sorted(counts.collect(), key=lambda r: r["batch"]):
+        latest[r["start"].hour] = r["rows"]
+    # The window from 3 to 4 ends at the watermark of the second and third lot, 4 o'clock.
+    assert latest == {0: 1, 5: 1, 4: 1}
+    late = {r["start"].hour: r["late"] for r in late_counts(spark, staged, schema, ["label"]).collect()}
+    assert late == {0: 1, 3: 2, 2: 1}
