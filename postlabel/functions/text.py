@@ -141,11 +141,21 @@ def is_discussion(
     return ~is_match_thread(title, keywords) & (F.coalesce(num_comments, F.lit(0)) > minimum)
 
 
-def with_context_prefix(text: Column, source: Column) -> Column:
-    """Text preceded by where it was written, so that the model can see it."""
+def with_context_prefix(text: Column, source: Column, title: Column | None = None) -> Column:
+    """Text preceded by where it was written, so that the model can see it.
+
+    A null or unknown source is a post. Given ``title``, comments have that of their thread
+    before them as well, unless it is null or blank.
+    """
     match, post = fixed.CONTEXT_PREFIX[fixed.MATCH_THREAD_COMMENT], fixed.CONTEXT_PREFIX[fixed.POST]
-    lead = F.when(source == fixed.MATCH_THREAD_COMMENT, F.lit(match)).otherwise(F.lit(post))
-    return F.concat(lead, F.lit(" "), text)
+    in_match = source == fixed.MATCH_THREAD_COMMENT
+    in_discussion = source.isin(fixed.DISCUSSION_COMMENT, fixed.DISCUSSION_COMMENT_OLDER)
+    lead = F.when(in_match, match).when(in_discussion, fixed.DISCUSSION_PREFIX).otherwise(post)
+    if title is None:
+        return F.concat(lead, F.lit(" "), text)
+    named = (in_match | in_discussion) & (F.length(strip_ws(title)) > 0)
+    thread = F.when(named, F.concat(title, F.lit(fixed.TITLE_SEPARATOR))).otherwise("")
+    return F.concat(lead, F.lit(" "), thread, text)
 
 
 def shuffle_key(id_col: Column, seed: int = fixed.SEED) -> Column:

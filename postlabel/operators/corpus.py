@@ -71,8 +71,10 @@ def non_blank(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(F.length(strip_ws(F.col(text))) > 0)
 
 
-def add_context_prefix(df: DataFrame) -> DataFrame:
-    return df.withColumn("text", with_context_prefix(F.col("text"), F.col("source")))
+def add_context_prefix(df: DataFrame, title: str | None = None) -> DataFrame:
+    """Puts the source before each text, and a comment's thread title from the column ``title``."""
+    thread = None if title is None else F.col(title)
+    return df.withColumn("text", with_context_prefix(F.col("text"), F.col("source"), thread))
 
 
 def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -110,13 +112,50 @@ def label_difference(a: DataFrame, b: DataFrame, label: str = "label") -> DataFr
     return a.select(label).subtract(b.select(label))
 
 
+DECISIONS = ("drop", "change", "confirm")
+
+
+def resolve_reviews(
+    reviews: DataFrame,
+    id_col: str = "ex_id",
+    order: Sequence[str] = ("reviewed_at", "reviewer"),
+) -> DataFrame:
+    """One decision an id from several reviewers' reviews: the last by ``order``.
+
+    Columns of ``order`` that ``reviews`` lacks are left out. Of reviews equal in it, drop goes
+    before change before confirm, then the first label; a change without a label is a
+    confirmation. A null in ``order`` comes before everything else. Tasks cut the reviews to
+    one per id before the shuffle.
+    """
+    decision = F.when((F.col("decision") == "change") & F.col("label").isNull(), "confirm").otherwise(F.col("decision"))
+    rank = F.coalesce(*[F.when(F.col("_decision") == name, F.lit(i)) for i, name in enumerate(DECISIONS)])
+    keys = [F.col(c).desc_nulls_last() for c in order if c in reviews.columns]
+    valid = reviews.withColumn("_decision", decision).where(rank.isNotNull() & F.col(id_col).isNotNull())
+    kept = top_per_group(valid, [id_col], [*keys, rank, F.col("label")], 1, rank="_place")
+    return kept.withColumn("decision", F.col("_decision")).drop("_decision", "_place")
+
+
+def review_conflicts(reviews: DataFrame, id_col: str = "ex_id") -> DataFrame:
+    """Ids on which reviews differ in decision or label: (id, reviews, decisions, labels).
+
+    Sets are sorted. They are bounded by the number of decisions and labels there are.
+    """
+    grouped = reviews.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("reviews"),
+        F.sort_array(F.collect_set("decision")).alias("decisions"),
+        F.sort_array(F.collect_set("label")).alias("labels"),
+    )
+    return grouped.where((F.size("decisions") > 1) | (F.size("labels") > 1))
+
+
 def apply_reviews(labelled: DataFrame, reviews: DataFrame, id_col: str = "ex_id") -> DataFrame:
     """A reviewer's decision over the rule's label.
 
-    ``reviews`` has one row per example: decision ``drop`` removes it, ``change`` replaces
-    the label, ``confirm`` keeps it. ``status`` is ``pre-labeled`` without a review.
+    Decision ``drop`` removes the example, ``change`` replaces the label, ``confirm`` keeps it;
+    of several reviews of an example one counts (``resolve_reviews``), so no example is
+    multiplied. ``status`` is ``pre-labeled`` without a review.
     """
-    found = reviews.select(
+    found = resolve_reviews(reviews, id_col).select(
         id_col, F.col("label").alias("_label"), F.col("decision").alias("_decision")
     )
     decided = F.col("_decision")

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlabel import fixed
 from postlabel.functions.labels import encode_label
+from postlabel.session import cut_lineage
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -40,12 +42,22 @@ def _names(labels: Sequence[str]) -> Column:
 # --- joins --------------------------------------------------------------------
 
 
-def align(pred: DataFrame, truth: DataFrame, id_col: str = "ex_id") -> DataFrame:
+def one_prediction(pred: DataFrame, id_col: str = "ex_id", order: Sequence[str] = ()) -> DataFrame:
+    """(id, label): of several predictions of an id the first by ``order``, then by label.
+
+    Tasks cut them to one per id before the shuffle on the id, which the join after it uses too.
+    """
+    first = F.min(F.struct(*order, F.col("label").isNull().alias("_none"), "label"))
+    return pred.groupBy(id_col).agg(first.alias("_first")).select(id_col, "_first.label")
+
+
+def align(pred: DataFrame, truth: DataFrame, id_col: str = "ex_id", order: Sequence[str] = ()) -> DataFrame:
     """(id, label, predicted) for every true row; predicted is null where none was made.
 
-    Ids are unique on both sides, so no key can be hot.
+    True ids are unique; of several predictions one counts (``one_prediction``), so no row is
+    multiplied.
     """
-    made = pred.select(id_col, F.col("label").alias("predicted"))
+    made = one_prediction(pred, id_col, order).withColumnRenamed("label", "predicted")
     return truth.select(id_col, "label").join(made, id_col, "left")
 
 
@@ -62,14 +74,26 @@ def attach_text(errors: DataFrame, texts: DataFrame, id_col: str = "ex_id") -> D
 
 
 def compare_models(
-    pred_a: DataFrame, pred_b: DataFrame, truth: DataFrame, id_col: str = "ex_id"
+    pred_a: DataFrame,
+    pred_b: DataFrame,
+    truth: DataFrame,
+    id_col: str = "ex_id",
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, label, predicted_a, predicted_b) on the same rows, all of the truth kept."""
-    a = pred_a.select(id_col, F.col("label").alias("predicted_a"))
-    b = pred_b.select(id_col, F.col("label").alias("predicted_b"))
+    """(id, label, predicted_a, predicted_b) on the same rows, all of the truth kept once."""
+    a = one_prediction(pred_a, id_col, order).withColumnRenamed("label", "predicted_a")
+    b = one_prediction(pred_b, id_col, order).withColumnRenamed("label", "predicted_b")
     return truth.select(id_col, "label").join(a, id_col, "left").join(b, id_col, "left")
 
 
+def disagreements(compared: DataFrame) -> DataFrame:
+    """Rows that only one of two models gets right, from ``compare_models``, and which (a or b)."""
+    right_a, right_b = (
+        F.coalesce(F.col(c) == F.col("label"), F.lit(False)) for c in ("predicted_a", "predicted_b")
+    )
+    return compared.where(right_a != right_b).withColumn("right", F.when(right_a, "a").otherwise("b"))
+
+
 # --- the matrix ---------------------------------------------------------------
 
 
@@ -138,48 +162,113 @@ def confusion_matrix_wide(
     )
 
 
-def _scores_row(
-    df: DataFrame,
-    labels: Sequence[str],
-    totals: Mapping[str, Column] | None = None,
-    **names,
-) -> DataFrame:
-    """One row: total, accuracy and per-class scores, unrounded."""
-    size = len(labels)
-    m = F.col("m")
+def _class_scores(m: Column, labels: Sequence[str]) -> Column:
+    """Unrounded scores per class, as an array of structs, from an L x L matrix."""
     classes = []
     for i, name in enumerate(labels):
         hit = F.get(F.get(m, F.lit(i)), F.lit(i))
         support = _total(F.get(m, F.lit(i)))
         predicted = _total(_column(m, i))
-        precision, recall = ratio(hit, predicted), ratio(hit, support)
         classes.append(
             F.struct(
                 F.lit(name).alias("label"),
-                precision.alias("precision"),
-                recall.alias("recall"),
+                ratio(hit, predicted).alias("precision"),
+                ratio(hit, support).alias("recall"),
                 # 2PR / (P + R), written so that it is one division of counts.
                 ratio(2 * hit, predicted + support).alias("f1"),
                 support.alias("support"),
                 predicted.alias("predicted"),
             )
         )
-    diagonal = sum(
+    return F.array(*classes)
+
+
+def _diagonal(m: Column, size: int) -> Column:
+    return sum(
         (F.get(F.get(m, F.lit(i)), F.lit(i)) for i in range(1, size)),
         F.get(F.get(m, F.lit(0)), F.lit(0)),
     )
+
+
+def _scores_row(df: DataFrame, labels: Sequence[str], **names) -> DataFrame:
+    """One row: total, accuracy and per-class scores, unrounded."""
+    m = F.col("m")
     return (
-        matrix_row(df, labels, totals=totals, **names)
+        matrix_row(df, labels, **names)
         .select(
-            F.array(*classes).alias("classes"),
-            diagonal.alias("hits"),
+            _class_scores(m, labels).alias("classes"),
+            _diagonal(m, len(labels)).alias("hits"),
             _total(F.transform(m, _total)).alias("rows"),
-            *(totals or {}),
         )
         .withColumn("accuracy", ratio(F.col("hits"), F.col("rows")))
     )
 
 
+def paired_row(
+    compared: DataFrame,
+    labels: Sequence[str] = fixed.LABELS,
+    truth: str = "label",
+    a: str = "predicted_a",
+    b: str = "predicted_b",
+) -> DataFrame:
+    """One row about two models on the same rows, from one scan with partial counts.
+
+    Rows are counted by truth, answer of a and answer of b, where an answer may also be none
+    (null) or a label that is not in ``labels``. From that come, for each model, ``classes_x``
+    (scores per class over the rows it gave a known label), ``hits_x``, ``known_x`` (rows with a
+    known label), ``made_x`` (rows with any answer) and ``macro_x``; then how many rows both,
+    only one or neither gets right. ``rows`` counts all, those of unknown truth too, which
+    count nowhere else.
+    """
+    size, wide = len(labels), len(labels) + 2
+    ids = {name: i for i, name in enumerate(labels)}
+
+    def place(column: str) -> Column:
+        known = F.coalesce(encode_label(F.col(column), ids), F.lit(size + 1))
+        return F.when(F.col(column).isNull(), F.lit(size)).otherwise(known)
+
+    cell = (encode_label(F.col(truth), ids) * wide + place(a)) * wide + place(b)
+    counts = compared.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
+    # At most L x (L + 2) x (L + 2) entries; collect_list leaves the null out.
+    entry = F.when(F.col("cell").isNotNull(), F.struct("cell", "rows"))
+    everything = counts.agg(
+        F.map_from_entries(F.collect_list(entry)).alias("cells"), F.coalesce(F.sum("rows"), F.lit(0).cast("bigint")).alias("rows")
+    )
+
+    def count(t: int, x: int, y: int) -> Column:
+        found = F.try_element_at(F.col("cells"), F.lit((t * wide + x) * wide + y))
+        return F.coalesce(found, F.lit(0).cast("bigint"))
+
+    def added(parts) -> Column:
+        first, *rest = parts
+        return sum(rest, first)
+
+    every = range(wide)
+    by_a = [[added(count(t, x, y) for y in every) for x in every] for t in range(size)]
+    by_b = [[added(count(t, x, y) for x in every) for y in every] for t in range(size)]
+    both = added(count(t, t, t) for t in range(size))
+    columns = []
+    for name, table in (("a", by_a), ("b", by_b)):
+        m = F.array(*[F.array(*row[:size]) for row in table])
+        made = added(row[x] for row in table for x in every if x != size)
+        columns += [m.alias(f"m_{name}"), made.alias(f"made_{name}")]
+    known = added(row[x] for row in by_a for x in every)
+    counted = everything.select("rows", both.alias("both_right"), known.alias("_known"), *columns)
+    for name in "ab":
+        m = F.col(f"m_{name}")
+        counted = (
+            counted.withColumn(f"classes_{name}", _class_scores(m, labels))
+            .withColumn(f"hits_{name}", _diagonal(m, size))
+            .withColumn(f"known_{name}", _total(F.transform(m, _total)))
+            .withColumn(f"macro_{name}", _mean(F.col(f"classes_{name}"), "f1", size))
+        )
+    only_a, only_b = F.col("hits_a") - F.col("both_right"), F.col("hits_b") - F.col("both_right")
+    neither = F.col("_known") - F.col("hits_a") - F.col("hits_b") + F.col("both_right")
+    return counted.select(
+        "*", only_a.alias("only_a_right"), only_b.alias("only_b_right"), neither.alias("neither_right")
+    ).drop("_known")
+
+
 def _mean(classes: Column, field: str, size: int) -> Column:
     return _sum(F.transform(classes, lambda c: c[field]), F.lit(0.0)) / F.lit(float(size))
 
@@ -256,25 +345,47 @@ def model_comparison(
     """The results record of two models on one test set, from ``compare_models``.
 
     Each accuracy is over the rows its model answered; both counts are given, because
-    they can differ.
+    they can differ. Macro F1 is that of ``class_report``. All of it comes from one scan.
     """
+    gain = F.col("_b") - F.col("_a")
+    pairs = F.create_map(*[F.lit(x) for pair in label_map.items() for x in pair])
+    return (
+        paired_row(compared, tuple(label_map))
+        .withColumn("_a", ratio(F.col("hits_a"), F.col("made_a")))
+        .withColumn("_b", ratio(F.col("hits_b"), F.col("made_b")))
+        .select(
+            F.round("_a", 4).alias("baseline_accuracy"),
+            F.round("_b", 4).alias("finetuned_accuracy"),
+            F.round(gain, 4).alias("improvement"),
+            F.when(gain >= 0, "improvement").otherwise("regression").alias("direction"),
+            F.round("macro_a", 4).alias("baseline_macro_f1"),
+            F.round("macro_b", 4).alias("finetuned_macro_f1"),
+            F.round(F.col("macro_b") - F.col("macro_a"), 4).alias("macro_f1_improvement"),
+            "both_right",
+            F.col("only_a_right").alias("only_baseline_right"),
+            F.col("only_b_right").alias("only_finetuned_right"),
+            "neither_right",
+            F.col("rows").alias("test_set_size"),
+            F.col("made_a").alias("baseline_evaluated"),
+            F.col("made_b").alias("finetuned_evaluated"),
+            pairs.alias("label_map"),
+            F.lit(model).alias("model"),
+        )
+    )
 
-    def part(column: str) -> tuple[Column, Column]:
-        return F.count_if(F.col(column) == F.col("label")), F.count(column)
 
-    hits_a, made_a = part("predicted_a")
-    hits_b, made_b = part("predicted_b")
-    gain = ratio(hits_b, made_b) - ratio(hits_a, made_a)
-    pairs = F.create_map(*[F.lit(x) for pair in label_map.items() for x in pair])
-    return compared.agg(
-        F.round(ratio(hits_a, made_a), 4).alias("baseline_accuracy"),
-        F.round(ratio(hits_b, made_b), 4).alias("finetuned_accuracy"),
-        F.round(gain, 4).alias("improvement"),
-        F.when(gain >= 0, "improvement").otherwise("regression").alias("direction"),
-        F.count(F.lit(1)).alias("test_set_size"),
-        made_a.alias("baseline_evaluated"),
-        made_b.alias("finetuned_evaluated"),
-    ).select("*", pairs.alias("label_map"), F.lit(model).alias("model"))
+def paired_report(compared: DataFrame, labels: Sequence[str] = fixed.LABELS) -> DataFrame:
+    """Scores per class of two models side by side, and which is ahead, from one scan."""
+    a, b = F.col("_x.classes_a"), F.col("_x.classes_b")
+    fields = ("precision", "recall", "f1")
+    row = paired_row(compared, labels).select(F.explode(F.arrays_zip("classes_a", "classes_b")).alias("_x"))
+    return row.select(
+        a["label"].alias("label"),
+        *[F.round(side[f], 4).alias(f"{f}_{name}") for name, side in (("a", a), ("b", b)) for f in fields],
+        F.round(b["f1"] - a["f1"], 4).alias("f1_gain"),
+        a["support"].alias("support_a"),
+        b["support"].alias("support_b"),
+    )
 
 
 # --- errors -------------------------------------------------------------------
@@ -344,6 +455,85 @@ def error_patterns(
     )
 
 
+def find_error_patterns(
+    df: DataFrame,
+    traits: Mapping[str, Column],
+    minimum: int = fixed.MIN_PATTERN_ERRORS,
+    most: int = 3,
+) -> DataFrame:
+    """Which traits wrong rows have in common: every set of up to three with ``minimum`` errors.
+
+    (pattern, traits, errors, right_rows, error_rate, lift): the sets are found by frequent
+    pattern growth over the traits of wrong rows; ``lift`` is the set's error rate over that of
+    all rows that have a prediction. For the right rows, rows are first counted by their whole
+    set of traits, as a bit set, and only these few are taken apart. At most 63 traits.
+    """
+    if not 1 <= most <= 3 or len(traits) > 63:
+        raise ValueError("sets of one to three out of 63 traits")
+    names = list(traits)
+    zero = F.lit(0).cast("bigint")
+    mask = zero
+    for i, condition in enumerate(traits.values()):
+        mask = mask.bitwiseOR(F.when(condition, F.lit(1 << i).cast("bigint")).otherwise(zero))
+    wrong = F.col("predicted") != F.col("label")
+    made = df.where(F.col("predicted").isNotNull() & F.col("label").isNotNull())
+    masks = cut_lineage(
+        made.select(mask.alias("mask"), wrong.alias("wrong")).groupBy("mask", "wrong").agg(F.count(F.lit(1)).alias("rows"))
+    )
+    total = masks.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("wrong"), F.col("rows"))), F.lit(0)).alias("errors"),
+    ).first()
+    bits = F.array(*[F.lit(1 << i).cast("bigint") for i in range(len(names))])
+    own = F.filter(bits, lambda b: F.col("mask").bitwiseAND(b) != 0)
+    sets = _frequent_sets(masks.where("wrong").select("rows", own.alias("items")), minimum, total["errors"], most)
+    named = F.array(*[F.lit(name) for name in names])
+    right = masks.where("NOT wrong").select("rows", F.explode(_subsets(own, most)).alias("set"))
+    right = right.groupBy("set").agg(F.sum("rows").alias("right_rows"))
+    held = F.zip_with(bits, named, lambda b, name: F.when(F.col("set").bitwiseAND(b) != 0, name))
+    rows = F.col("errors") + F.col("right_rows")
+    rate = F.col("errors") / rows
+    return (
+        sets.join(right, "set", "left")
+        .withColumn("right_rows", F.coalesce("right_rows", F.lit(0).cast("bigint")))
+        .select(
+            F.array_join(F.array_compact(held), " & ").alias("pattern"),
+            F.bit_count("set").alias("traits"),
+            "errors",
+            "right_rows",
+            F.round(rate, 4).alias("error_rate"),
+            F.round(rate / F.lit(total["errors"] / max(total["rows"], 1)), 4).alias("lift"),
+        )
+    )
+
+
+def _frequent_sets(masks: DataFrame, minimum: int, errors: int, most: int) -> DataFrame:
+    """(set, errors) of sets of items that ``minimum`` of the rows hold, by frequent pattern growth.
+
+    Equal rows count by their number: a row with its whole set stands for each of them.
+    """
+    each = masks.select("items", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_copy"))
+    # A hair below the share, so that a share of exactly ``minimum`` rows is not lost to rounding.
+    share = min(1.0, (minimum - 0.5) / max(errors, 1))
+    grown = FPGrowth(itemsCol="items", minSupport=share).fit(each.select("items")).freqItemsets
+    total = F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return grown.where(F.size("items") <= most).select(total.alias("set"), F.col("freq").alias("errors"))
+
+
+def _subsets(bits: Column, most: int) -> Column:
+    """Sums of up to ``most`` different elements of a rising array of powers of two."""
+    above = lambda low: F.filter(bits, lambda b: b > low)
+    out = [bits]
+    if most > 1:
+        out.append(F.flatten(F.transform(bits, lambda a: F.transform(above(a), lambda b: a + b))))
+    if most > 2:
+        triples = F.transform(
+            bits, lambda a: F.flatten(F.transform(above(a), lambda b: F.transform(above(b), lambda c: a + b + c)))
+        )
+        out.append(F.flatten(triples))
+    return F.concat(*out)
+
+
 # --- gates and baselines ------------------------------------------------------
 
 
@@ -356,8 +546,9 @@ def success_gates(
 ) -> DataFrame:
     """(gate, tier, threshold, achieved, met) for the stated success thresholds.
 
-    Accuracy, F1 and gain have a minimum and a target. Comparisons are strict and of unrounded values. The gain is over the accuracy of the
-    column ``baseline``, on the rows it answered. ``suspicious`` is met when raised.
+    Accuracy, F1 and gain have a minimum and a target. Comparisons are strict and of unrounded
+    values. The gains are over the column ``baseline``: in accuracy, on the rows it answered,
+    and in macro F1, where the model need only be better. ``suspicious`` is met when raised.
     """
     size, classes = len(labels), F.col("classes")
     macro = _mean(classes, "f1", size)
@@ -380,17 +571,20 @@ def success_gates(
         f1 = F.get(classes, F.lit(i))["f1"]
         gates += tiers(f"f1 {name}", fixed.GATE_CLASS_F1, fixed.TARGET_CLASS_F1, f1)
     gates += tiers("macro f1", fixed.GATE_MACRO_F1, fixed.TARGET_MACRO_F1, macro)
-    totals = {}
-    if baseline is not None:
-        made = F.col(baseline).isNotNull()
-        totals["base_rows"] = made.cast("bigint")
-        totals["base_hits"] = (made & (F.col(baseline) == F.col(truth))).cast("bigint")
-        gain = F.col("accuracy") - ratio(F.col("base_hits"), F.col("base_rows"))
+    if baseline is None:
+        row = _scores_row(df, labels, truth=truth, predicted=predicted)
+    else:
+        row = (
+            paired_row(df, labels, truth, baseline, predicted)
+            .withColumn("classes", F.col("classes_b"))
+            .withColumn("accuracy", ratio(F.col("hits_b"), F.col("known_b")))
+        )
+        gain = F.col("accuracy") - ratio(F.col("hits_a"), F.col("made_a"))
         gates += tiers("gain", fixed.GATE_GAIN, fixed.TARGET_GAIN, gain)
+        gates.append(gate("macro f1 gain", fixed.GATE_MACRO_GAIN, macro - F.col("macro_a")))
     deployable = (macro >= fixed.DEPLOY_MACRO_F1) & (lowest >= fixed.DEPLOY_CLASS_F1)
     gates.append(gate("deployable", fixed.DEPLOY_MACRO_F1, macro, deployable, "verdict"))
     gates.append(gate("suspicious", fixed.SUSPICIOUS_ACCURACY, F.col("accuracy"), tier="verdict"))
-    row = _scores_row(df, labels, totals, truth=truth, predicted=predicted)
     return row.select(F.inline(F.array(*gates)))
 
 

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import IDF, HashingTF, SQLTransformer, VarianceThresholdSelector
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Matrices
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlabel import fixed
@@ -18,13 +23,18 @@ from postlabel.functions.labels import encode_label
 from postlabel.functions.scores import argmax, score_struct
 from postlabel.operators.metrics import ratio
 from postlabel.operators.rules import label_posts
-from postlabel.session import cut_lineage
+from postlabel.session import cut_lineage, exists
 
 TOKEN = r"[\p{L}\p{N}_]+"
 # A token is frequent from this share of all tokens on, so there are at most 1 / share of them.
 FREQUENT_SHARE = 0.001
 # Buckets that words are hashed into for the linear model.
 FEATURES = 1 << 18
+# Regularisations tried, and iterations after which a fit that has not converged is given up.
+GRID = ({"regParam": 0.01}, {"regParam": 0.1})
+MAX_ITER = 200
+# Rows that make a partition worth the gradient it sends.
+ROWS_PER_PART = 4000
 
 
 def tokens_of(text: Column, limit: int | None = fixed.MAX_TOKENS) -> Column:
@@ -87,18 +97,37 @@ def fit_naive_bayes(
     )
 
 
-def join_by_token(words: DataFrame, model: NaiveBayesModel) -> DataFrame:
-    """Left join of words with the model; a frequent word must not become one task.
+def _is_frequent(model: NaiveBayesModel) -> Column:
+    """Tokens that make up ``FREQUENT_SHARE`` of all in training: 1,000 at most."""
+    seen = F.aggregate("counts", F.lit(0).cast("bigint"), lambda total, n: total + n)
+    return seen >= FREQUENT_SHARE * sum(model.token_totals)
+
+
+def _log_counts(counts: str, size: int) -> list[Column]:
+    return [F.log(F.coalesce(F.get(counts, F.lit(i)), F.lit(0)) + 1) for i in range(size)]
+
+
+def words_to_look_up(df: DataFrame, model: NaiveBayesModel, id_col: str = "ex_id") -> DataFrame:
+    """(id, _size, _key, _tf, _f0, ...): each document's words, from one scan.
 
-    Tokens that make up ``FREQUENT_SHARE`` of all in training, 1,000 at most, are broadcast
-    and their words stay where they are; the rest is an ordinary join on the token.
+    Frequent tokens are looked up in a broadcast table where they are; those of a document
+    become one row of sums, under a key of the document's own. Every other token is a row
+    with its count, under the token. So a word that is everywhere is not sent anywhere.
     """
-    seen = F.aggregate("counts", F.lit(0).cast("bigint"), lambda total, n: total + n)
-    often = seen >= FREQUENT_SHARE * sum(model.token_totals)
-    frequent = model.tokens.where(often)
-    first = words.join(F.broadcast(frequent), "token", "left")
-    rest = first.where("counts IS NULL").drop("counts").join(model.tokens.where(~often), "token", "left")
-    return first.where("counts IS NOT NULL").unionByName(rest)
+    size = len(model.labels)
+    frequent = model.tokens.where(_is_frequent(model)).withColumnRenamed("counts", "_often")
+    tokens = df.select(id_col, tokens_of(F.col("text"), model.limit).alias("_tokens"))
+    words = tokens.select(id_col, F.size("_tokens").alias("_size"), F.explode_outer("_tokens").alias("token"))
+    rare = F.when(F.col("_often").isNull(), F.col("token"))
+    found = words.join(F.broadcast(frequent), "token", "left").select(
+        id_col, "_size", rare.alias("_rare"), *[x.alias(f"_l{i}") for i, x in enumerate(_log_counts("_often", size))]
+    )
+    # No token holds the character zero.
+    own = F.concat(F.lit("\0"), F.col(id_col).cast("string"))
+    summed = found.groupBy(id_col, "_size", "_rare").agg(
+        F.count(F.lit(1)).alias("_tf"), *[F.sum(f"_l{i}").alias(f"_f{i}") for i in range(size)]
+    )
+    return summed.withColumn("_key", F.coalesce("_rare", own)).drop("_rare")
 
 
 def score_naive_bayes(df: DataFrame, model: NaiveBayesModel, id_col: str = "ex_id") -> DataFrame:
@@ -107,21 +136,12 @@ def score_naive_bayes(df: DataFrame, model: NaiveBayesModel, id_col: str = "ex_i
     A word the model has not seen counts 0 times in every label. Equal scores go to the
     label that comes first.
     """
-    tokens = tokens_of(F.col("text"), model.limit)
-    words = (
-        df.select(id_col, tokens.alias("_tokens"))
-        .select(id_col, F.size("_tokens").alias("_size"), F.explode_outer("_tokens").alias("token"))
-        .groupBy(id_col, "_size", "token")
-        .agg(F.count(F.lit(1)).alias("_tf"))
-    )
     size, all_docs = len(model.labels), sum(model.doc_totals)
-    seen = join_by_token(words, model)
-    sums = seen.groupBy(id_col, "_size").agg(
-        *[
-            F.sum(F.col("_tf") * F.log(F.coalesce(F.get("counts", F.lit(i)), F.lit(0)) + 1)).alias(f"_s{i}")
-            for i in range(size)
-        ]
-    )
+    rare = model.tokens.where(~_is_frequent(model)).withColumnRenamed("token", "_key")
+    seen = words_to_look_up(df, model, id_col).join(rare, "_key", "left")
+    # A word is either frequent, with its sum at hand, or looked up here; the other term is 0.
+    parts = [F.col(f"_f{i}") + F.col("_tf") * x for i, x in enumerate(_log_counts("counts", size))]
+    sums = seen.groupBy(id_col, "_size").agg(*[F.sum(x).alias(f"_s{i}") for i, x in enumerate(parts)])
     scores = F.array(
         *[
             F.round(
@@ -163,49 +183,94 @@ def text_pipeline(features: int = FEATURES, limit: int | None = None) -> Pipelin
     )
 
 
+def fit_grid(
+    train: DataFrame,
+    grid: Iterable[Mapping[str, float]] = GRID,
+    features: int = FEATURES,
+    max_iter: int = MAX_ITER,
+    labels: Sequence[str] = fixed.LABELS,
+    limit: int | None = None,
+) -> tuple[PipelineModel, list[tuple[Mapping[str, float], LogisticRegressionModel]]]:
+    """The text stages and a multinomial logistic regression for each grid point.
+
+    The text stages are fitted once. The fits see only buckets that vary in training, under a
+    compact index: all others would get weight 0, which is what they have in the models
+    returned, that read all buckets. What the fits read is kept in few partitions, as each
+    sends a gradient of the size of the model in every iteration, and the grid points are
+    fitted side by side. A fit ends when it has converged; ``max_iter`` is only the last resort.
+    """
+    ready = _encoded(train, labels)
+    text_model = text_pipeline(features, limit).fit(ready)
+    parts = max(1, min(ready.sparkSession.sparkContext.defaultParallelism, -(-ready.count() // ROWS_PER_PART)))
+    vectors = text_model.transform(ready).select("label_id", "features").persist()
+    varying = VarianceThresholdSelector(featuresCol="features", outputCol="_few").fit(vectors)
+    compact = varying.transform(vectors).select("label_id", "_few").coalesce(parts).persist()
+    try:
+        compact.count()
+        vectors.unpersist()
+
+        def fit(params: Mapping[str, float]):
+            fitted = LogisticRegression(
+                featuresCol="_few", labelCol="label_id", family="multinomial", maxIter=max_iter, **params
+            ).fit(compact)
+            return params, _over_all(fitted, varying.selectedFeatures, features)
+
+        points = list(grid)
+        with ThreadPoolExecutor(len(points)) as pool:
+            return text_model, list(pool.map(inheritable_thread_target(train.sparkSession)(fit), points))
+    finally:
+        vectors.unpersist()
+        compact.unpersist()
+
+
+def _over_all(fitted: LogisticRegressionModel, buckets: Sequence[int], features: int) -> LogisticRegressionModel:
+    """A model of some buckets as one of all of them; the others have weight 0."""
+    narrow = fitted.coefficientMatrix.toArray()
+    wide = np.zeros((narrow.shape[0], features))
+    wide[:, list(buckets)] = narrow
+    spark = SparkSession.active()
+    java = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        fitted.uid,
+        _py2java(spark.sparkContext, Matrices.dense(*wide.shape, wide.ravel(order="F"))),
+        _py2java(spark.sparkContext, fitted.interceptVector),
+        fitted.numClasses,
+        True,
+    )
+    model = LogisticRegressionModel(java)
+    fitted._copyValues(model)
+    return model.setFeaturesCol("features")
+
+
+def _encoded(df: DataFrame, labels: Sequence[str]) -> DataFrame:
+    ids = {name: i for i, name in enumerate(labels)}
+    label_id = encode_label(F.col("label"), ids).cast("double")
+    return df.withColumn("label_id", label_id).where("label_id IS NOT NULL")
+
+
 def fit_classifier(
     train: DataFrame,
     val: DataFrame,
-    grid: Iterable[Mapping[str, float]] = ({"regParam": 0.01}, {"regParam": 0.1}),
+    grid: Iterable[Mapping[str, float]] = GRID,
     features: int = FEATURES,
-    max_iter: int = 30,
+    max_iter: int = MAX_ITER,
     labels: Sequence[str] = fixed.LABELS,
     limit: int | None = None,
 ) -> tuple[PipelineModel, list[tuple[Mapping[str, float], float]]]:
     """Multinomial logistic regression; the grid point best on validation is kept.
 
-    The text stages are fitted once and the train features kept over the grid. Returns the
-    whole pipeline model and each grid point's validation accuracy.
+    Returns the whole pipeline model and each grid point's validation accuracy.
     """
-    ids = {name: i for i, name in enumerate(labels)}
-
-    def encoded(df: DataFrame) -> DataFrame:
-        return df.withColumn("label_id", encode_label(F.col("label"), ids).cast("double")).where(
-            "label_id IS NOT NULL"
-        )
-
-    text_model = text_pipeline(features, limit).fit(encoded(train))
-    ready = text_model.transform(encoded(train)).select("label_id", "features").persist()
-    val_ready = text_model.transform(encoded(val)).select("label_id", "features").persist()
+    text_model, candidates = fit_grid(train, grid, features, max_iter, labels, limit)
+    val_ready = text_model.transform(_encoded(val, labels)).select("label_id", "features").persist()
     try:
-        candidates = [
-            (
-                params,
-                LogisticRegression(
-                    featuresCol="features",
-                    labelCol="label_id",
-                    family="multinomial",
-                    maxIter=max_iter,
-                    **params,
-                ).fit(ready),
-            )
-            for params in grid
-        ]
         best, scores = select_best(candidates, val_ready)
     finally:
-        ready.unpersist()
         val_ready.unpersist()
-    return PipelineModel(stages=[*text_model.stages, best]), scores
+    return whole_model(text_model, best), scores
+
+
+def whole_model(text_model: PipelineModel, classifier: LogisticRegressionModel) -> PipelineModel:
+    return PipelineModel(stages=[*text_model.stages, classifier])
 
 
 def select_best(candidates, val: DataFrame):
@@ -242,6 +307,38 @@ def load_model(path: str) -> PipelineModel:
         raise FileNotFoundError(f"no model at {path}; fit one and save it there") from error
 
 
+VERSIONS = "version BIGINT, path STRING"
+
+
+def publish_model(model: PipelineModel, folder: str) -> int:
+    """Saves a model under the next version of a folder and returns the version.
+
+    The list of versions gets its row after the model is saved whole, so a reader never finds
+    a model that is still being written. One writer at a time.
+    """
+    spark = SparkSession.active()
+    version = max([r["version"] for r in _versions(spark, folder)], default=0) + 1
+    path = f"{folder}/model-{version}"
+    save_model(model, path)
+    spark.createDataFrame([(version, path)], VERSIONS).coalesce(1).write.mode("append").json(f"{folder}/versions")
+    return version
+
+
+def _versions(spark: SparkSession, folder: str) -> list:
+    """A row for each version; there is one each time a model is trained."""
+    listed = f"{folder}/versions"
+    return spark.read.schema(VERSIONS).json(listed).collect() if exists(spark, listed) else []
+
+
+def current_model(spark: SparkSession, folder: str, version: int | None = None) -> tuple[int, PipelineModel]:
+    """The newest model of a folder, or the one of a version, with its version."""
+    paths = {r["version"]: r["path"] for r in _versions(spark, folder)}
+    if not paths or (version is not None and version not in paths):
+        raise FileNotFoundError(f"no model version {version or ''} in {folder}; publish one there")
+    version = version or max(paths)
+    return version, load_model(paths[version])
+
+
 # --- other scorers ------------------------------------------------------------
 
 

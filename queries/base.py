@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlabel import fixed
@@ -124,6 +124,15 @@ PLANTED = [
     ("  \n" + _cut("x", 119) + " \t", "short_opinion"),
     ("An album night with the crowd singing", "opinion_keyword"),
     ("A[2]-1 shown on the board", "short_opinion"),
+    # What the audit of exclusions does not know.
+    ("Match events | via ESPN " + _cut("midfield ", 1600), "match_thread_body"),
+    ("Corner. Assisted by Novak. " + _cut("passing ", 1600), "match_thread_body"),
+    ("A promo code for the club shop", "commercial"),
+    ("Affiliate link to the club shop", "commercial"),
+    ("[Daily Wire] A brilliant signing, says the coach", "short_opinion"),
+    ("  Who starts in goal on Sunday?\n", "discussion_question"),
+    (_cut("long words ", 320) + " right?\t", "long_default"),
+    ("Kick-off at noon? No.", "short_opinion"),
 ]
 PLANTED_ROWS = [
     (
@@ -279,36 +288,66 @@ def rule_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return rule_baseline(gold(spark, sf).drop("label")).select("ex_id", "label")
 
 
+# An answer of every kind.
+PLANTED_ANSWERS = [
+    (-1, "analysis"),
+    (-2, " HOT_TAKE. "),
+    (-3, "I would say reaction"),
+    (-4, "reaction, not analysis"),
+    (-5, "hot take"),
+    (-6, ""),
+    (-7, None),
+]
+
+
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """An answer to every document, of seven kinds."""
-    kind = F.col("doc_id") % 7
-    raw = (
-        F.when(kind == 0, "analysis")
-        .when(kind == 1, " HOT_TAKE. ")
-        .when(kind == 2, "I would say reaction")
-        .when(kind == 3, "reaction, not analysis")
-        .when(kind == 4, "hot take")
-        .when(kind == 5, "")
-    )
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("ex_id"), raw.alias("raw"))
+    """All assistant turns as raw answers, and one of every kind under negative ids."""
+    said = table(spark, sf, "conversations").where("role = 'assistant'")
+    planted = spark.createDataFrame(PLANTED_ANSWERS, "ex_id BIGINT, raw STRING")
+    return said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ex_id"), F.col("text").alias("raw")).unionByName(planted)
+
+
+def parse_sql(raw: str) -> str:
+    return f"""CASE WHEN contains(lower(trim({raw})), 'analysis') THEN 'analysis'
+              WHEN contains(lower(trim({raw})), 'hot_take') THEN 'hot_take'
+              WHEN contains(lower(trim({raw})), 'reaction') THEN 'reaction' END"""
 
 
 RESPONSES_SQL = """responses AS (
-  SELECT doc_id AS ex_id,
-         CASE doc_id % 7 WHEN 0 THEN 'analysis' WHEN 1 THEN ' HOT_TAKE. '
-              WHEN 2 THEN 'I would say reaction' WHEN 3 THEN 'reaction, not analysis'
-              WHEN 4 THEN 'hot take' WHEN 5 THEN '' END AS raw
-  FROM documents)"""
-PARSED_SQL = """parsed AS (
-  SELECT ex_id, raw,
-         CASE WHEN contains(lower(trim(raw)), 'analysis') THEN 'analysis'
-              WHEN contains(lower(trim(raw)), 'hot_take') THEN 'hot_take'
-              WHEN contains(lower(trim(raw)), 'reaction') THEN 'reaction' END AS label
-  FROM responses)"""
+  SELECT conv_id * 1000 + turn AS ex_id, text AS raw FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT * FROM (VALUES (-1, 'analysis'), (-2, ' HOT_TAKE. '), (-3, 'I would say reaction'),
+    (-4, 'reaction, not analysis'), (-5, 'hot take'), (-6, ''), (-7, NULL)))"""
+PARSED_SQL = f"""parsed AS (
+  SELECT ex_id, raw, {parse_sql("raw")} AS label FROM responses)"""
+
+
+def answer(text: Column) -> Column:
+    """What a careless reader of a whole text would answer; some of it names no label."""
+    n = F.length(text)
+    return (
+        F.when(text.contains("|"), "reaction, not analysis")
+        .when(text.contains("!!"), " HOT_TAKE. ")
+        .when(text.rlike("[0-9]"), "I would say reaction")
+        .when(n > 2500, "Analysis.")
+        .when(n > 1200, "a reaction")
+        .when(n > 500, "hot_take")
+        .when(n > 200, "hot take")
+        .when(n > 60, "")
+    )
+
+
+ANSWERED_SQL = f"""answers AS (
+  SELECT ex_id, CASE WHEN contains(text, '|') THEN 'reaction, not analysis'
+    WHEN contains(text, '!!') THEN ' HOT_TAKE. ' WHEN regexp_matches(text, '[0-9]') THEN 'I would say reaction'
+    WHEN length(text) > 2500 THEN 'Analysis.' WHEN length(text) > 1200 THEN 'a reaction'
+    WHEN length(text) > 500 THEN 'hot_take' WHEN length(text) > 200 THEN 'hot take'
+    WHEN length(text) > 60 THEN '' END AS raw FROM gold),
+answered AS (SELECT ex_id, {parse_sql("raw")} AS label FROM answers)"""
 
 
 def answer_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    return responses(spark, sf).select("ex_id", parse_response(F.col("raw")).alias("label"))
+    """The labels that the answers to the gold texts name."""
+    return gold(spark, sf).select("ex_id", parse_response(answer(F.col("text"))).alias("label"))
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
@@ -433,11 +472,10 @@ labelled AS (
 
 # Gold documents with the cascade's label and the parsed answer.
 PREDICTED_SQL = f"""{GOLD_SQL},
-{RESPONSES_SQL},
-{PARSED_SQL},
+{ANSWERED_SQL},
 unlabelled AS (SELECT ex_id, ordinal, text, source FROM gold),
 {cascade_sql("unlabelled")},
 predicted AS (
   SELECT g.ex_id, g.ordinal, g.text, g.label, NULLIF(l.label, 'skip') AS predicted,
          p.label AS answered, l.note, l.n
-  FROM gold g JOIN labelled l USING (ex_id) LEFT JOIN parsed p USING (ex_id))"""
+  FROM gold g JOIN labelled l USING (ex_id) LEFT JOIN answered p USING (ex_id))"""

@@ -116,6 +116,67 @@ def apply_reviews(spark, sf):
     return reviewed.select("ex_id", "label", "note", "status")
 
 
+# Every labelled document is reviewed by one, two or three people, who do not always agree.
+MANY_REVIEWS_SQL = """reviews AS (
+  SELECT doc_id AS ex_id, 'r' || k AS reviewer, TIMESTAMP '2024-01-01 00:00:00' + to_seconds((doc_id * 7 + k * 3) % 5) AS reviewed_at,
+    CASE WHEN k = 1 AND doc_id % 4 = 0 THEN 'change' WHEN k = 2 AND doc_id % 6 = 0 THEN 'drop'
+      WHEN toxic = 1 THEN 'drop' WHEN quality = 1 THEN 'confirm' ELSE 'change' END AS decision,
+    CASE WHEN k = 1 AND doc_id % 8 = 0 THEN 'reaction' WHEN quality = 0 THEN 'hot_take' END AS label
+  FROM labels, (VALUES (0), (1), (2)) AS v(k) WHERE k <= doc_id % 3)"""
+
+
+def _many_reviews(spark, sf):
+    doc, k = F.col("doc_id"), F.col("k")
+    people = F.explode(F.sequence(F.lit(0), (doc % 3).cast("int"))).alias("k")
+    start = F.unix_timestamp(F.lit("2024-01-01 00:00:00"))
+    return (
+        table(spark, sf, "labels")
+        .select("*", people)
+        .select(
+            doc.alias("ex_id"),
+            F.concat(F.lit("r"), k.cast("string")).alias("reviewer"),
+            F.timestamp_seconds(start + (doc * 7 + k * 3) % 5).alias("reviewed_at"),
+            F.when((k == 1) & (doc % 4 == 0), "change")
+            .when((k == 2) & (doc % 6 == 0), "drop")
+            .when(F.col("toxic") == 1, "drop")
+            .when(F.col("quality") == 1, "confirm")
+            .otherwise("change")
+            .alias("decision"),
+            F.when((k == 1) & (doc % 8 == 0), "reaction").when(F.col("quality") == 0, "hot_take").alias("label"),
+        )
+    )
+
+
+@query(
+    LABELLED
+    + f""",
+{MANY_REVIEWS_SQL},
+last AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ex_id ORDER BY reviewed_at DESC, reviewer DESC) AS place
+    FROM reviews) WHERE place = 1)
+SELECT l.ex_id, CASE WHEN r.decision = 'change' THEN coalesce(r.label, l.label) ELSE l.label END AS label,
+  l.note, CASE WHEN r.decision IS NULL THEN 'pre-labeled' ELSE 'reviewed' END AS status
+FROM labelled l LEFT JOIN last r USING (ex_id)
+WHERE l.label <> 'skip' AND (r.decision IS NULL OR r.decision <> 'drop')"""
+)
+def apply_many_reviews(spark, sf):
+    reviewed = corpus.apply_reviews(_labelled(spark, sf), _many_reviews(spark, sf))
+    return reviewed.select("ex_id", "label", "note", "status")
+
+
+@query(
+    f"""WITH {MANY_REVIEWS_SQL}
+SELECT ex_id, CAST(count(*) AS BIGINT) AS reviews, array_to_string(list_sort(list(DISTINCT decision)), ',') AS decisions,
+  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE label IS NOT NULL)), ','), '') AS labels
+FROM reviews GROUP BY ex_id HAVING count(DISTINCT decision) > 1 OR count(DISTINCT label) > 1"""
+)
+def review_conflicts(spark, sf):
+    conflicts = corpus.review_conflicts(_many_reviews(spark, sf))
+    return conflicts.select(
+        "ex_id", "reviews", F.array_join("decisions", ",").alias("decisions"), F.array_join("labels", ",").alias("labels")
+    )
+
+
 SPLIT_SQL = f"""{GOLD_SQL},
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || ex_id), ex_id) AS rn,

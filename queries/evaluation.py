@@ -3,22 +3,25 @@
 from pyspark.sql import functions as F
 
 from postlabel import fixed
-from postlabel.functions.scores import argmax
+from postlabel.functions.labels import parse_response
+from postlabel.functions.scores import argmax, softmax
 from postlabel.operators import metrics, report
+from postlabel.operators.model import fit_naive_bayes, score_naive_bayes
 from postlabel.operators.model import rule_baseline as rules_as_model
 
 from .base import (
     LOGITS_SQL,
     PREDICTED_SQL,
+    answer,
     answer_predictions,
     documents,
     gold,
     query,
     rule_predictions,
     scored,
-    table,
 )
 from .corpora import SPLIT_SQL, split_gold
+from .learning import NAIVE_BAYES_SQL
 
 PREDICTED = f"WITH {PREDICTED_SQL}"
 _LABELS = "(VALUES ('analysis'), ('hot_take'), ('reaction'))"
@@ -46,10 +49,11 @@ def _pairs(spark, sf):
 
 
 def _both(spark, sf):
-    """Both models' predictions on the gold rows: the rules' in place, the answers joined."""
-    answers = answer_predictions(spark, sf).withColumnRenamed("label", "predicted_a")
-    rules = _pairs(spark, sf).select("ex_id", "label", F.col("predicted").alias("predicted_b"))
-    return rules.join(answers, "ex_id", "left").select("ex_id", "label", "predicted_a", "predicted_b")
+    """Both models' predictions, made on the gold rows in place."""
+    answered = parse_response(answer(F.col("text")))
+    return _pairs(spark, sf).select(
+        "ex_id", "label", answered.alias("predicted_a"), F.col("predicted").alias("predicted_b")
+    )
 
 
 @query(PREDICTED + "\nSELECT ex_id, label, predicted FROM predicted")
@@ -143,16 +147,38 @@ def parse_coverage(spark, sf):
     return metrics.parse_coverage(pairs)
 
 
-_COMPARED_SQL = """
+def f1_sql(name: str, column: str) -> str:
+    """CTE ``name``: scores per class of a column of ``predicted``."""
+    return f"""{name} AS (
+  SELECT label, support, CASE WHEN made = 0 THEN 0.0::DOUBLE ELSE hit / made END AS precision,
+    CASE WHEN support = 0 THEN 0.0::DOUBLE ELSE hit / support END AS recall,
+    CASE WHEN made + support = 0 THEN 0.0::DOUBLE ELSE 2 * hit / (made + support) END AS f1
+  FROM (SELECT d.label, count(*) FILTER (WHERE p.label = d.label AND p.{column} = d.label) AS hit,
+          count(*) FILTER (WHERE p.label = d.label AND p.{column} IS NOT NULL) AS support,
+          count(*) FILTER (WHERE p.{column} = d.label) AS made
+        FROM {_LABELS} AS d(label), predicted p GROUP BY d.label))"""
+
+
+_BOTH_F1_SQL = f"""{f1_sql("f1_a", "answered")},
+{f1_sql("f1_b", "predicted")}"""
+_COMPARED_SQL = f""",
+{_BOTH_F1_SQL}
 SELECT round(a, 4) AS baseline_accuracy, round(b, 4) AS finetuned_accuracy,
   round(b - a, 4) AS improvement,
   CASE WHEN b - a >= 0 THEN 'improvement' ELSE 'regression' END AS direction,
+  round(ma, 4) AS baseline_macro_f1, round(mb, 4) AS finetuned_macro_f1, round(mb - ma, 4) AS macro_f1_improvement,
+  both_right, only_baseline_right, only_finetuned_right, neither_right,
   n AS test_set_size, na AS baseline_evaluated, nb AS finetuned_evaluated,
-  '{"analysis":0,"hot_take":1,"reaction":2}' AS label_map, 'rules' AS model
+  '{{"analysis":0,"hot_take":1,"reaction":2}}' AS label_map, 'rules' AS model
 FROM (SELECT count(*) FILTER (WHERE answered = label) / count(answered) AS a,
   count(*) FILTER (WHERE predicted = label) / count(predicted) AS b,
+  CAST(count(*) FILTER (WHERE answered = label AND predicted = label) AS BIGINT) AS both_right,
+  CAST(count(*) FILTER (WHERE answered = label AND predicted IS DISTINCT FROM label) AS BIGINT) AS only_baseline_right,
+  CAST(count(*) FILTER (WHERE answered IS DISTINCT FROM label AND predicted = label) AS BIGINT) AS only_finetuned_right,
+  CAST(count(*) FILTER (WHERE answered IS DISTINCT FROM label AND predicted IS DISTINCT FROM label) AS BIGINT) AS neither_right,
   CAST(count(*) AS BIGINT) AS n, CAST(count(answered) AS BIGINT) AS na,
-  CAST(count(predicted) AS BIGINT) AS nb FROM predicted)"""
+  CAST(count(predicted) AS BIGINT) AS nb FROM predicted),
+  (SELECT sum(f1) / 3 AS ma FROM f1_a), (SELECT sum(f1) / 3 AS mb FROM f1_b)"""
 
 
 @query(PREDICTED + _COMPARED_SQL)
@@ -161,6 +187,29 @@ def model_comparison(spark, sf):
     return record.withColumn("label_map", F.to_json("label_map"))
 
 
+@query(
+    PREDICTED
+    + f""",
+{_BOTH_F1_SQL}
+SELECT label, round(a.precision, 4) AS precision_a, round(a.recall, 4) AS recall_a, round(a.f1, 4) AS f1_a,
+  round(b.precision, 4) AS precision_b, round(b.recall, 4) AS recall_b, round(b.f1, 4) AS f1_b,
+  round(b.f1 - a.f1, 4) AS f1_gain, CAST(a.support AS BIGINT) AS support_a, CAST(b.support AS BIGINT) AS support_b
+FROM f1_a a JOIN f1_b b USING (label)"""
+)
+def paired_report(spark, sf):
+    return metrics.paired_report(_both(spark, sf))
+
+
+@query(
+    PREDICTED
+    + """
+SELECT ex_id, label, answered AS predicted_a, predicted AS predicted_b, CASE WHEN answered = label THEN 'a' ELSE 'b' END AS right
+FROM predicted WHERE (answered IS NOT DISTINCT FROM label) <> (predicted IS NOT DISTINCT FROM label)"""
+)
+def disagreements(spark, sf):
+    return metrics.disagreements(_both(spark, sf))
+
+
 @query(
     PREDICTED
     + """
@@ -216,13 +265,60 @@ def error_patterns(spark, sf):
     return metrics.error_patterns(metrics.wrong_predictions(_pairs(spark, sf)), _slices())
 
 
+# Traits of a row, by name and in this order: a Column and its SQL.
+def _traits():
+    text = F.col("text")
+    return {
+        **_slices(),
+        "has pipe": text.contains("|"),
+        "has two exclamation marks": text.contains("!!"),
+        "over 5 lines": F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) > 5,
+        **{f"truth {name}": F.col("label") == name for name in fixed.LABELS},
+        **{f"answer {name}": F.col("predicted") == name for name in fixed.LABELS},
+    }
+
+
+_TRAITS_SQL = r"""[CASE WHEN length(text) < 50 THEN 1 END, CASE WHEN length(text) > 1000 THEN 2 END,
+  CASE WHEN regexp_matches(text, '\p{Nd}') THEN 3 END, CASE WHEN contains(text, '?') THEN 4 END,
+  CASE WHEN contains(text, '|') THEN 5 END, CASE WHEN contains(text, '!!') THEN 6 END,
+  CASE WHEN length(text) - length(replace(text, chr(10), '')) > 5 THEN 7 END,
+  CASE label WHEN 'analysis' THEN 8 WHEN 'hot_take' THEN 9 ELSE 10 END,
+  CASE predicted WHEN 'analysis' THEN 11 WHEN 'hot_take' THEN 12 ELSE 13 END]"""
+_TRAIT_NAMES_SQL = """['under 50 characters', 'over 1000 characters', 'has digits', 'has question mark', 'has pipe',
+  'has two exclamation marks', 'over 5 lines', 'truth analysis', 'truth hot_take', 'truth reaction',
+  'answer analysis', 'answer hot_take', 'answer reaction']"""
+
+
+@query(
+    PREDICTED
+    + f""",
+rows AS (SELECT predicted <> label AS wrong, list_filter({_TRAITS_SQL}, lambda x: x IS NOT NULL) AS t FROM predicted WHERE predicted IS NOT NULL),
+ones AS (SELECT wrong, t, unnest(t) AS i FROM rows),
+twos AS (SELECT wrong, t, i, unnest(list_filter(t, lambda x: x > i)) AS j FROM ones),
+threes AS (SELECT wrong, i, j, unnest(list_filter(t, lambda x: x > j)) AS k FROM twos),
+sets AS (
+  SELECT wrong, [i] AS s FROM ones UNION ALL SELECT wrong, [i, j] FROM twos UNION ALL SELECT wrong, [i, j, k] FROM threes),
+counted AS (
+  SELECT s, count(*) FILTER (WHERE wrong) AS errors, count(*) AS rows FROM sets GROUP BY s
+  HAVING count(*) FILTER (WHERE wrong) >= 3)
+SELECT array_to_string([{_TRAIT_NAMES_SQL}[x] FOR x IN s], ' & ') AS pattern, CAST(len(s) AS INTEGER) AS traits,
+  CAST(errors AS BIGINT) AS errors, CAST(rows - errors AS BIGINT) AS right_rows, round(errors / rows, 4) AS error_rate,
+  round((errors / rows) / (SELECT count(*) FILTER (WHERE wrong) / count(*) FROM rows), 4) AS lift
+FROM counted"""
+)
+def find_error_patterns(spark, sf):
+    return metrics.find_error_patterns(_pairs(spark, sf), _traits())
+
+
 @query(
     PREDICTED
     + f""",
 pairs AS (SELECT label, predicted FROM predicted),
 {SCORES_SQL},
+{f1_sql("f1_a", "answered")},
 base AS (SELECT count(*) FILTER (WHERE answered = label) / count(answered) AS accuracy FROM predicted),
 flat AS (SELECT (SELECT accuracy FROM overall) AS acc, sum(f1) / 3 AS macro, min(f1) AS lowest,
+  sum(f1) / 3 - (SELECT sum(f1) / 3 FROM f1_a) AS macro_gain,
   (SELECT accuracy FROM overall) - (SELECT accuracy FROM base) AS gain FROM classes),
 tiers(tier, a, c, m, g) AS (VALUES ('minimum', 0.7::DOUBLE, 0.6::DOUBLE, 0.65::DOUBLE, 0.05::DOUBLE),
   ('target', 0.8::DOUBLE, 0.7::DOUBLE, 0.75::DOUBLE, 0.1::DOUBLE))
@@ -230,6 +326,7 @@ SELECT 'accuracy' AS gate, t.tier, t.a AS threshold, round(acc, 4) AS achieved,
 UNION ALL SELECT 'f1 ' || label, t.tier, t.c, round(f1, 4), f1 > t.c FROM classes, tiers t
 UNION ALL SELECT 'macro f1', t.tier, t.m, round(macro, 4), macro > t.m FROM flat, tiers t
 UNION ALL SELECT 'gain', t.tier, t.g, round(gain, 4), gain > t.g FROM flat, tiers t
+UNION ALL SELECT 'macro f1 gain', 'minimum', 0.0::DOUBLE, round(macro_gain, 4), macro_gain > 0 FROM flat
 UNION ALL SELECT 'deployable', 'verdict', 0.7::DOUBLE, round(macro, 4), macro >= 0.7::DOUBLE AND lowest >= 0.6::DOUBLE FROM flat
 UNION ALL SELECT 'suspicious', 'verdict', 0.95::DOUBLE, round(acc, 4), acc > 0.95::DOUBLE FROM flat"""
 )
@@ -289,27 +386,39 @@ def calibration(spark, sf):
     return metrics.calibration(_confident(spark, sf))
 
 
+# Naive Bayes on the test rows, with the softmax of its scores as confidence.
+_JUDGED_SQL = f"""{NAIVE_BAYES_SQL},
+best AS (SELECT ex_id, arg_min(label, (-score, label)) AS predicted, max(score) AS m FROM scores GROUP BY ex_id),
+judged AS (
+  SELECT t.ex_id, t.text, t.label, b.predicted,
+    1 / (SELECT sum(exp(s.score - b.m)) FROM scores s WHERE s.ex_id = t.ex_id) AS confidence
+  FROM split t JOIN best b USING (ex_id) WHERE t.split = 'test')"""
+
+
+def _judged(spark, sf):
+    split = split_gold(spark, sf)
+    model = fit_naive_bayes(split.where("split = 'train'"))
+    test = split.where("split = 'test'")
+    scored_rows = score_naive_bayes(test, model).select(
+        "ex_id", F.col("label").alias("predicted"), F.array_max(softmax(F.col("scores"))).alias("confidence")
+    )
+    return test.select("ex_id", "text", "label").join(scored_rows, "ex_id")
+
+
 @query(
-    f"""WITH {LOGITS_SQL}
-SELECT s.ex_id, CASE WHEN length(d.text) > 200 THEN substr(d.text, 1, 200) || '...' ELSE d.text END AS text,
-  s.label, s.predicted, round(s.confidence, 2) AS confidence
-FROM scored s JOIN documents d ON d.doc_id = s.ex_id WHERE s.predicted <> s.label
-ORDER BY s.ex_id LIMIT 15"""
+    f"""WITH {_JUDGED_SQL}
+SELECT ex_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text,
+  label, predicted, round(confidence, 2) AS confidence
+FROM judged WHERE predicted <> label ORDER BY ex_id LIMIT 15"""
 )
 def first_errors(spark, sf):
-    errors = metrics.wrong_predictions(_confident(spark, sf))
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("ex_id"), "text")
-    return report.first_errors(metrics.attach_text(errors, texts), order=["ex_id"])
+    return report.first_errors(metrics.wrong_predictions(_judged(spark, sf)), order=["ex_id"])
 
 
 @query(
-    f"""WITH {LOGITS_SQL}
-SELECT s.ex_id, substr(d.text, 1, 80) AS text, s.label, s.predicted,
-  round(s.confidence, 4) AS confidence, s.predicted = s.label AS correct
-FROM scored s JOIN documents d ON d.doc_id = s.ex_id"""
+    f"""WITH {_JUDGED_SQL}
+SELECT ex_id, substr(text, 1, 80) AS text, label, predicted, round(confidence, 4) AS confidence, predicted = label AS correct
+FROM judged"""
 )
 def sample_report(spark, sf):
-    texts = documents(spark, sf).select(F.col("doc_id").alias("ex_id"), "text")
-    return report.sample_report(
-        metrics.attach_text(_confident(spark, sf), texts), "ex_id"
-    )
+    return report.sample_report(_judged(spark, sf), "ex_id")

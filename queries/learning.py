@@ -25,8 +25,7 @@ def tokenize(spark, sf):
     )
 
 
-@query(
-    f"""WITH {SPLIT_SQL},
+NAIVE_BAYES_SQL = f"""{SPLIT_SQL},
 words AS (SELECT label, unnest({_WORDS}) AS token FROM split WHERE split = 'train'),
 docs AS (SELECT label, count(*) AS docs FROM split WHERE split = 'train' GROUP BY label),
 vocabulary AS (SELECT count(DISTINCT token) AS v FROM words),
@@ -42,7 +41,11 @@ scores AS (
   SELECT f.ex_id, u.label, round(any_value(u.prior)
     + sum(f.tf * ln(coalesce(c.n, 0) + 1)) - sum(f.tf) * any_value(u.denominator), 4) AS score
   FROM tf f CROSS JOIN unseen u LEFT JOIN counts c ON c.token = f.token AND c.label = u.label
-  GROUP BY f.ex_id, u.label)
+  GROUP BY f.ex_id, u.label)"""
+
+
+@query(
+    f"""WITH {NAIVE_BAYES_SQL}
 SELECT ex_id, arg_min(label, (-score, label)) AS label,
   max(score) FILTER (WHERE label = 'analysis') AS analysis,
   max(score) FILTER (WHERE label = 'hot_take') AS hot_take,
@@ -60,6 +63,12 @@ def naive_bayes(spark, sf):
     )
 
 
+def grid_models(spark, sf):
+    """The whole model of each grid point, fitted on the training rows."""
+    text_model, candidates = ml.fit_grid(split_gold(spark, sf).where("split = 'train'"))
+    return [ml.whole_model(text_model, classifier) for _, classifier in candidates]
+
+
 def _fitted(spark, sf):
     split = split_gold(spark, sf)
     model, scores = ml.fit_classifier(split.where("split = 'train'"), split.where("split = 'val'"))

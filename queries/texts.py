@@ -17,7 +17,6 @@ from .base import (
     PREDICTED_SQL,
     RESPONSES_SQL,
     TURNS_SQL,
-    answer_predictions,
     cascade_sql,
     documents,
     examples,
@@ -332,7 +331,8 @@ def valid_label(spark, sf):
     f"WITH {RESPONSES_SQL},\n{PARSED_SQL}\nSELECT ex_id, label FROM parsed WHERE label IS NOT NULL"
 )
 def parseable(spark, sf):
-    return metrics.parseable(answer_predictions(spark, sf))
+    parsed = responses(spark, sf).select("ex_id", parse_response(F.col("raw")).alias("label"))
+    return metrics.parseable(parsed)
 
 
 @query(
@@ -352,13 +352,48 @@ def wrong_predictions(spark, sf):
     return metrics.wrong_predictions(pairs).select("ex_id", "label", "predicted")
 
 
+# Turns as texts of all sources, with the conversation's first turn as the title of its thread.
+_PLACED_SQL = f"""{TURNS_SQL},
+placed AS (
+  SELECT t.ex_id, t.text, CASE (t.ex_id // 1000) % 5 WHEN 0 THEN t.source WHEN 1 THEN 'post' WHEN 2 THEN 'post_older'
+    WHEN 3 THEN 'discussion_comment' ELSE 'discussion_comment_older' END AS source, o.text AS title
+  FROM turns t LEFT JOIN conversations o ON o.conv_id = t.ex_id // 1000 AND o.turn = 0)"""
+
+
+def _placed(spark, sf):
+    kind = F.floor(F.col("ex_id") / 1000) % 5
+    source = (
+        F.when(kind == 0, F.col("source"))
+        .when(kind == 1, fixed.POST)
+        .when(kind == 2, fixed.POST_OLDER)
+        .when(kind == 3, fixed.DISCUSSION_COMMENT)
+        .otherwise(fixed.DISCUSSION_COMMENT_OLDER)
+    )
+    titles = table(spark, sf, "conversations").where("turn = 0")
+    titles = titles.select(F.col("conv_id").alias("thread"), F.col("text").alias("title"))
+    rows = turns(spark, sf).withColumn("thread", F.floor(F.col("ex_id") / 1000))
+    return rows.withColumn("source", source).join(titles, "thread", "left")
+
+
+_PREFIX_SQL = """CASE WHEN source = 'match_thread_comment' THEN 'Match thread comment:'
+  WHEN starts_with(source, 'discussion_comment') THEN 'Discussion comment:' ELSE 'Standalone post:' END"""
+
+
 @query(
-    f"""WITH {TURNS_SQL}
-SELECT ex_id, source, CASE WHEN source = 'match_thread_comment' THEN 'Match thread comment:'
-  ELSE 'Standalone post:' END || ' ' || text AS text FROM turns"""
+    f"""WITH {_PLACED_SQL}
+SELECT ex_id, source, {_PREFIX_SQL} || ' ' || text AS text FROM placed"""
 )
 def add_context_prefix(spark, sf):
-    return corpus.add_context_prefix(turns(spark, sf)).select("ex_id", "source", "text")
+    return corpus.add_context_prefix(_placed(spark, sf)).select("ex_id", "source", "text")
+
+
+@query(
+    f"""WITH {_PLACED_SQL}
+SELECT ex_id, {_PREFIX_SQL} || ' ' || CASE WHEN source IN ('post', 'post_older') OR title IS NULL OR trim(title, '<TRIM>') = '' THEN ''
+  ELSE title || ' -- ' END || text AS text FROM placed"""
+)
+def add_thread_title(spark, sf):
+    return corpus.add_context_prefix(_placed(spark, sf), title="title").select("ex_id", "text")
 
 
 @query(

@@ -90,6 +90,42 @@ def test_a_cap_beyond_the_pruning_equals_one_below(spark, labelled):
         spark.conf.set(ranking.PRUNING, before)
 
 
+def test_several_reviews_of_a_row(spark, labelled):
+    rows = [
+        (0, "a", "2024-01-01 00:00:00", "change", "reaction"), (0, "b", "2024-01-02 00:00:00", "confirm", None),
+        (1, "a", "2024-01-01 00:00:00", "drop", None), (1, "b", "2024-01-01 00:00:00", "change", "reaction"),
+        (2, "a", "2024-01-01 00:00:00", "confirm", None), (2, "a", "2024-01-01 00:00:00", "drop", None),
+        (3, "a", None, "drop", None), (3, "a", "2024-01-01 00:00:00", "change", "hot_take"),
+        (4, "a", "2024-01-01 00:00:00", "change", None), (4, "a", "2024-01-01 00:00:00", "change", None),
+        (5, "a", "2024-01-01 00:00:00", "what", None), (5, "b", "2023-01-01 00:00:00", "change", "reaction"),
+        (None, "a", "2024-01-01 00:00:00", "drop", None),
+    ]
+    reviews = spark.createDataFrame(rows, "ex_id BIGINT, reviewer STRING, reviewed_at STRING, decision STRING, label STRING")
+    reviews = reviews.withColumn("reviewed_at", reviews["reviewed_at"].cast("timestamp"))
+    for n in (1, 7):
+        resolved = {r["ex_id"]: (r["decision"], r["label"]) for r in corpus.resolve_reviews(reviews.repartition(n)).collect()}
+        assert resolved == {
+            0: ("confirm", None), 1: ("change", "reaction"), 2: ("drop", None), 3: ("change", "hot_take"),
+            4: ("confirm", None), 5: ("change", "reaction"),
+        }
+        got = corpus.apply_reviews(labelled, reviews.repartition(n)).collect()
+        assert len(got) == len({r["ex_id"] for r in got}) == 238
+        assert {r["ex_id"]: r["label"] for r in got if r["ex_id"] < 6} == {0: "analysis", 1: "reaction", 3: "hot_take", 4: "analysis", 5: "reaction"}
+    conflicts = {r["ex_id"]: (r["reviews"], r["decisions"], r["labels"]) for r in corpus.review_conflicts(reviews).collect()}
+    assert set(conflicts) == {0, 1, 2, 3, 5} and conflicts[0] == (2, ["change", "confirm"], ["reaction"])
+
+
+def test_context_prefixes(spark):
+    from postlabel import fixed
+
+    sources = ["post", "post_older", None, fixed.MATCH_THREAD_COMMENT, fixed.DISCUSSION_COMMENT, fixed.DISCUSSION_COMMENT_OLDER]
+    df = spark.createDataFrame([(s, "T", "x") for s in sources] + [(fixed.MATCH_THREAD_COMMENT, " ", "x")], "source STRING, title STRING, text STRING")
+    plain = [r["text"] for r in corpus.add_context_prefix(df).collect()]
+    assert plain == ["Standalone post: x"] * 3 + ["Match thread comment: x"] + ["Discussion comment: x"] * 2 + ["Match thread comment: x"]
+    titled = [r["text"] for r in corpus.add_context_prefix(df, title="title").collect()]
+    assert titled == ["Standalone post: x"] * 3 + ["Match thread comment: T -- x"] + ["Discussion comment: T -- x"] * 2 + ["Match thread comment: x"]
+
+
 def test_reviews(spark, labelled):
     reviews = spark.createDataFrame(
         [(0, None, "confirm"), (1, "reaction", "change"), (2, None, "drop")],

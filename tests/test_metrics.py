@@ -72,8 +72,67 @@ def test_published_comparison_and_gates(spark, published):
     assert gates == {
         "accuracy": (0.6944, False), "f1 analysis": (0.8276, True), "f1 hot_take": (0.64, True),
         "f1 reaction": (0.5556, False), "macro f1": (0.6744, True), "gain": (0.3056, True),
+        "macro f1 gain": (round(0.6744 - record["baseline_macro_f1"], 4), True),
         "deployable": (0.6744, False), "suspicious": (0.6944, False),
     }
+    # Macro F1 in the record is that of the two reports.
+    assert (record["baseline_macro_f1"], record["finetuned_macro_f1"]) == (report["macro avg"]["f1"], 0.6744)
+    base_of = {r["ex_id"]: r["label"] for r in base.collect()}
+    right = [(base_of[r["ex_id"]] == r["label"], r["predicted"] == r["label"]) for r in published.collect()]
+    fields = ("both_right", "only_baseline_right", "only_finetuned_right", "neither_right")
+    assert [record[f] for f in fields] == [right.count(x) for x in ((True, True), (True, False), (False, True), (False, False))]
+    only = metrics.disagreements(metrics.compare_models(base, model, truth)).collect()
+    assert sorted(r["right"] for r in only) == ["a"] * right.count((True, False)) + ["b"] * right.count((False, True))
+    sides = {r["label"]: r for r in metrics.paired_report(metrics.compare_models(base, model, truth)).collect()}
+    assert (sides["analysis"]["f1_b"], sides["hot_take"]["f1_b"], sides["reaction"]["f1_b"]) == (0.8276, 0.64, 0.5556)
+    assert {n: sides[n]["f1_a"] for n in NAMES} == {n: report[n]["f1"] for n in NAMES}
+
+
+def test_answers_of_no_and_of_unknown_label(spark):
+    rows = [(1, "analysis", None, "analysis"), (2, "reaction", "what", "reaction"), (3, "hot_take", "hot_take", None), (4, "other", "analysis", "analysis")]
+    df = spark.createDataFrame(rows, "ex_id BIGINT, label STRING, predicted_a STRING, predicted_b STRING")
+    r = metrics.model_comparison(df, "m").first()
+    assert (r["test_set_size"], r["baseline_evaluated"], r["finetuned_evaluated"]) == (4, 2, 2)
+    assert (r["baseline_accuracy"], r["finetuned_accuracy"]) == (0.5, 1.0)
+    assert (r["both_right"], r["only_baseline_right"], r["only_finetuned_right"], r["neither_right"]) == (0, 1, 2, 0)
+    empty = metrics.model_comparison(df.limit(0), "m").first()
+    assert (empty["test_set_size"], empty["baseline_macro_f1"]) == (0, 0.0)
+
+
+def test_two_predictions_of_a_row_do_not_multiply_it(spark):
+    truth = spark.createDataFrame([(1, "analysis"), (2, "reaction")], "ex_id BIGINT, label STRING")
+    pred = spark.createDataFrame([(1, 9, "reaction"), (1, 3, "hot_take"), (1, 5, None), (2, 1, None), (2, 2, "analysis")], "ex_id BIGINT, at INT, label STRING")
+    for n in (1, 4):
+        rows = pred.repartition(n)
+        assert sorted(tuple(r) for r in metrics.align(rows, truth).collect()) == [(1, "analysis", "hot_take"), (2, "reaction", "analysis")]
+        assert sorted(map(str, metrics.align(rows, truth, order=["at"]).collect())) == sorted(map(str, spark.createDataFrame([(1, "analysis", "hot_take"), (2, "reaction", None)], "ex_id BIGINT, label STRING, predicted STRING").collect()))
+        assert metrics.compare_models(rows, rows, truth).count() == 2
+
+
+def test_found_patterns_equal_all_sets_of_traits(spark):
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice("ab"), rng.choice(["a", "b", "b", None]), rng.randrange(64)) for i in range(300)]
+    df = spark.createDataFrame(rows, "ex_id BIGINT, label STRING, predicted STRING, bits INT")
+    traits = {f"t{i}": F.getbit("bits", F.lit(i)) == 1 for i in range(6)}
+    made = [(p != t, [f"t{i}" for i in range(6) if b >> i & 1]) for _, t, p, b in rows if p is not None]
+    overall = sum(w for w, _ in made) / len(made)
+    expected = {}
+    for size in (1, 2, 3):
+        for names in itertools.combinations([f"t{i}" for i in range(6)], size):
+            held = [w for w, own in made if set(names) <= set(own)]
+            if sum(held) >= 3:
+                rate = sum(held) / len(held)
+                expected[" & ".join(names)] = (size, sum(held), len(held) - sum(held), round(rate, 4), round(rate / overall, 4))
+    got = {r["pattern"]: (r["traits"], r["errors"], r["right_rows"], r["error_rate"], r["lift"]) for r in metrics.find_error_patterns(df, traits).collect()}
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(expected[k], abs=2e-4) for k in expected)
+    assert metrics.find_error_patterns(df.where("label = predicted"), traits).count() == 0
+    assert metrics.find_error_patterns(df.limit(0), traits).count() == 0
 
 
 def test_missing_classes_and_missing_predictions(spark):

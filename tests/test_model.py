@@ -57,16 +57,18 @@ def test_naive_bayes_equals_brute_force(frames, share, monkeypatch):
         assert got[i][1] == pytest.approx(want[i][1], abs=2e-4)
 
 
-def test_a_word_in_every_document_is_joined_where_it_is(spark):
-    rows = [(i, "analysis" if i % 2 else "reaction", f"everywhere only{i} own{i}") for i in range(400)]
-    df = spark.createDataFrame(rows, "ex_id BIGINT, label STRING, text STRING")
+def test_a_word_in_every_document_is_not_sent_anywhere(spark, capsys):
+    rows = [(i, "analysis" if i % 2 else "reaction", f"everywhere only{i} own{i} everywhere") for i in range(400)]
+    df = spark.createDataFrame([*rows, (400, "analysis", "")], "ex_id BIGINT, label STRING, text STRING")
     model = ml.fit_naive_bayes(df)
-    words = df.select("ex_id", F.explode(ml.tokens_of(F.col("text"), None)).alias("token"))
-    often = ml.FREQUENT_SHARE * sum(model.token_totals)
-    assert model.tokens.where(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n) >= often).count() == 1
-    joined = ml.join_by_token(words, model)
-    assert joined.count() == 1200 and joined.where("counts IS NULL").count() == 0
-    assert ml.score_naive_bayes(df, model).where("label IN ('analysis', 'reaction')").count() == 400
+    assert model.tokens.where(ml._is_frequent(model)).count() == 1
+    words = ml.words_to_look_up(df, model)
+    keys = words.groupBy("_key").count().where("count > 1").collect()
+    assert words.count() == 1201 and keys == []
+    assert ml.score_naive_bayes(df, model).where("label IN ('analysis', 'reaction')").count() == 401
+    capsys.readouterr()
+    ml.score_naive_bayes(df, model).explain()
+    assert capsys.readouterr().out.count("Generate explode") == 1
 
 
 def test_the_classifier_sees_whole_texts(spark):
