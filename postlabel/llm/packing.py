@@ -14,7 +14,6 @@ ranks to sequences.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -23,68 +22,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .pretokens import WordIds
 from .store import materialise, order_id, own_id, read
+from .vector import text_chunks
 
 SIZE = 2048
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
-# Distinct words a worker remembers the ids of; beyond it starts anew.
-REMEMBERED = 3 << 19
+# Bytes of text encoded together.
+CHUNK = 1 << 20
 UPDATES = 200
 
 
-class WordEncoder:
-    """Ids of whole texts from a byte-level BPE tokenizer, each distinct word encoded once.
+_encoders: dict[tuple, WordIds] = {}
 
-    The tokenizer splits a text by a pattern before any merge, so the ids of a text are those
-    of its parts in a row. With ``added``, a text that holds one of the tokenizer's added tokens is
-    encoded by the tokenizer as a whole, which cuts it at them first; without, they are plain text.
-    """
 
-    def __init__(self, path: str | None, pattern: str | None, added: bool):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
-
-        if path is None or pattern is None:
-            import public_tokenizers
-
-            path, pattern = path or public_tokenizers.path(TOKENIZER), pattern or public_tokenizers.PATTERN
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added
-        tokens = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
-        self.added = regex.compile("|".join(map(regex.escape, tokens))).search if tokens else lambda text: None
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        whole = {i for i, x in enumerate(texts) if self.added(x)}
-        parts = [[] if i in whole else self.split(x) for i, x in enumerate(texts)]
-        new: set[str] = set()
-        for x in parts:
-            new.update(x)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        new.difference_update(self.known)
-        if new:
-            words = list(new)
-            for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        known = self.known
-        return [self._whole(texts[i]) if i in whole else b"".join([known[w] for w in x]) for i, x in enumerate(parts)]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-
-_encoders: dict[tuple, WordEncoder] = {}
-
-
-def encoder(*how) -> WordEncoder:
-    """The worker's encoder, which keeps its words from task to task."""
+def encoder(path: str | None, pattern: str | None, added: bool) -> WordIds:
+    """The worker's encoder, which keeps its words from task to task; one at a time."""
+    if path is None or pattern is None:
+        import public_tokenizers
+
+        path = path or public_tokenizers.path(TOKENIZER)
+        pattern = None if pattern in (None, public_tokenizers.PATTERN) else pattern
+    how = (path, pattern, added)
     if how not in _encoders:
-        _encoders[how] = WordEncoder(*how)
+        _encoders.clear()
+        _encoders[how] = WordIds(path, pattern, added, END)
     return _encoders[how]
 
 
@@ -93,22 +56,21 @@ def _pieces(size: int, path: str | None, pattern: str | None, added: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, pattern, added)
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            docs, texts = batch.column("doc").to_pylist(), batch.column("text")
-            for at in range(0, len(docs), 256):
-                rows = []
-                for doc, ids in zip(docs[at : at + 256], encode([x or "" for x in texts.slice(at, 256).to_pylist()]), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    start, number = 0, 0
-                    while start < total:
-                        length = (total - start) % size or size
-                        rows.append((doc, number, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-                        start, number = start + length, number + 1
-                names = ["doc", "piece", "start", "length", "ids_crc32"]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            docs = np.asarray(batch.column("doc"))
+            for a, b, data, offs in text_chunks(batch.column("text"), CHUNK):
+                ids, bounds = encode(data, offs)
+                total = np.diff(bounds)
+                count = -(-total // size)
+                number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                short = np.repeat((total - 1) % size + 1, count)
+                start = np.where(number == 0, 0, short + (number - 1) * size)
+                length = np.where(number == 0, short, size)
+                at = (np.repeat(bounds[:-1], count) + start).tolist()
+                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * x : 4 * (x + n)]) for x, n in zip(at, length.tolist(), strict=True)]
+                arrays = [pa.array(np.repeat(docs[a:b], count)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -182,7 +144,8 @@ def pack_plan(histogram: np.ndarray, size: int) -> list[tuple[list[int], int]]:
     """(lengths, repeats) of all sequences; lengths of each use up the histogram exactly."""
     found = patterns(size, histogram > 0)
     fitted = fit_counts(found, histogram)
-    plans = []
+    # Never more sequences than best-fit alone needs.
+    plans = [best_fit(histogram.copy(), size)]
     for counts in (np.floor(fitted), np.rint(fitted)):
         left, plan = histogram.copy(), []
         for i in np.argsort(-counts, kind="stable"):
@@ -249,7 +212,7 @@ def pack_documents(docs: DataFrame, size: int = SIZE, path: str | None = None, p
     does and the query and the pipeline do; else they are plain text.
     """
     schema = "doc long, piece int, start long, length long, ids_crc32 long"
-    pieces = materialise(docs.select(order_id().alias("doc"), "text").mapInArrow(_pieces(size, path, pattern, added), schema), "pieces")
+    pieces = materialise(docs.select(order_id().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(size, path, pattern, added), schema), "pieces")
     histogram = np.zeros(size + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():
         histogram[row["length"]] = row["count"]
