@@ -1,40 +1,43 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio of target to corpus.
 
 Words and pairs of words of a text are hashed into ``BUCKETS`` buckets. Two multinomials are
-counted over them: one over all documents, one over the trusted ones. A document's score is
-the mean, over its n-grams, of log(target / corpus); it is kept if it passes the base rules
-and its score reaches a threshold that is the same on every run.
-
-The threshold comes from the trusted documents themselves: half of them, by hash of the id,
-are counted as target, and the threshold is the score that all but ``MISSES`` in a thousand
-of the others reach, of those that pass the base rules, in steps of ``STEP``. So a document
-is held against good ones that the model has not seen either.
-
-A few toxic words hardly move that mean. Where untrusted labels are given, half of both are
-also counted by document over ``WIDE`` buckets of words, and a document's ``_lowest`` is its
-least log ratio of trusted to untrusted documents, in tenths. Its threshold is the one that
-parts the other halves best: the share of untrusted dropped less ``TRUST`` times the share of
-trusted dropped.
-
-Everything is DataFrame expressions over arrays. Nothing grows with the data but the scans:
-the ratio table has ``BUCKETS`` entries and reaches the tasks as one literal array, which
-expressions index in place (a column of it would be copied with every row).
+counted over them, a document counting once for each of its n-grams: one over all documents,
+one over the trusted ones. A document's score is the mean, over its n-grams, of
+log(target / corpus); it is kept if it passes the base rules and its score reaches a threshold
+that is the same on every run.
+
+Most n-grams tell nothing: their ratio is what chance makes of a few documents, and the mean of
+hundreds of such would drown the two or three that tell. So an n-gram's ratio counts as far as
+there is evidence for it, and else as 0: its share of trusted among the labelled documents that
+hold it must be ``EVIDENCE`` standard deviations off the share among all, on the side of the ratio.
+
+Half of the labelled documents, by hash of the id, are counted; the other half sets the
+threshold. With untrusted labels it parts the two kinds best: the share of untrusted dropped less
+``TRUST`` times the share of trusted dropped. Without, it is what all but ``MISSES`` in a thousand
+trusted documents reach. So a document is held against labels that the counts have not seen.
+
+Everything is DataFrame expressions over arrays. Only texts of the counted half meet labels,
+always by the same shuffle; the corpus is counted and scored where it is read. The ratios reach the
+tasks as constant arrays, a bit set of buckets with the numbers of bits before each word.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import materialise, read
 
-BUCKETS = 1 << 14
-WIDE = 1 << 17
+# For words, and as many again for pairs.
+BUCKETS = 1 << 20
+EVIDENCE = 3.0
 TRUST = 5
-SMOOTHING = 1.0
 WINDOW = 5
 MISSES = 2
-STEP = 0.001
+STEP = 0.0001
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
@@ -48,8 +51,8 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _SPACES))
 
 
-def _bucket(x: Column) -> Column:
-    return F.pmod(x, F.lit(BUCKETS)).cast("int")
+def _bucket(x: Column, first: int = 0) -> Column:
+    return (F.pmod(x, F.lit(BUCKETS)) + first).cast("int")
 
 
 def _pairs(hashes: str, then) -> Column:
@@ -65,50 +68,107 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 def ngram_buckets() -> Column:
     """Buckets of all words and pairs of words."""
-    return F.concat(F.transform("_hashes", _bucket), _pairs("_hashes", lambda a, b: _bucket(F.xxhash64(a, b))))
-
-
-def log_ratios(docs: DataFrame, targets: DataFrame) -> Column:
-    """The log ratio of each bucket as a literal array, from documents and trusted doc_ids."""
-    trusted = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("_target", F.lit(1))
-    marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left")
-    grams = hashed(marked).select(F.coalesce("_target", F.lit(0)).alias("_target"), F.explode(ngram_buckets()).alias("bucket"))
-    counts = materialise(grams.groupBy("bucket").agg(F.count("*").alias("corpus"), F.sum("_target").alias("target")), "ngram-buckets")
-    total = counts.agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target")).first()
-    plus = SMOOTHING
-    base = F.log(F.lit(((total.corpus or 0) + plus * BUCKETS) / ((total.target or 0) + plus * BUCKETS)))
-    ratio = F.log((F.col("target") + plus) / (F.col("corpus") + plus)) + base
-    # As many rows as there are buckets at most; text, so that it is one constant and not thousands.
-    seen = {r.bucket: r.ratio for r in counts.select("bucket", ratio.cast("string").alias("ratio")).collect()}
-    unseen = counts.sparkSession.range(1).select(base.cast("string")).first()[0]
-    return F.split(F.lit(",".join(seen.get(b, unseen) for b in range(BUCKETS))), ",").cast("array<double>")
-
-
-def telling_ratios(docs: DataFrame, targets: DataFrame, untrusted: DataFrame) -> Column:
-    """Tenths of the log ratio of each bucket of words, 0 if not negative, from trusted and untrusted doc_ids."""
-    labels = targets.select("doc_id", F.lit(1).alias("_good")).union(untrusted.select("doc_id", F.lit(0)))
-    labels = labels.groupBy("doc_id").agg(F.min("_good").alias("_good"))
-    marked = hashed(docs.select("doc_id", "text").join(labels, "doc_id"))
-    buckets = F.array_distinct(F.transform("_hashes", lambda w: F.pmod(w, F.lit(WIDE)).cast("int")))
+    pairs = _pairs("_hashes", lambda a, b: _bucket(F.xxhash64(a, b), BUCKETS))
+    return F.concat(F.transform("_hashes", lambda x: _bucket(x)), pairs)
+
+
+class Ratios:
+    """Whole hundredths of log ratios by bucket, as constants that expressions index in place."""
+
+    def __init__(self, found: Mapping[int, int]):
+        bits, before, seen = [0] * (2 * BUCKETS // 64), [], 0
+        for b in found:
+            bits[b >> 6] |= 1 << (b & 63)
+        for word in bits:
+            before.append(seen)
+            seen += word.bit_count()
+        self.bits = self._constant([w - (1 << 64) if w >> 63 else w for w in bits], "bigint")
+        self.before = self._constant(before, "int")
+        self.values = self._constant([found[b] for b in sorted(found)] or [0], "int")
+        self.below = self._constant([(1 << i) - 1 for i in range(64)], "bigint")
+
+    @staticmethod
+    def _constant(values: list[int], kind: str) -> Column:
+        # Text, so that it is one constant and not thousands.
+        return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+    def holds(self, bucket: Column) -> Column:
+        return F.getbit(F.get(self.bits, F.shiftright(bucket, 6)), bucket.bitwiseAND(63)) == 1
+
+    def of(self, bucket: Column) -> Column:
+        """The ratio of a bucket that is held."""
+        word, place = F.shiftright(bucket, 6), bucket.bitwiseAND(63)
+        ahead = F.get(self.bits, word).bitwiseAND(F.get(self.below, place))
+        return F.get(self.values, F.get(self.before, word) + F.bit_count(ahead))
+
+
+def _half() -> Column:
+    """0 for ids whose labels are counted, 1 for those that set the threshold; null without id."""
+    return F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+
+
+def _labels(targets: DataFrame, untrusted: DataFrame | None) -> DataFrame:
+    """(doc_id, _good): 1 for trusted, 0 for untrusted; an id that is both is untrusted."""
+    labels = targets.select("doc_id", F.lit(1).alias("_good"))
+    if untrusted is not None:
+        labels = labels.unionByName(untrusted.select("doc_id", F.lit(0).alias("_good")))
+    return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("_good").alias("_good"))
+
+
+def telling_buckets(docs: DataFrame, targets: DataFrame, untrusted: DataFrame | None) -> tuple[dict[int, tuple[int, float]], int]:
+    """Trusted documents and deviation by bucket for which there is evidence, and all n-grams of trusted ones.
+
+    Without untrusted ids all other documents of the counted half stand for them.
+    """
+    counted = docs.select("doc_id", "text").where(_half() == 0)
+    labels = _labels(targets, untrusted).where(_half() == 0)
+    marked = counted.join(labels.hint("merge"), "doc_id", "inner" if untrusted is not None else "left")
+    grams = hashed(marked.withColumn("_good", F.coalesce("_good", F.lit(0))))
     # One more entry for each document (-1) gives the numbers of documents.
-    seen = marked.select("_good", F.explode(F.concat(F.array(F.lit(-1)), buckets)).alias("bucket"))
+    buckets = F.concat(F.array(F.lit(-1)), F.array_distinct(ngram_buckets()))
+    seen = grams.select("_good", F.explode(buckets).alias("bucket"))
     counts = materialise(seen.groupBy("bucket").agg(F.sum("_good").alias("good"), F.count("*").alias("n")), "telling-buckets")
     every = counts.where("bucket = -1").first()
     share = every.good / every.n if every else 0
     if not 0 < share < 1:
-        return F.split(F.lit(",".join(["0"] * WIDE)), ",").cast("array<int>")
-    # The prior is one document, so that a bucket of no documents has ratio 0.
-    ratio = F.log((F.col("good") + share) / (F.col("n") - F.col("good") + (1 - share))) - F.log(F.lit(share / (1 - share)))
-    low = {r.bucket: r.low for r in counts.where("bucket >= 0").select("bucket", F.round(10 * ratio).cast("int").alias("low")).where("low < 0").collect()}
-    return F.split(F.lit(",".join(str(low.get(b, 0)) for b in range(WIDE))), ",").cast("array<int>")
-
-
-def parting(scores: DataFrame, targets: DataFrame, untrusted: DataFrame) -> int | None:
-    """The least ``_lowest`` to keep, which parts trusted from untrusted documents best; None without both."""
-    labels = targets.select("doc_id", F.lit(1).alias("_good")).union(untrusted.select("doc_id", F.lit(0)))
-    labels = labels.groupBy("doc_id").agg(F.min("_good").alias("_good"))
-    # Whole tenths of a logarithm are a bounded few hundred.
-    steps = scores.join(labels, "doc_id").groupBy("_lowest").agg(F.sum("_good").alias("good"), F.count("*").alias("n")).orderBy("_lowest").collect()
+        return {}, 0
+    expected = F.col("n") * share
+    deviation = (F.col("good") - expected) / F.sqrt(expected * (1 - share))
+    # At most as many rows as there are buckets.
+    told = counts.where("bucket >= 0").withColumn("z", deviation).where(F.abs("z") >= EVIDENCE).collect()
+    total = counts.where("bucket >= 0").agg(F.sum("good")).first()[0]
+    return {r.bucket: (r.good, r.z) for r in told}, total
+
+
+def log_ratios(docs: DataFrame, targets: DataFrame, untrusted: DataFrame | None) -> Ratios:
+    """The ratios of all buckets for which there is evidence, from documents and labelled doc_ids."""
+    told, target_total = telling_buckets(docs, targets, untrusted)
+    if not told:
+        return Ratios({})
+    held = Ratios(dict.fromkeys(told, 0))
+    every = hashed(docs.select("text")).select(F.array_distinct(ngram_buckets()).alias("_grams"))
+    own = F.transform(F.filter("_grams", held.holds), lambda b: F.struct(b.alias("bucket"), F.lit(1).alias("n")))
+    total = F.struct(F.lit(-1).alias("bucket"), F.size("_grams").alias("n"))
+    counts = every.select(F.inline(F.concat(F.array(total), own))).groupBy("bucket").agg(F.sum("n").alias("n"))
+    corpus = {r.bucket: r.n for r in counts.collect()}
+    base = math.log((corpus[-1] + 2 * BUCKETS) / (target_total + 2 * BUCKETS))
+    found = {}
+    for bucket, (good, z) in told.items():
+        ratio = round(100 * (math.log((good + 1) / (corpus.get(bucket, 0) + 1)) + base))
+        if ratio * z > 0:
+            found[bucket] = ratio
+    return Ratios(found)
+
+
+def _labelled_steps(scores: DataFrame, labels: DataFrame) -> list:
+    """(step, good, n) in order: labelled documents by score in steps, which are bounded by the range of ratios."""
+    step = F.floor(F.col("score") / STEP).alias("step")
+    rows = scores.where("not base_failed").join(labels.where(_half() == 1).hint("merge"), "doc_id")
+    return rows.groupBy(step).agg(F.sum("_good").alias("good"), F.count("*").alias("n")).orderBy("step").collect()
+
+
+def parting(steps: list) -> int | None:
+    """The least step to keep, which parts trusted from untrusted documents best; None without both."""
     good, bad = sum(r.good for r in steps), sum(r.n - r.good for r in steps)
     if not good or not bad:
         return None
@@ -117,10 +177,20 @@ def parting(scores: DataFrame, targets: DataFrame, untrusted: DataFrame) -> int
         lost, gone = lost + r.good, gone + r.n - r.good
         gain = gone / bad - TRUST * lost / good
         if gain > best:
-            best, limit = gain, after["_lowest"]
+            best, limit = gain, after.step
     return limit
 
 
+def reached(steps: list, misses: int) -> int | None:
+    """The step that all but ``misses`` in a thousand trusted documents reach; None without any."""
+    allowed, gone = sum(r.good for r in steps) * misses // 1000, 0
+    for r in steps:
+        gone += r.good
+        if gone > allowed:
+            return r.step
+    return None
+
+
 def _repeated_words() -> tuple[Column, Column]:
     """Windows by hash, and in text order the places of those that occur twice or more."""
     pairs = F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -154,41 +224,15 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base_failed", failed)
 
 
-def quality_scores(docs: DataFrame, targets: DataFrame, untrusted: DataFrame | None = None) -> DataFrame:
-    """doc_id, the base counts, base_failed, score and _lowest of every document."""
-    ratios = log_ratios(docs, targets)
+def quality_scores(docs: DataFrame, ratios: Ratios) -> DataFrame:
+    """doc_id, the base counts, base_failed and score of every document."""
     rows = base_counts(hashed(docs.select("doc_id", "text")))
     n = 2 * F.size("_hashes") - 1
-    total = F.aggregate("_hashes", F.lit(0.0), lambda s, x: s + F.get(ratios, _bucket(x)))
-    total += F.aggregate(_pairs("_hashes", lambda a, b: F.get(ratios, _bucket(F.xxhash64(a, b)))), F.lit(0.0), lambda s, x: s + x)
-    score = F.when(n > 0, total / n).otherwise(F.lit(0.0))
-    lowest = F.lit(0)
-    if untrusted is not None:
-        telling = telling_ratios(docs, targets, untrusted)
-        lowest = F.aggregate("_hashes", F.lit(0), lambda s, x: F.least(s, F.get(telling, F.pmod(x, F.lit(WIDE)).cast("int"))))
+    told = F.filter(ngram_buckets(), ratios.holds)
+    total = F.aggregate(told, F.lit(0).cast("long"), lambda s, b: s + ratios.of(b))
+    score = F.when(n > 0, total / (100 * n)).otherwise(F.lit(0.0))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return rows.select(*names, score.alias("score"), lowest.alias("_lowest"))
-
-
-def threshold(scores: DataFrame, targets: DataFrame, misses: int = MISSES) -> DataFrame:
-    """One row, ``threshold``: what all but ``misses`` in a thousand trusted documents reach.
-
-    Without trusted documents nothing is held against any text.
-    """
-    trusted = scores.where("not base_failed").join(targets.select("doc_id").distinct(), "doc_id", "left_semi")
-    steps = trusted.groupBy(F.floor(F.col("score") / STEP).alias("step")).agg(F.count("*").alias("n"))
-    # Scores are means of log ratios, so the steps are a bounded few thousand.
-    rows = F.array_sort(F.collect_list(F.struct("step", "n")))
-    allowed = F.floor(F.sum("n") * misses / 1000)
-    gone = F.aggregate(
-        "rows",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("step")),
-        lambda s, r: F.when(
-            s["step"].isNull(),
-            F.struct((s["n"] + r["n"]).alias("n"), F.when(s["n"] + r["n"] > F.col("allowed"), r["step"]).cast("long").alias("step")),
-        ).otherwise(s),
-    )
-    return steps.agg(rows.alias("rows"), allowed.alias("allowed")).select(F.coalesce(gone["step"] * STEP, F.lit(float("-inf"))).alias("threshold"))
+    return rows.select(*names, score.alias("score"))
 
 
 def judge(docs: DataFrame, targets: DataFrame, misses: int = MISSES, untrusted: DataFrame | None = None) -> DataFrame:
@@ -197,18 +241,17 @@ def judge(docs: DataFrame, targets: DataFrame, misses: int = MISSES, untrusted:
     Takes doc_id and text; other columns are ignored. Returns doc_id, n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept. A null or empty text has
     no words, fails the base and scores 0. Rows that share an id are judged each by itself, and
-    all are trusted if the id is; a row without id is judged but never trusted. No rows give none.
+    all are trusted if the id is; a row without id is judged but never trusted. A score that
+    equals the threshold is kept. Without trusted documents, or where no threshold parts the
+    labels, all that pass the base are kept. No rows give none.
     """
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    untold = None if untrusted is None else untrusted.where(half == 0)
-    scores = materialise(quality_scores(docs, targets.where(half == 0), untold), "quality-scores")
-    limit = materialise(threshold(scores, targets.where(half == 1), misses), "quality-threshold").scalar()
-    kept = ~F.col("base_failed") & (F.col("score") >= limit)
-    if untrusted is not None:
-        least = parting(scores.where(kept), targets.where(half == 1), untrusted.where(half == 1))
-        if least is not None:
-            kept &= F.col("_lowest") >= least
-    return scores.withColumn("kept", kept).drop("_lowest")
+    scores = materialise(quality_scores(docs, log_ratios(docs, targets, untrusted)), "quality-scores")
+    steps = _labelled_steps(scores, _labels(targets, untrusted))
+    limit = reached(steps, misses) if untrusted is None else parting(steps)
+    kept = ~F.col("base_failed")
+    if limit is not None:
+        kept &= F.floor(F.col("score") / STEP) >= limit
+    return scores.withColumn("kept", kept)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
