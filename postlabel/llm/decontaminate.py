@@ -8,11 +8,13 @@ benchmark; the shingles that this gives less than the largest weight lie in file
 shared folder, which tasks memory-map.
 
 A window of a document has as many words as an item; a document of fewer words is one window.
-Its 64-bit SimHash over weighted shingles is compared block by block with all items of its
-size (a scan; there is no table by block): of eight blocks of eight bits, one must lie within
-``radius // 8`` bits of the item's if the whole lies within ``radius``. Items found so and
-within the radius are confirmed by exact weighted shingle similarity. A window
-without a shingle of an item of its size has similarity 0 with all of them and is not hashed.
+Its 64-bit SimHash over weighted shingles is looked up in a multi-index: of eight blocks of
+eight bits, one must lie within ``radius // 8`` bits of the item's if the whole lies within
+``radius``. For each word count and block there is a table from the block's value to the
+items whose block lies so near, so no fingerprint within the radius is missed and only
+items found in a table are compared whole. Those within the radius are confirmed by exact weighted
+shingle similarity. A window without a shingle of an item of its size has similarity 0 with
+all of them and is not hashed.
 
 At similarity 0.75 a fingerprint is 11 bits away on average, with a standard deviation of 3;
 the radius of 23 bits is four deviations beyond.
@@ -42,6 +44,8 @@ RADIUS = 23
 BLOCKS = 8
 # Items are sent to the tasks in slices of so many bytes of text; each slice is a pass of its own.
 SLICE_BYTES = 4 << 20
+# Pairs of a window and an item looked up together.
+PAIRS = 1 << 18
 # Shared shingles a file of weights has on average.
 SHARD_SHINGLES = 1_000_000
 
@@ -84,6 +88,31 @@ class Weights:
         return out
 
 
+class BlockIndex:
+    """For each block, a table from each of its 256 values to the items whose block lies within ``reach`` bits."""
+
+    def __init__(self, prints: np.ndarray, reach: int):
+        self.items = len(prints)
+        near = _POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)[None]] <= reach
+        self.tables = []
+        for b in range(BLOCKS):
+            value, item = np.nonzero(near[:, prints[:, b]])
+            self.tables.append((np.searchsorted(value, np.arange(257)), item))
+
+    def candidates(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first window, windows counted from it, items) that meet in a table, each pair once, for a part of the windows."""
+        step = max(1, PAIRS // max(1, self.items))
+        for first in range(0, len(prints), step):
+            part, found = prints[first : first + step], []
+            for b, (starts, items) in enumerate(self.tables):
+                lo = starts[part[:, b]]
+                count = starts[part[:, b].astype(np.int64) + 1] - lo
+                at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                found.append(np.repeat(np.arange(len(part)), count) * self.items + items[at])
+            pairs = np.unique(np.concatenate(found))
+            yield first, pairs // self.items, pairs % self.items
+
+
 class Items:
     """A slice of the benchmark: shingles, fingerprints and their block index."""
 
@@ -104,6 +133,7 @@ class Items:
         self.seeds = {n: np.unique(np.concatenate([self.shingles[i] for i in own])) for n, own in self.by_words.items()}
         self.counts = [Counter(s.tolist()) for s in self.shingles]
         self.prints = np.concatenate([np.empty((0, 8), np.uint8), *(_packed(self.sums(s)[None]) for s in self.shingles)])
+        self.index = {n: BlockIndex(self.prints[own], radius // BLOCKS) for n, own in self.by_words.items()}
 
     def sums(self, shingles: np.ndarray) -> np.ndarray:
         return (fingerprint_bits(shingles) * self.weigh(shingles)[:, None]).sum(axis=0)
@@ -111,14 +141,10 @@ class Items:
     def near(self, prints: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
         """(window, item) within the radius, found by blocks."""
         own = np.array(self.by_words[words])
-        differ = [_POPCOUNT[prints[:, b, None] ^ self.prints[own, b][None]] for b in range(BLOCKS)]
-        found = np.zeros(differ[0].shape, bool)
-        for block in differ:
-            found |= block <= self.radius // BLOCKS
-        w, i = np.nonzero(found)
-        distance = sum(block[w, i].astype(int) for block in differ)
-        keep = distance <= self.radius
-        return zip(w[keep].tolist(), own[i[keep]].tolist(), strict=True)
+        for first, window, item in self.index[words].candidates(prints):
+            distance = _POPCOUNT[prints[first + window] ^ self.prints[own[item]]].sum(axis=1, dtype=np.int64)
+            keep = distance <= self.radius
+            yield from zip((first + window[keep]).tolist(), own[item[keep]].tolist(), strict=True)
 
     def similarity(self, window: np.ndarray, item: int) -> tuple[int, int]:
         """Weights in common and in either, counting repeats."""
@@ -235,14 +261,14 @@ def _matches(items: Items, words: np.ndarray, places: dict[int, np.ndarray]) ->
 
 
 def _flag(items: Items):
-    """Maps (row, text, item_ids, similarity) to the same with this slice's matches added."""
+    """Maps (row, item_ids, similarity) to the same with this slice's matches added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = sorted({min(items.size, n) for n in items.by_words})
         tables = {u: _Table(np.concatenate([items.seeds[n] for n in items.by_words if min(items.size, n) == u])) for u in units}
         for batch in batches:
             ids, scores = batch.column("item_ids").to_pylist(), batch.column("similarity").to_pylist()
-            for row, _, data, offs in text_chunks(batch.column("text")):
+            for row, _, data, offs in text_chunks(batch.column("row").field("text").cast(pa.string())):
                 words, first = word_hashes(data, offs, word=_ALNUM)
                 found: dict[int, dict[int, np.ndarray]] = {}
                 for unit in units:
@@ -258,8 +284,8 @@ def _flag(items: Items):
                         ids[row + doc] = sorted({*ids[row + doc], *(items.ids[i] for i in best)})
                         scores[row + doc] = max(scores[row + doc], *(c / e for c, e in best.values()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("text"), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.float64())],
-                names=["row", "text", "item_ids", "similarity"],
+                [batch.column("row"), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.float64())],
+                names=["row", "item_ids", "similarity"],
             )
 
     return run
@@ -277,7 +303,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = total // SLICE_BYTES + 1
     weights = shingle_weights(known.distinct(), size)
-    found = docs.select(F.struct("*").alias("row"), F.col("text"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("similarity"))
+    found = docs.select(F.struct("*").alias("row"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("similarity"))
     for part in range(slices):
         own = known.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == part) if slices > 1 else known
         rows = sorted(own.distinct().collect())
@@ -285,7 +311,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
             items = Items([r.item_id for r in rows], [r.text for r in rows], weights, size, percent, radius)
             schema = T.StructType([T.StructField(f.name, f.dataType) for f in found.schema])
             found = found.mapInArrow(_flag(items), schema)
-    return found.drop("text")
+    return found
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,29 @@ def test_nulls_and_empty_tables(spark):
     assert ours(spark, docs, items) == {1: [], 2: [], None: [7], 3: [7], 4: []}
     assert ours(spark, docs, []) == {1: [], 2: [], None: [], 3: [], 4: []}
     assert ours(spark, [], items) == {}
+
+
+def test_block_index_misses_nothing_within_the_radius():
+    import numpy as np
+
+    from postlabel.llm import decontaminate
+    from postlabel.llm.decontaminate import BLOCKS, RADIUS, BlockIndex
+
+    rng = np.random.default_rng(5)
+    items = rng.integers(0, 256, (300, 8), dtype=np.uint8)
+    windows = items[rng.integers(0, 300, 500)].copy()
+    for row in windows:
+        for bit in rng.choice(64, rng.integers(0, 30), replace=False):
+            row[bit // 8] ^= 1 << (bit % 8)
+    differ = np.bitwise_count(windows[:, None] ^ items[None])
+    for reach in (0, 1, RADIUS // BLOCKS):
+        before, decontaminate.PAIRS = decontaminate.PAIRS, 5000
+        try:
+            found = [(first + w, i) for first, ws, it in BlockIndex(items, reach).candidates(windows) for w, i in zip(ws.tolist(), it.tolist())]
+        finally:
+            decontaminate.PAIRS = before
+        assert len(found) == len(set(found))
+        assert set(found) == set(map(tuple, np.argwhere((differ <= reach).any(axis=2)).tolist()))
+        near = set(map(tuple, np.argwhere(differ.sum(axis=2, dtype=int) <= reach * BLOCKS + BLOCKS - 1).tolist()))
+        assert near <= set(found) and len(near) > 3
+    assert list(BlockIndex(items[:0], 2).candidates(windows)) and not any(len(w) for _, w, _ in BlockIndex(items[:0], 2).candidates(windows))
