@@ -7,7 +7,10 @@ languages are learned together, by the likelihood of training chains in which pi
 different documents follow one another, so that the cost of a switch is learned as well.
 Forward-backward gives each word's probabilities; a document's are their mean.
 
-Documents of a batch go through forward-backward in step, longest first.
+Documents of a batch go through forward-backward in step, longest first. Long ones are cut into
+blocks of ``BLOCK`` words: the product of a block's transition matrices tells how what comes in at
+one end goes out at the other, so the messages between blocks are known before any block is run, and
+all blocks of all documents are run in step.
 
 The model is fitted on a bounded sample: at most ``DOCS_PER_LANG`` labelled documents of a
 language, ``PIECES`` pieces of ``PIECE_WORDS`` words from anywhere in each.
@@ -37,7 +40,9 @@ STEPS = 60
 RATE = 0.3
 PENALTY = 1e-5
 UNKNOWN = "und"
-CHUNK = 3 << 20
+CHUNK = 1 << 19
+# Words of a block that forward-backward runs through one after another.
+BLOCK = 512
 
 _letters: list[np.ndarray] = []
 
@@ -92,41 +97,88 @@ def distinct_words(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     return one, back
 
 
+def _in_step(first: np.ndarray) -> Iterator[np.ndarray]:
+    """The words at each place of all stretches that reach it, in order; ``first`` is where each starts, and the end."""
+    length = np.diff(first)
+    order = np.argsort(-length, kind="stable")
+    head = first[:-1][order]
+    for t, n in enumerate(np.searchsorted(-length[order], -np.arange(length.max(initial=0)), "left")):
+        yield order[:n], head[:n] + t
+
+
+def _scaled(x: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
+    return x / np.maximum(x.max(axis=axes, keepdims=True), 1e-300)
+
+
 def marginals(scores: np.ndarray, first: np.ndarray, switch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Label probabilities of each word, and expected numbers of transitions, by forward-backward.
 
     ``scores`` are log weights of words and labels, ``first`` the index of each chain's first
     word, ``switch`` the weights (not logs) of transitions.
     """
-    length = np.diff(first)
-    chains = np.argsort(-length, kind="stable")
-    length, head = length[chains], first[:-1][chains]
-    weight = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
+    size = scores.shape[1]
+    if not len(scores):
+        return np.empty((0, size)), np.zeros_like(switch)
+    weight = np.exp(scores - scores.max(axis=1, keepdims=True))
+    chain = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    # Blocks: where they start, and whether a chain does there.
+    starts = np.flatnonzero((np.arange(len(scores)) - first[chain]) % BLOCK == 0)
+    cuts = np.append(starts, len(scores))
+    opens = starts == first[chain[starts]]
+    incoming, outgoing = np.ones((len(starts), size)), np.ones((len(starts), size))
+    if not opens.all():
+        incoming, outgoing = _between(weight, cuts, opens, switch)
     forward, backward = np.empty_like(weight), np.empty_like(weight)
-    alive = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
-    pairs = np.zeros_like(switch)
-    state = None
-    for t, n in enumerate(alive):
-        at = head[:n] + t
-        state = weight[at] if t == 0 else (state[:n] @ switch) * weight[at]
-        state /= state.sum(axis=1, keepdims=True)
-        forward[at] = state
-    state = np.ones((len(length), scores.shape[1]), weight.dtype)
-    for t in range(len(alive) - 1, -1, -1):
-        n = alive[t]
-        at = head[:n] + t
-        ahead = alive[t + 1] if t + 1 < len(alive) else 0
-        if ahead:
-            after = weight[at[:ahead] + 1] * backward[at[:ahead] + 1]
-            joint = forward[at[:ahead]].T @ (after / np.einsum("ni,ij,nj->n", forward[at[:ahead]], switch, after)[:, None])
-            pairs += joint * switch
-            state[:ahead] = after @ switch.T
-            state[:ahead] /= state[:ahead].sum(axis=1, keepdims=True)
-        backward[at] = state[:n]
+    state = np.empty((len(starts), size))
+    for t, (own, at) in enumerate(_in_step(cuts)):
+        came = np.where(opens[own, None], 1.0, incoming[own] @ switch) if t == 0 else state[own] @ switch
+        state[own] = came * weight[at]
+        state[own] /= state[own].sum(axis=1, keepdims=True)
+        forward[at] = state[own]
+    state = outgoing.copy()
+    for own, at in reversed(list(_in_step(cuts))):
+        last = at == cuts[own + 1] - 1
+        ahead = np.minimum(at + 1, len(scores) - 1)
+        message = np.where(last[:, None], outgoing[own], (weight[ahead] * state[own]) @ switch.T)
+        state[own] = message / message.sum(axis=1, keepdims=True)
+        backward[at] = state[own]
     found = forward * backward
+    # Pairs of words in a row of one chain.
+    left = np.flatnonzero(chain[:-1] == chain[1:])
+    after = weight[left + 1] * backward[left + 1]
+    through = np.einsum("ni,ni->n", forward[left] @ switch, after)
+    pairs = (forward[left].T @ (after / np.maximum(through, 1e-300)[:, None])) * switch
     return found / np.maximum(found.sum(axis=1, keepdims=True), 1e-30), pairs
 
 
+def _between(weight: np.ndarray, cuts: np.ndarray, opens: np.ndarray, switch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What comes into each block from before, and into its last word from behind.
+
+    The product of a block's matrices takes the last word of the block before to the block's last; an opening block has
+    no transition into its first word.
+    """
+    size = weight.shape[1]
+    product = np.broadcast_to(np.eye(size), (len(opens), size, size)).copy()
+    for t, (own, at) in enumerate(_in_step(cuts)):
+        step = product[own] if t == 0 else product[own] @ switch
+        if t == 0:
+            step = np.where(opens[own, None, None], step, step @ switch)
+        product[own] = _scaled(step * weight[at][:, None, :], (1, 2))
+    incoming, outgoing = np.ones((len(opens), size)), np.ones((len(opens), size))
+    # Blocks of all chains in step: the first of each, then the second, and so on.
+    chains = np.append(np.flatnonzero(opens), len(opens))
+    rounds = list(_in_step(chains))
+    state = np.ones((len(chains) - 1, size))
+    for own, at in rounds:
+        incoming[at] = state[own]
+        state[own] = _scaled(np.einsum("ni,nij->nj", state[own], product[at]), (1,))
+    state = np.ones((len(chains) - 1, size))
+    for own, at in reversed(rounds):
+        outgoing[at] = state[own]
+        state[own] = _scaled(np.einsum("nij,nj->ni", product[at], state[own]), (1,))
+    return incoming, outgoing
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -208,11 +260,11 @@ def train(docs: DataFrame) -> Model | None:
     return fit([(r.lang, r.text) for r in sample.mapInArrow(_cut, "lang string, text string").collect()])
 
 
-def _predicted(model: Model | None):
+def _predicted(model: Model | None, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores, words = [], [], []
-            texts = batch.column("text")
+            texts = batch.column("row").field(column).cast(pa.string())
             for row, end, *_ in text_chunks(texts, CHUNK):
                 part = [x or "" for x in texts.slice(row, end - row).to_pylist()]
                 if model is None:
@@ -249,10 +301,10 @@ def identify(docs: DataFrame) -> DataFrame:
     the first language in order. No rows give none.
     """
     model = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
     kinds = (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_words", T.LongType()))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *(T.StructField(*x) for x in kinds)])
-    return rows.mapInArrow(_predicted(model), schema)
+    return rows.mapInArrow(_predicted(model, "text"), schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
