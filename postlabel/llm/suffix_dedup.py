@@ -29,6 +29,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -119,14 +120,17 @@ def _marked(runs: pa.Array, offs: np.ndarray, n: int) -> np.ndarray:
 
 
 def _settle_copies(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Marks as done each phrase of the batch that a smaller document in it holds too."""
+    """Marks as done each phrase of the batch that a smaller document in it holds too.
+
+    Equal contents have equal triggers, so the content's hash alone tells phrases apart.
+    """
     t, b, doc, fp, at = rows
-    order = np.lexsort((doc, b, t))
-    t, b, doc, fp, at = (x[order] for x in (t, b, doc, fp, at))
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (b[1:] != b[:-1])
-    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(t) else doc
-    columns = [t.view(np.int64), b.view(np.int64), doc, fp, at, doc > least]
+    codes, distinct = pd.factorize(b)
+    falling = np.argsort(doc, kind="stable")[::-1]
+    least = np.empty(len(distinct), np.int64)
+    # Of several values for one phrase the last stays, which is the smallest id.
+    least[codes[falling]] = doc[falling]
+    columns = [t.view(np.int64), b.view(np.int64), doc, fp, at, doc > least[codes]]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["t", "b", "doc", "fp", "at", "done"])
 
 
