@@ -23,7 +23,7 @@ HEADLINE = (
     "dedupe_text cap_random cap_preferring stratified_split split_overlap collect_corpus "
     "newest_per_window class_report model_comparison success_gates error_slices tokenize "
     "naive_bayes top_per_group_large text_features examples_csv error_patterns select_best predict "
-    "label_stream dedupe_stream label_counts_stream"
+    "label_stream dedupe_stream label_counts_stream rule_shadowing paired_report find_error_patterns intake_posts"
 ).split()
 
 

@@ -108,11 +108,14 @@ def hash_rank(
     """Rank inside each group in seeded random order, plus ``group_rows``.
 
     The order is that of an md5, so its leading digits cut every group into buckets of
-    equal expected size: 65,536 per group for four digits.
+    equal expected size: 65,536 per group for four digits. Rows of nothing but id and keys
+    are written before they are counted and ranked, so what makes them runs once.
     """
     keyed = df.withColumn("_key", shuffle_key(F.col(id_col), seed)).withColumn(
         "_bucket", F.substring("_key", 1, digits)
     )
+    if set(df.columns) <= {id_col, *keys}:
+        keyed = cut_lineage(keyed)
     order = [F.col("_key"), F.col(id_col)]
     return _rank_by_bucket(keyed, keys, ["_bucket"], order, rank).drop("_key", "_bucket")
 
