@@ -24,14 +24,15 @@ def read_stream(
 ) -> DataFrame:
     """A stream of the Parquet files of a folder whose names fit the pattern.
 
-    ``spread_by`` shuffles each batch over all cores by a unique key, for batches of few
+    A folder in it whose name fits stands for the files it holds, as a table may be one file
+    or a folder of many. ``spread_by`` shuffles each batch over all cores by a unique key, for batches of few
     files and costly rows.
     """
+    # The braces make any name a pattern: Spark takes a plain path for a folder, never a file.
     stream = (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
+        .parquet(f"{folder}/{{{pattern}}}")
     )
     if spread_by is None:
         return stream

@@ -1,4 +1,7 @@
+import oracle
+import pytest
 from pyspark.sql import functions as F
+from queries import ORACLES, QUERIES
 
 from postlabel.operators import rules
 from postlabel.operators import model as ml
@@ -41,6 +44,14 @@ def test_stream_labels_equal_batch_labels(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("name", ["label_stream", "dedupe_stream", "label_counts_stream"])
+def test_stream_queries_read_a_table_of_many_files(spark, sf, tmp_path, name):
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    documents.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = oracle.spark_rows(QUERIES[name](spark, str(tmp_path)))
+    assert oracle.difference(got, oracle.sql_rows(oracle.connect(sf), ORACLES[name])) is None
+
+
 def test_stream_dedupe_keeps_one_of_a_flood(spark, tmp_path):
     rows = [(i, "2024-01-01 00:00:00", "hot" if i % 3 else f"t{i}", "post") for i in range(300)]
     _write(spark, tmp_path / "in", rows)
