@@ -30,7 +30,7 @@ SIZE = 2048
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 # Bytes of text encoded together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UPDATES = 200
 
 

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from postlabel.session import scratch_path
 
-_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Shuffle files go once a step is written, and Python tasks get a few megabytes of rows at a time:
+# a batch stands in the task's JVM and in its worker, some times over.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 # Stands for a null id inside an operator: larger than every other.
 NO_ID = (1 << 63) - 1
 
@@ -20,15 +25,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(_DROP_SHUFFLES, None)
-    spark.conf.set(_DROP_SHUFFLES, "true")
+    before = {name: spark.conf.get(name, None) for name in _SETTINGS}
     try:
+        for name, value in _SETTINGS.items():
+            spark.conf.set(name, value)
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_DROP_SHUFFLES)
-        else:
-            spark.conf.set(_DROP_SHUFFLES, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,8 @@ chunk of its own), so that memory does not grow with the number of rows in a bat
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,8 +58,23 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[first : int(offs[-1])], offs - first
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system.
+
+    A worker goes from one step's tasks to the next one's, and would else hold the most that
+    each step ever took, in pieces the next cannot use.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES):
     """Yields (first row, last row, bytes, offsets) for runs of whole texts of about ``limit`` bytes."""
+    give_back()
     data, offs = string_buffers(column)
     row = 0
     while row < len(column):

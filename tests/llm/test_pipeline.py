@@ -4,8 +4,11 @@ import subprocess
 import sys
 
 import corpus_pipeline
+import pyarrow as pa
 from corpus_pipeline import COLUMNS, STAGES, run
 
+from postlabel.llm.store import materialise
+
 
 def test_stages_on_planted_rows(spark, tmp_path):
     english = [f"word{chr(97 + i)} other{chr(97 + j)} thing" for i in range(8) for j in range(8)]
@@ -49,3 +52,15 @@ import __spark_entry__ as e
 assert not any(k.startswith("op") and k[2].isdigit() or k == "pipeline" for k in e.queries()) and len(e.queries()) > 90
 """
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_steps_get_few_rows_at_a_time(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = materialise(spark.range(0, 30_000, 1, 2).mapInArrow(sizes, "n long"), "sizes").collect()
+    assert sum(r.n for r in rows) == 30_000 and max(r.n for r in rows) <= 2000
+    assert spark.conf.get(name) == before
