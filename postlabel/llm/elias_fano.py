@@ -12,9 +12,11 @@ import numpy as np
 from .vector import U
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-_ONES = _BITS.sum(axis=1).astype(np.int64)
-# The place of the k-th one in a byte.
-_PLACE = np.argsort(1 - _BITS.astype(np.int8), axis=1, kind="stable")
+# The place of the k-th one in a byte, at byte * 8 + k.
+_PLACE = np.argsort(1 - _BITS.astype(np.int8), axis=1, kind="stable").astype(np.uint8).ravel()
+# A one in each byte of a word, and masks of every other bit, pair and half byte.
+_EACH, _TOP = U(0x0101010101010101), U(0x8080808080808080)
+_BIT, _PAIR, _HALF = U(0x5555555555555555), U(0x3333333333333333), U(0x0F0F0F0F0F0F0F0F)
 
 
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -44,18 +46,26 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str = ""):
         self.low, self.high, self.ones = (arrays[prefix + k] for k in ("low", "high", "ones"))
         self.n, self.bits = (int(x) for x in arrays[prefix + "shape"])
-        self.zeros = np.arange(len(self.ones)) * 64 - self.ones.astype(np.int64)
+        zeros = np.arange(len(self.ones)) * 64 - self.ones.astype(np.int64)
+        self.zeros = zeros.astype(np.min_scalar_type(64 * len(zeros)))
 
     def _select(self, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
-        word = np.searchsorted(before, k, "right") - 1
-        rest = k - before[word].astype(np.int64)
+        """Places of the k-th ones (zeros if flipped); fastest for k in order."""
+        word = np.searchsorted(before, k.astype(before.dtype), "right") - 1
+        rest = k.astype(U) - before[word].astype(U)
         held = self.high[word]
-        parts = (~held if flip else held)[:, None].view(np.uint8)
-        ahead = np.cumsum(_ONES[parts], axis=1)
-        byte = (ahead <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        rest -= np.where(byte > 0, ahead[row, byte - 1], 0)
-        return word * 64 + byte * 8 + _PLACE[parts[row, byte], rest]
+        if flip:
+            held = ~held
+        # Byte i of ``ahead`` counts the ones of bytes 0 to i.
+        ahead = held - ((held >> U(1)) & _BIT)
+        ahead = (ahead & _PAIR) + ((ahead >> U(2)) & _PAIR)
+        ahead = ((ahead + (ahead >> U(4))) & _HALF) * _EACH
+        # Bytes that end before the one sought.
+        passed = ((((rest * _EACH) | _TOP) - ahead) & _TOP) >> U(7)
+        shift = ((passed * _EACH) >> U(56)) << U(3)
+        rest -= ((ahead << U(8)) >> shift) & U(255)
+        byte = (held >> shift) & U(255)
+        return word * 64 + shift.astype(np.int64) + _PLACE[((byte << U(3)) + rest).astype(np.int64)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -73,18 +83,36 @@ class EliasFano:
 
     def next_geq(self, x: np.ndarray) -> np.ndarray:
         """The place of the first value >= x, n if there is none."""
-        last = len(self.high) * 64 - self.n - 1
-        high = np.minimum((x >> U(self.bits)).astype(np.int64), last)
+        return self._search(x)[0]
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The place of the first value that is x, -1 if there is none."""
+        at, end = self._search(x)
+        # Behind ``end`` the high bits are larger.
+        same = np.flatnonzero((at < end) & ((x >> U(self.bits)).astype(np.int64) <= self._last()))
+        same = same[self._low(at[same]) == x[same] & U((1 << self.bits) - 1)]
+        found = np.full(len(x), -1)
+        found[same] = at[same]
+        return found
+
+    def _last(self) -> int:
+        """The last high bits that can be looked for."""
+        return len(self.high) * 64 - self.n - 1
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the first values >= x, and where the values with the high bits of x end."""
+        high = np.minimum((x >> U(self.bits)).astype(np.int64), self._last())
         low = x & U((1 << self.bits) - 1)
         begin = np.zeros(len(x), np.int64)
         some = high > 0
         begin[some] = self._select(self.zeros, high[some] - 1, True) - (high[some] - 1)
-        end = self._select(self.zeros, high, True) - high
-        while True:
-            open_ = np.flatnonzero(begin < end)
-            if not len(open_):
-                return begin
+        last = self._select(self.zeros, high, True) - high
+        end = last.copy()
+        open_ = np.flatnonzero(begin < end)
+        while len(open_):
             middle = (begin[open_] + end[open_]) >> 1
             less = self._low(middle) < low[open_]
             begin[open_[less]] = middle[less] + 1
             end[open_[~less]] = middle[~less]
+            open_ = open_[begin[open_] < end[open_]]
+        return begin, last

@@ -66,6 +66,8 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
                 local.write(part)
             local.flush()
             data = np.memmap(local.name, np.uint8, "r")
+    # A plain view of the map: slicing the map itself costs more than most reads.
+    data = np.asarray(data)
     start = 8 + int.from_bytes(data[:8].tobytes(), "little")
     places = json.loads(data[8:start].tobytes())
     return {k: data[start + at : start + at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, n, at) in places.items()}

@@ -133,34 +133,28 @@ class Model:
         return out
 
     def find(self, level: int, shard: np.ndarray, context: np.ndarray, word: np.ndarray):
-        """Places of n-grams (-1: none), their probabilities and the weights g of their contexts."""
-        place, logs, rest = np.full(len(shard), -1), np.zeros(len(shard)), np.zeros(len(shard))
-        for number, mine in _groups(shard):
-            if number not in self.levels[level]:
+        """Places of sorted n-grams (-1: none), where their contexts' ranges start, their logs and the weights g of their contexts."""
+        place, begin, logs, rest = np.full(len(shard), -1), np.zeros(len(shard), np.int64), np.zeros(len(shard)), np.zeros(len(shard))
+        cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if int(shard[a]) not in self.levels[level]:
                 continue
-            held = self.shard(self.levels[level][number])
-            lo, hi = held["ptr"].get(context[mine]).astype(np.int64), held["ptr"].get(context[mine] + 1).astype(np.int64)
-            some = hi > lo
-            mine, lo, hi = mine[some], lo[some], hi[some]
-            if not len(mine):
-                continue
-            rest[mine] = held["rest_book"][held["rest"][context[mine]]]
-            base = np.zeros(len(mine), U)
+            held = self.shard(self.levels[level][int(shard[a])])
+            # Each context once.
+            first = np.flatnonzero(np.diff(context[a:b], prepend=-1))
+            one, times = context[a:b][first], np.diff(np.append(first, b - a))
+            lo, hi = held["ptr"].get(one).astype(np.int64), held["ptr"].get(one + 1).astype(np.int64)
+            base = np.zeros(len(one), U)
             base[lo > 0] = held["succ"].get(lo[lo > 0] - 1)
-            aim = base + (word[mine] + 1).astype(U)
-            at = held["succ"].next_geq(aim)
-            ok = (at < hi) & (word[mine] >= 0)
-            ok[ok] = held["succ"].get(at[ok]) == aim[ok]
-            place[mine[ok]] = at[ok]
-            logs[mine[ok]] = held["log_book"][held["log"][at[ok]]]
-        return place, logs, rest
-
-    def range_start(self, level: int, shard: np.ndarray, context: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(shard), np.int64)
-        for number, mine in _groups(shard):
-            if number in self.levels[level]:
-                out[mine] = self.shard(self.levels[level][number])["ptr"].get(context[mine])
-        return out
+            some = hi > lo
+            rest[a:b] = np.repeat(np.where(some, held["rest_book"][held["rest"][one]], 0), times)
+            begin[a:b] = np.repeat(lo, times)
+            ask = np.flatnonzero(np.repeat(some, times) & (word[a:b] >= 0))
+            at = held["succ"].place(np.repeat(base, times)[ask] + (word[a:b][ask] + 1).astype(U))
+            ok = (at >= 0) & (at < np.repeat(hi, times)[ask])
+            place[a:b][ask[ok]] = at[ok]
+            logs[a:b][ask[ok]] = held["log_book"][held["log"][at[ok]]]
+        return place, begin, logs, rest
 
     def walk(self, data: np.ndarray, offs: np.ndarray, order: int):
         """Yields the texts' n-grams, order by order.
@@ -188,22 +182,21 @@ class Model:
             if level not in self.levels:
                 return
             one, back = self._distinct(shard, context, word[at])
-            spot, log, rest = self.find(level, shard[one], context[one], word[at][one])
-            logs[at] = np.where(spot >= 0, log, 0)[back] + np.where(spot >= 0, 0, rest)[back] + np.where(spot[back] >= 0, 0, logs[at])
+            spot, begin, log, rest = self.find(level, shard[one], context[one], word[at][one])
+            logs[at] = np.where(spot >= 0, log, rest)[back] + np.where(spot >= 0, 0.0, 1.0)[back] * logs[at]
             place = np.full(len(ids), -1)
             place[at] = spot[back]
             if level < order:
-                begin = self.range_start(level, shard[one], context[one])
                 word = np.full(len(ids), -1)
                 word[at] = np.where(spot >= 0, spot - begin, -1)[back]
 
     def _distinct(self, shard: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of distinct n-grams, and for each n-gram which of them it is."""
+        """Places of distinct n-grams in order, so that lookups go one way, and for each n-gram which of them it is."""
         if not len(shard):
             return shard, shard
         wide, high = int(context.max()) + 1, int(word.max()) + 2
         if (int(shard.max()) + 1) * wide * high < 1 << 63:
-            back, distinct = pd.factorize((shard * wide + context) * high + word + 1)
+            distinct, back = sorted_distinct((shard * wide + context) * high + word + 1)
             one = np.empty(len(distinct), np.int64)
             one[back[::-1]] = np.arange(len(back) - 1, -1, -1)
         else:

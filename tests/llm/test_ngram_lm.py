@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from postlabel.llm.elias_fano import EliasFano, encode
-from postlabel.llm.ngram_lm import DISCOUNT, op9_ngram_lm, score
+from postlabel.llm.ngram_lm import DISCOUNT, Model, op9_ngram_lm, score
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -24,6 +24,27 @@ def test_elias_fano_reads_and_searches():
         assert (coded.next_geq(asked) == np.searchsorted(values, asked)).all()
 
 
+def test_elias_fano_places_values():
+    rng = np.random.default_rng(2)
+    for n, top in ((0, 1), (1, 0), (1, 5), (1000, 3), (5000, 10**4), (5, 2**62)):
+        values = np.sort(rng.integers(0, top + 1, n)).astype(np.uint64)
+        coded = EliasFano(encode(values))
+        asked = np.concatenate([values, values + np.uint64(1), np.array([0, top, 2 * top + 5], np.uint64)])
+        at = np.searchsorted(values, asked)
+        there = np.append(values, np.uint64(2**63))[at] == asked
+        assert (coded.place(asked) == np.where(there, at, -1)).all()
+
+
+def test_ngrams_are_looked_up_in_order():
+    rng = np.random.default_rng(3)
+    shard, context, word = rng.integers(0, 4, 3000), rng.integers(0, 9, 3000), rng.integers(-1, 9, 3000)
+    one, back = Model(2, 2)._distinct(shard, context, word)
+    rows = np.stack([shard, context, word], axis=1)
+    assert (rows[one][back] == rows).all()
+    found = list(map(tuple, rows[one].tolist()))
+    assert found == sorted(set(found))
+
+
 def toks(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + [None]
 
