@@ -33,8 +33,11 @@ FEATURES = 1 << 18
 # Regularisations tried, and iterations after which a fit that has not converged is given up.
 GRID = ({"regParam": 0.01}, {"regParam": 0.1})
 MAX_ITER = 200
-# Rows that make a partition worth the gradient it sends.
-ROWS_PER_PART = 4000
+# Rows that make a partition worth the gradient it sends: some 6 MB in every iteration.
+ROWS_PER_PART = 20_000
+# Megabytes of rows a fit multiplies at once. Each such block adds up a gradient of all buckets of its
+# own, which costs more than the rows of a block of 1 MB, Spark's choice.
+BLOCK_MB = 32.0
 
 
 def tokens_of(text: Column, limit: int | None = fixed.MAX_TOKENS) -> Column:
@@ -193,25 +196,35 @@ def fit_grid(
 ) -> tuple[PipelineModel, list[tuple[Mapping[str, float], LogisticRegressionModel]]]:
     """The text stages and a multinomial logistic regression for each grid point.
 
-    The text stages are fitted once. The fits see only buckets that vary in training, under a
-    compact index: all others would get weight 0, which is what they have in the models
-    returned, that read all buckets. What the fits read is kept in few partitions, as each
-    sends a gradient of the size of the model in every iteration, and the grid points are
-    fitted side by side. A fit ends when it has converged; ``max_iter`` is only the last resort.
+    The text stages are fitted once, on words that are cut and hashed once. The fits see only
+    buckets that vary in training, under a compact index: all others would get weight 0, which is
+    what they have in the models returned, that read all buckets. What the fits read is kept in few
+    partitions and large blocks, as each partition sends, and each block adds up, a gradient of the
+    size of the model in every iteration, and the grid points are fitted side by side. A fit ends
+    when it has converged; ``max_iter`` is only the last resort.
     """
     ready = _encoded(train, labels)
-    text_model = text_pipeline(features, limit).fit(ready)
-    parts = max(1, min(ready.sparkSession.sparkContext.defaultParallelism, -(-ready.count() // ROWS_PER_PART)))
-    vectors = text_model.transform(ready).select("label_id", "features").persist()
-    varying = VarianceThresholdSelector(featuresCol="features", outputCol="_few").fit(vectors)
-    compact = varying.transform(vectors).select("label_id", "_few").coalesce(parts).persist()
+    words, hashed, idf = text_pipeline(features, limit).getStages()
+    counted = hashed.transform(words.transform(ready)).select("label_id", "_tf").persist()
+    compact = None
     try:
+        parts = max(1, min(ready.sparkSession.sparkContext.defaultParallelism, -(-counted.count() // ROWS_PER_PART)))
+        weights = idf.fit(counted)
+        text_model = PipelineModel(stages=[words, hashed, weights])
+        vectors = weights.transform(counted).select("label_id", "features")
+        varying = VarianceThresholdSelector(featuresCol="features", outputCol="_few").fit(vectors)
+        compact = varying.transform(vectors).select("label_id", "_few").coalesce(parts).persist()
         compact.count()
-        vectors.unpersist()
+        counted.unpersist()
 
         def fit(params: Mapping[str, float]):
             fitted = LogisticRegression(
-                featuresCol="_few", labelCol="label_id", family="multinomial", maxIter=max_iter, **params
+                featuresCol="_few",
+                labelCol="label_id",
+                family="multinomial",
+                maxIter=max_iter,
+                maxBlockSizeInMB=BLOCK_MB,
+                **params,
             ).fit(compact)
             return params, _over_all(fitted, varying.selectedFeatures, features)
 
@@ -219,8 +232,9 @@ def fit_grid(
         with ThreadPoolExecutor(len(points)) as pool:
             return text_model, list(pool.map(inheritable_thread_target(train.sparkSession)(fit), points))
     finally:
-        vectors.unpersist()
-        compact.unpersist()
+        counted.unpersist()
+        if compact is not None:
+            compact.unpersist()
 
 
 def _over_all(fitted: LogisticRegressionModel, buckets: Sequence[int], features: int) -> LogisticRegressionModel:
@@ -293,6 +307,15 @@ def predict(
     return scored.withColumn("_record", record).select(*df.columns, "_record.*")
 
 
+def count_predicted(df: DataFrame, model: PipelineModel) -> int:
+    """Rows that get a label.
+
+    Counted as values: a filter on the label would be pushed below the joins that ``df`` is made
+    of, and the model with it, to rows that are not in ``df``.
+    """
+    return predict(df, model).agg(F.count("predicted_label")).first()[0]
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

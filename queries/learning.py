@@ -89,7 +89,7 @@ def select_best(spark, sf):
     best = max(accuracy for _, accuracy in scores)
     first = next(params["regParam"] for params, accuracy in scores if accuracy == best)
     # The predictions of the kept model are counted, so every row was judged.
-    evaluated = ml.predict(val, model).where("predicted_label IS NOT NULL").count()
+    evaluated = ml.count_predicted(val, model)
     rows = [(float(p["regParam"]), evaluated, 0.0 <= a <= 1.0, kept == first) for p, a in scores]
     return spark.createDataFrame(
         rows, "reg_param DOUBLE, evaluated BIGINT, is_a_share BOOLEAN, best_is_kept BOOLEAN"

@@ -99,6 +99,37 @@ def test_linear_model_is_chosen_on_validation_and_survives_saving(spark):
     assert all(r["confidence"] == max(r["all_scores"].values()) for r in got)
 
 
+def _counting(spark):
+    """A text that counts how often it is made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def text(x):
+        made.add(1)
+        return x
+
+    return made, F.udf(text)
+
+
+def test_a_fit_cuts_each_text_once_and_multiplies_large_blocks(spark):
+    made, text = _counting(spark)
+    rows = [(name, f"{name} data{i % 5}") for i, name in enumerate(["analysis", "hot_take", "reaction"] * 10)]
+    train = spark.createDataFrame(rows, "label STRING, text STRING").withColumn("text", text("text"))
+    _, candidates = ml.fit_grid(train, features=64, max_iter=2)
+    assert made.value == len(rows)
+    assert all(model.getMaxBlockSizeInMB() == ml.BLOCK_MB for _, model in candidates)
+
+
+def test_rows_that_are_joined_away_are_not_scored(spark):
+    made, text = _counting(spark)
+    rows = [(i, name, f"{name} data") for i, name in enumerate(["analysis", "hot_take", "reaction"] * 10)]
+    df = spark.createDataFrame(rows, "ex_id BIGINT, label STRING, text STRING")
+    text_model, candidates = ml.fit_grid(df, grid=({"regParam": 0.1},), features=64, max_iter=2)
+    some = df.join(spark.range(4).withColumnRenamed("id", "ex_id").hint("merge"), "ex_id")
+    model = ml.whole_model(text_model, candidates[0][1])
+    assert ml.count_predicted(some.withColumn("text", text("text")), model) == 4
+    assert made.value == 4
+
+
 def test_missing_model_is_named(spark):
     with pytest.raises(FileNotFoundError, match="no model at"):
         ml.load_model(scratch_path(spark, "nothing"))
