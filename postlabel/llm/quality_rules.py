@@ -193,28 +193,33 @@ def reached(steps: list, misses: int) -> int | None:
 
 def _repeated_words() -> tuple[Column, Column]:
     """Windows by hash, and in text order the places of those that occur twice or more."""
-    pairs = F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    pairs = F.sort_array(F.transform("_windows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     same = F.transform(
         "_sorted",
         lambda e, i: F.when((e["x"] == F.get("_sorted", i - 1)["x"]) | (e["x"] == F.get("_sorted", i + 1)["x"]), e["i"]),
     )
-    return pairs, F.array_sort(F.filter(same, lambda x: x.isNotNull()))
+    return pairs, F.sort_array(F.filter(same, lambda x: x.isNotNull()))
+
+
+def _windows() -> Column:
+    """Hashes of all windows in text order."""
+    first = F.slice("_hashes", 1, F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0)))
+    return F.transform(first, lambda x, i: F.xxhash64(x, *[F.get("_hashes", i + k) for k in range(1, WINDOW)]))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """Adds the five counts and base_failed to ``hashed`` documents."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
-    starts = F.when(F.size("_hashes") >= WINDOW, F.sequence(F.lit(1), F.size("_hashes") - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
     pairs, places = _repeated_words()
-    docs = docs.withColumn("_windows", F.transform(starts, lambda i: F.xxhash64(F.slice("_hashes", i, WINDOW)))).withColumn("_lines", lines)
+    docs = docs.withColumn("_windows", _windows()).withColumn("_lines", lines)
     none = F.size(F.array_distinct("_windows")) == F.size("_windows")
     docs = docs.withColumn("_sorted", F.when(~none, pairs)).withColumn("_places", places)
     covered = F.transform("_places", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_places", i + 1) - x, F.lit(WINDOW))))
     docs = docs.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda n, x: n + x), F.lit(0).cast("long")),

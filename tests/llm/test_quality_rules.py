@@ -46,6 +46,20 @@ def test_random_small_texts(spark):
     assert mine == sorted((-1 if d is None else d, *base(t)) for d, t, *_ in rows)
 
 
+def test_windows_are_hashed_where_they_stand(spark):
+    """As many as there are, equal where their words are; no list of words is made for each."""
+    texts = ["", "a", "a b c d", "a b c d e", "a b c d e a b c d e a", "x x x x x x x"]
+    docs = hashed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    found = docs.select("text", quality_rules._windows().alias("w")).collect()
+    for text, got in found:
+        words = text.split()
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        assert len(got) == len(windows)
+        assert all((a == b) == (x == y) for a, x in zip(got, windows, strict=True) for b, y in zip(got, windows, strict=True))
+    plan = quality_rules.base_counts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan
+
+
 def test_no_rows_and_no_targets(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert judge(spark.createDataFrame([], SCHEMA), none).count() == 0
