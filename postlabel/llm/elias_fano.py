@@ -16,6 +16,7 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _PLACE = np.argsort(1 - _BITS.astype(np.int8), axis=1, kind="stable").astype(np.uint8).ravel()
 # A one in each byte of a word, and masks of every other bit, pair and half byte.
 _EACH, _TOP = U(0x0101010101010101), U(0x8080808080808080)
+_STEPS = 4
 _BIT, _PAIR, _HALF = U(0x5555555555555555), U(0x3333333333333333), U(0x0F0F0F0F0F0F0F0F)
 
 
@@ -49,8 +50,9 @@ class EliasFano:
         zeros = np.arange(len(self.ones)) * 64 - self.ones.astype(np.int64)
         self.zeros = zeros.astype(np.min_scalar_type(64 * len(zeros)))
 
-    def _select(self, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
+    def _select(self, k: np.ndarray, flip: bool) -> np.ndarray:
         """Places of the k-th ones (zeros if flipped); fastest for k in order."""
+        before = self.zeros if flip else self.ones
         word = np.searchsorted(before, k.astype(before.dtype), "right") - 1
         rest = k.astype(U) - before[word].astype(U)
         held = self.high[word]
@@ -67,6 +69,19 @@ class EliasFano:
         byte = (held >> shift) & U(255)
         return word * 64 + shift.astype(np.int64) + _PLACE[((byte << U(3)) + rest).astype(np.int64)]
 
+    def _next(self, k: np.ndarray, at: np.ndarray, flip: bool) -> np.ndarray:
+        """Places of the ones (zeros if flipped) after the k-th, which stand at ``at``."""
+        held = self.high[at >> 6]
+        if flip:
+            held = ~held
+        # The bits behind ``at``, lowest first.
+        rest = held >> (at & 63).astype(U) >> U(1)
+        after = at + 1 + np.bitwise_count(~rest & (rest - U(1)))
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            after[far] = self._select(k[far] + 1, flip)
+        return after
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), U)
@@ -78,41 +93,68 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
-        high = self._select(self.ones, i, False) - i
+        high = self._select(i, False) - i
         return (high.astype(U) << U(self.bits)) | self._low(i)
 
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places i and at the places after them."""
+        at = self._select(i, False)
+        after = self._next(i, at, False)
+        return ((at - i).astype(U) << U(self.bits)) | self._low(i), ((after - i - 1).astype(U) << U(self.bits)) | self._low(i + 1)
+
     def next_geq(self, x: np.ndarray) -> np.ndarray:
         """The place of the first value >= x, n if there is none."""
-        return self._search(x)[0]
+        begin, end = self._run(x)
+        low, open_ = x & U((1 << self.bits) - 1), np.flatnonzero(begin < end)
+        begin[open_] = self._first(begin[open_], end[open_], low[open_])
+        return begin
 
     def place(self, x: np.ndarray) -> np.ndarray:
         """The place of the first value that is x, -1 if there is none."""
-        at, end = self._search(x)
-        # Behind ``end`` the high bits are larger.
-        same = np.flatnonzero((at < end) & ((x >> U(self.bits)).astype(np.int64) <= self._last()))
-        same = same[self._low(at[same]) == x[same] & U((1 << self.bits) - 1)]
         found = np.full(len(x), -1)
-        found[same] = at[same]
+        begin, end = self._run(x)
+        # Behind the last run the high bits are larger.
+        open_ = np.flatnonzero((begin < end) & ((x >> U(self.bits)).astype(np.int64) <= self._last()))
+        begin, end, low = begin[open_], end[open_], x[open_] & U((1 << self.bits) - 1)
+        # Short runs are gone through, long ones halved.
+        long = end - begin > _STEPS
+        at = begin.copy()
+        at[long] = self._first(begin[long], end[long], low[long])
+        inside = np.flatnonzero(at < end)
+        while len(inside):
+            held = self._low(at[inside])
+            same = inside[held == low[inside]]
+            found[open_[same]] = at[same]
+            inside = inside[held < low[inside]]
+            at[inside] += 1
+            inside = inside[at[inside] < end[inside]]
         return found
 
     def _last(self) -> int:
         """The last high bits that can be looked for."""
         return len(self.high) * 64 - self.n - 1
 
-    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the first values >= x, and where the values with the high bits of x end."""
+    def _run(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values with the high bits of x begin and end."""
         high = np.minimum((x >> U(self.bits)).astype(np.int64), self._last())
-        low = x & U((1 << self.bits) - 1)
-        begin = np.zeros(len(x), np.int64)
+        # They stand between two zeros.
+        k = np.maximum(high - 1, 0)
+        at = self._select(k, True)
+        begin, end = at - k, at.copy()
         some = high > 0
-        begin[some] = self._select(self.zeros, high[some] - 1, True) - (high[some] - 1)
-        last = self._select(self.zeros, high, True) - high
-        end = last.copy()
-        open_ = np.flatnonzero(begin < end)
-        while len(open_):
-            middle = (begin[open_] + end[open_]) >> 1
-            less = self._low(middle) < low[open_]
-            begin[open_[less]] = middle[less] + 1
-            end[open_[~less]] = middle[~less]
-            open_ = open_[begin[open_] < end[open_]]
-        return begin, last
+        begin[~some] = 0
+        if some.all():
+            end = self._next(k, at, True)
+        else:
+            end[some] = self._next(k[some], at[some], True)
+        return begin, end - high
+
+    def _first(self, begin: np.ndarray, end: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Places of the first low bits >= ``low`` in runs, their ends if there are none."""
+        most = int((end - begin).max()) if len(begin) else 0
+        for _ in range(most.bit_length()):
+            # An empty run stays as it is.
+            middle = np.minimum((begin + end) >> 1, self.n - 1)
+            less = (self._low(middle) < low) & (begin < end)
+            begin, end = np.where(less, middle + 1, begin), np.where(less, end, middle)
+        return begin

@@ -70,6 +70,26 @@ def sorted_distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct[order], rank[codes]
 
 
+def in_order(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows sorted by all columns, equal ones as they stand, and which of these begin a new value."""
+    n, size = len(columns[0]), 1
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, bool)
+    bounds = [(int(x.min()), int(x.max())) for x in columns]
+    for low, high in bounds:
+        size *= high - low + 1
+    if size * n >= 1 << 64:
+        order = np.lexsort(columns[::-1])
+        return order, np.append(True, np.any([x[order[1:]] != x[order[:-1]] for x in columns], axis=0))
+    # One number holds a row and its place: sorting numbers is much faster than sorting places.
+    key = np.zeros(n, U)
+    for x, (low, high) in zip(columns, bounds, strict=True):
+        key = key * U(high - low + 1) + (x - low).astype(U)
+    key = np.sort(key * U(n) + np.arange(n, dtype=U))
+    value = key // U(n)
+    return (key - value * U(n)).view(np.int64), np.append(True, value[1:] != value[:-1])
+
+
 def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard with the places it stands at, in order."""
     order = np.argsort(shard, kind="stable")
@@ -143,15 +163,22 @@ class Model:
             # Each context once.
             first = np.flatnonzero(np.diff(context[a:b], prepend=-1))
             one, times = context[a:b][first], np.diff(np.append(first, b - a))
-            lo, hi = held["ptr"].get(one).astype(np.int64), held["ptr"].get(one + 1).astype(np.int64)
-            base = np.zeros(len(one), U)
-            base[lo > 0] = held["succ"].get(lo[lo > 0] - 1)
+            lo, hi = (x.astype(np.int64) for x in held["ptr"].get_two(one))
             some = hi > lo
             rest[a:b] = np.repeat(np.where(some, held["rest_book"][held["rest"][one]], 0), times)
             begin[a:b] = np.repeat(lo, times)
+            # What the range before ends with, and the first of the range: mostly it is the only one.
+            base, lead = np.zeros((2, len(one)), U)
+            behind, front = np.flatnonzero(some & (lo > 0)), np.flatnonzero(some & (lo == 0))
+            base[behind], lead[behind] = held["succ"].get_two(lo[behind] - 1)
+            lead[front] = held["succ"].get(lo[front])
             ask = np.flatnonzero(np.repeat(some, times) & (word[a:b] >= 0))
-            at = held["succ"].place(np.repeat(base, times)[ask] + (word[a:b][ask] + 1).astype(U))
-            ok = (at >= 0) & (at < np.repeat(hi, times)[ask])
+            of = np.repeat(np.arange(len(one)), times)[ask]
+            sought, end = base[of] + (word[a:b][ask] + 1).astype(U), hi[of]
+            at = np.where(lead[of] == sought, lo[of], -1)
+            open_ = np.flatnonzero((at < 0) & (end - lo[of] > 1))
+            at[open_] = held["succ"].place(sought[open_])
+            ok = (at >= 0) & (at < end)
             place[a:b][ask[ok]] = at[ok]
             logs[a:b][ask[ok]] = held["log_book"][held["log"][at[ok]]]
         return place, begin, logs, rest
@@ -161,27 +188,31 @@ class Model:
 
         Order 1 gives the index of each text's first token, counts and logs of all tokens. Each
         further order gives the tokens with a kept context, its shard and place, the id of the
-        token in it (-1: unknown there), and the logs, which then hold all orders so far. The walk
-        ends with the first order that has no trie yet.
+        token in it (-1: unknown there), the logs, which then hold all orders so far, and numbers
+        of the contexts and of the tokens among those of these texts, by which n-grams sort as
+        they do in the trie, however large it is. The walk ends with the first order that has no
+        trie yet.
         """
         hashes, first = tokens(data, offs)
         distinct, inverse = sorted_distinct(hashes)
-        ids, counts = (x[inverse] for x in self.find_words(distinct))
-        logs = self.word_logs(counts)
+        found, seen = self.find_words(distinct)
+        ids, counts, logs = found[inverse], seen[inverse], self.word_logs(seen)[inverse]
         yield first, counts, logs
+        shards = (np.searchsorted(self.bases, found, "right") - 1)[inverse]
         ahead = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
-        place, word = ids, ids
+        place, word, number = ids, ids, inverse
         for level in range(2, order + 1):
-            # ``place`` is where the token's n-gram of the order before stands, ``word`` its id there.
+            # ``place`` is where the token's n-gram of the order before stands, ``word`` its id there, ``number`` its own.
             previous = np.full(len(ids), -1)
             previous[1:] = place[:-1]
             at = np.flatnonzero((ahead >= level - 1) & (previous >= 0))
-            shard = np.searchsorted(self.bases, ids[at - level + 1], "right") - 1
+            shard = shards[at - level + 1]
             context = previous[at] - self.bases[shard] if level == 2 else previous[at]
-            yield at, shard, context, word[at], logs
+            numbers = number[at - 1], inverse[at]
+            yield at, shard, context, word[at], logs, numbers
             if level not in self.levels:
                 return
-            one, back = self._distinct(shard, context, word[at])
+            one, back = self._distinct(*numbers)
             spot, begin, log, rest = self.find(level, shard[one], context[one], word[at][one])
             logs[at] = np.where(spot >= 0, log, rest)[back] + np.where(spot >= 0, 0.0, 1.0)[back] * logs[at]
             place = np.full(len(ids), -1)
@@ -189,19 +220,15 @@ class Model:
             if level < order:
                 word = np.full(len(ids), -1)
                 word[at] = np.where(spot >= 0, spot - begin, -1)[back]
+                number = np.zeros(len(ids), np.int64)
+                number[at] = back
 
-    def _distinct(self, shard: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _distinct(self, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of distinct n-grams in order, so that lookups go one way, and for each n-gram which of them it is."""
-        if not len(shard):
-            return shard, shard
-        wide, high = int(context.max()) + 1, int(word.max()) + 2
-        if (int(shard.max()) + 1) * wide * high < 1 << 63:
-            distinct, back = sorted_distinct((shard * wide + context) * high + word + 1)
-            one = np.empty(len(distinct), np.int64)
-            one[back[::-1]] = np.arange(len(back) - 1, -1, -1)
-        else:
-            _, one, back = np.unique(np.stack([shard, context, word]), axis=1, return_index=True, return_inverse=True)
-        return one, back
+        order, new = in_order(*columns)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        return order[new], back
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,25 +244,32 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
-    """Sorted contexts, words, counts and logs of shorter n-grams as one compressed block."""
+    """Sorted contexts, words, counts and logs of shorter n-grams as one compressed block, whole numbers in as few bytes as hold them."""
     context, word, n, *below = columns
-    raw = b"".join(x.tobytes() for x in (np.diff(context, prepend=0), word, n, *(x.astype("<f4") for x in below)))
-    return np.array([len(n), len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+    columns = [x.astype(np.min_scalar_type(x.max())) for x in (np.diff(context, prepend=0), word, n)] + [x.astype("<f4") for x in below]
+    raw = b"".join(x.tobytes() for x in columns)
+    kinds = "".join(x.dtype.str for x in columns).encode()
+    return np.array([len(n), len(raw), len(kinds)], "<i8").tobytes() + kinds + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unpacked(block: bytes) -> list[np.ndarray]:
-    n, size = np.frombuffer(block, "<i8", 2).tolist()
-    raw = pa.decompress(block[16:], size, "zstd", asbytes=True)
-    context, word, counts = np.frombuffer(raw, "<i8", 3 * n).reshape(3, n)
-    return [np.cumsum(context), word, counts, *([np.frombuffer(raw, "<f4", n, 24 * n)] if size > 24 * n else [])]
+    n, size, head = np.frombuffer(block, "<i8", 3).tolist()
+    raw, at, columns = pa.decompress(block[24 + head :], size, "zstd", asbytes=True), 0, []
+    for i in range(24, 24 + head, 3):
+        kind = np.dtype(block[i : i + 3].decode())
+        columns.append(np.frombuffer(raw, kind, n, at))
+        at += n * kind.itemsize
+    context, word, counts, *below = columns
+    return [np.cumsum(context, dtype=np.int64), word.astype(np.int64), counts.astype(np.int64), *below]
 
 
 def _added(columns: list[np.ndarray]) -> list[np.ndarray]:
     """Contexts and words sorted, each pair once, with its counts added up."""
-    order = np.lexsort((columns[1], columns[0]))
-    context, word, n, *below = (x[order] for x in columns)
-    new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))) if len(n) else np.empty(0, int)
-    return [context[new], word[new], np.add.reduceat(n, new) if len(n) else n, *(x[new] for x in below)]
+    order, new = in_order(*columns[:2])
+    first = np.flatnonzero(new)
+    context, word, n, *below = columns
+    counts = np.add.reduceat(n[order], first) if len(n) else n
+    return [context[order[first]], word[order[first]], counts, *(x[order[first]] for x in below)]
 
 
 def _level_counts(model: Model, level: int, min_count: int):
@@ -254,11 +288,13 @@ def _level_counts(model: Model, level: int, min_count: int):
         parts, held = [], 0
         for batch in batches:
             for _, _, data, offs in text_chunks(batch.column("text")):
-                (_, counts, _), *_, (at, shard, context, word, logs) = model.walk(data, offs, level)
+                (_, counts, _), *_, (at, shard, context, word, logs, numbers) = model.walk(data, offs, level)
                 keep = (word >= 0) & (counts[at] >= min_count) & (counts[at - 1] >= min_count)
-                shard, context, word, below = shard[keep], context[keep], word[keep], logs[at[keep]]
-                one, back = model._distinct(shard, context, word)
-                parts.append((shard[one], context[one], word[one], np.bincount(back, minlength=len(one)), *([below[one]] if level > 2 else [])))
+                order, new = in_order(*(x[keep] for x in numbers))
+                first = np.flatnonzero(new)
+                one = np.flatnonzero(keep)[order[first]]
+                n = np.diff(np.append(first, len(order)))
+                parts.append((shard[one], context[one], word[one], n, *([logs[at[one]]] if level > 2 else [])))
                 held += len(one)
                 if held >= GATHERED:
                     yield merged(parts)
@@ -344,9 +380,11 @@ def _scored(model: Model):
         for batch in batches:
             docs, held = batch.column("doc_id"), batch.column("held_out")
             for row, end, data, offs in text_chunks(batch.column("text")):
-                (first, counts, logs), *_ = steps = list(model.walk(data, offs, model.order))
-                base = model.word_logs(counts)
-                logs = steps[-1][-1]
+                steps = model.walk(data, offs, model.order)
+                first, counts, logs = next(steps)
+                base = logs.copy()
+                for _ in steps:  # adds each order to ``logs``
+                    pass
                 starts, n = first[:-1], np.diff(first)
                 arrays = [
                     docs[row:end], held[row:end], pa.array(n), pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from postlabel.llm.elias_fano import EliasFano, encode
-from postlabel.llm.ngram_lm import DISCOUNT, Model, op9_ngram_lm, score
+from postlabel.llm.ngram_lm import DISCOUNT, Model, _packed, _unpacked, in_order, op9_ngram_lm, score, train
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -35,6 +35,48 @@ def test_elias_fano_places_values():
         assert (coded.place(asked) == np.where(there, at, -1)).all()
 
 
+def test_elias_fano_reads_neighbours_and_long_runs():
+    rng = np.random.default_rng(4)
+    # Far apart, close together, equal, and both kinds in turn.
+    for values in (rng.integers(0, 10**12, 900), rng.integers(0, 300, 4000), np.full(500, 7), np.concatenate([np.arange(3000), rng.integers(10**9, 10**10, 40)])):
+        values = np.sort(values).astype(np.uint64)
+        coded = EliasFano(encode(values))
+        here, after = coded.get_two(np.arange(len(values) - 1))
+        assert (here == values[:-1]).all() and (after == values[1:]).all()
+        assert (coded.place(values) == np.searchsorted(values, values)).all()
+
+
+def test_rows_sort_by_all_columns():
+    rng = np.random.default_rng(5)
+    for n, top in ((0, 3), (1, 3), (2000, 5), (2000, 1 << 40)):  # the last don't fit one number
+        columns = [np.concatenate([rng.integers(-1, top, n), [-1] * (n > 9), [top - 1] * (n > 9)]) for _ in range(2)]
+        order, new = in_order(*columns)
+        assert (order == np.lexsort(columns[::-1])).all()
+        rows = list(zip(*(x[order].tolist() for x in columns), strict=True))
+        assert new.tolist() == [i == 0 or rows[i - 1] != r for i, r in enumerate(rows)]
+
+
+def test_blocks_take_no_more_bytes_than_their_numbers_need():
+    columns = [np.arange(0, 70_000, 7), np.arange(10_000) % 251, np.ones(10_000, np.int64), np.linspace(-3, 0, 10_000).astype("<f4")]
+    block = _packed(columns)
+    assert all((a == b).all() for a, b in zip(_unpacked(block), columns, strict=True))
+    assert np.frombuffer(block, "<i8", 2).tolist() == [10_000, 10_000 * 7]
+    wide = [np.array([3, 1 << 40]), np.array([1 << 33, 0]), np.array([70_000, 1])]
+    assert all((a == b).all() for a, b in zip(_unpacked(_packed(wide)), wide, strict=True))
+
+
+def test_only_successors_are_not_searched(spark, monkeypatch):
+    model = train(spark.createDataFrame([("a b c d e",)], "text string"), 3, 1)
+    asked, place = [], EliasFano.place
+    monkeypatch.setattr(EliasFano, "place", lambda self, x: asked.append(len(x)) or place(self, x))
+    for text, found in (("a b c d e", 5 + 4), ("a c b", 0)):
+        data, ends, n = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 0
+        for at, shard, context, word, *_ in list(model.walk(data, ends, 3))[1:]:
+            n += int((model.find(3 if n else 2, shard, context, word)[0] >= 0).sum())
+        assert n == found
+    assert sum(asked) == 0
+
+
 def test_ngrams_are_looked_up_in_order():
     rng = np.random.default_rng(3)
     shard, context, word = rng.integers(0, 4, 3000), rng.integers(0, 9, 3000), rng.integers(-1, 9, 3000)
