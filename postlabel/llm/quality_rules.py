@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .store import materialise, read
 
-# For words, and as many again for pairs.
+# For words, and as many again for pairs; a power of two.
 BUCKETS = 1 << 20
 EVIDENCE = 3.0
 TRUST = 5
@@ -52,13 +52,15 @@ def words(text: Column) -> Column:
 
 
 def _bucket(x: Column, first: int = 0) -> Column:
-    return (F.pmod(x, F.lit(BUCKETS)) + first).cast("int")
+    # Bits and not a remainder and a sum: this is evaluated for each n-gram.
+    low = x.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
+    return (low.bitwiseOR(F.lit(first).cast("long")) if first else low).cast("int")
 
 
-def _pairs(hashes: str, then) -> Column:
-    """``then`` of each two hashes in a row."""
-    n = F.greatest(F.size(hashes) - 1, F.lit(0))
-    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), then)
+def _apart(left: Column, right: Column, n: int, then) -> Column:
+    """``then`` of each value of ``left`` and the one of ``right`` that is ``n`` places on."""
+    size = F.greatest(F.size(right) - n, F.lit(0))
+    return F.zip_with(F.slice(left, 1, size), F.slice(right, n + 1, size), then)
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 def ngram_buckets() -> Column:
     """Buckets of all words and pairs of words."""
-    pairs = _pairs("_hashes", lambda a, b: _bucket(F.xxhash64(a, b), BUCKETS))
+    pairs = _apart(F.col("_hashes"), F.col("_hashes"), 1, lambda a, b: _bucket(F.xxhash64(a, b), BUCKETS))
     return F.concat(F.transform("_hashes", lambda x: _bucket(x)), pairs)
 
 
@@ -93,7 +95,7 @@ class Ratios:
         return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
     def holds(self, bucket: Column) -> Column:
-        return F.getbit(F.get(self.bits, F.shiftright(bucket, 6)), bucket.bitwiseAND(63)) == 1
+        return F.getbit(F.get(self.bits, F.shiftright(bucket, 6)), bucket.bitwiseAND(63)) == F.lit(1).cast("tinyint")
 
     def of(self, bucket: Column) -> Column:
         """The ratio of a bucket that is held."""
@@ -203,8 +205,12 @@ def _repeated_words() -> tuple[Column, Column]:
 
 def _windows() -> Column:
     """Hashes of all windows in text order."""
-    first = F.slice("_hashes", 1, F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0)))
-    return F.transform(first, lambda x, i: F.xxhash64(x, *[F.get("_hashes", i + k) for k in range(1, WINDOW)]))
+    words = F.col("_hashes")
+    # Of two words, of one more, and so on, as arrays side by side: nothing is looked up by place.
+    found = words
+    for n in range(1, WINDOW):
+        found = _apart(found, words, n, lambda a, b: F.xxhash64(a, b))
+    return found
 
 
 def base_counts(docs: DataFrame) -> DataFrame:

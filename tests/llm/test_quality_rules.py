@@ -60,6 +60,17 @@ def test_windows_are_hashed_where_they_stand(spark):
     assert "sequence(" not in plan
 
 
+def test_ngrams_take_few_steps_each(spark):
+    """No window looks its words up by place, no bucket is divided for; buckets are the remainders they were."""
+    docs = hashed(spark.createDataFrame([(" ".join(f"w{i * i % 97}" for i in range(n)),) for n in (0, 1, 2, 4, 5, 300)], "text string"))
+    found = docs.select("_hashes", quality_rules._windows().alias("w"), ngram_buckets().alias("b"), F.transform("_hashes", lambda x: F.pmod(x, F.lit(quality_rules.BUCKETS))).alias("words"))
+    plan = found.drop("words")._jdf.queryExecution().optimizedPlan().toString()
+    assert "get(" not in plan and "pmod(" not in plan
+    for r in found.collect():
+        assert len(r.w) == max(0, len(r["_hashes"]) - 4) and len(r.b) == max(0, 2 * len(r["_hashes"]) - 1)
+        assert r.b[: len(r.words)] == r.words and all(quality_rules.BUCKETS <= b < 2 * quality_rules.BUCKETS for b in r.b[len(r.words) :])
+
+
 def test_no_rows_and_no_targets(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert judge(spark.createDataFrame([], SCHEMA), none).count() == 0
